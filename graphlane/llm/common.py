@@ -76,6 +76,14 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(keys, h)
+    at[at == len(keys)] = 0
+    return keys[at] == h
+
+
 class Powers:
     """Powers of an odd multiplier modulo 2**64 and their inverses, for prefix sums as rolling hashes."""
 

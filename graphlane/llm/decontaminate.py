@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import Words, written
+from graphlane.llm.common import Words, member, written
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 WORD_BYTES = np.array([bool(WORD.fullmatch(bytes([b]))) for b in range(256)])
@@ -102,14 +102,6 @@ class Index:
         return (merged(ranges), items) if items else None
 
 
-def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(h), bool)
-    at = np.searchsorted(keys, h)
-    at[at == len(keys)] = 0
-    return keys[at] == h
-
-
 def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     for a, b in sorted(ranges):
