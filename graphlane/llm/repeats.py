@@ -15,7 +15,7 @@ from graphlane.llm.common import BYTE_VALUES, POWERS, block_of, id_type, parts
 SPAN = 50  # bytes of a passage
 GRAM = 24  # bytes of a hashed gram; each passage is dealt by the least hash of its grams
 CHUNK = 1 << 18  # bytes that are hashed at once
-MAX_SHARDS = 8
+MAX_SHARDS = 4
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: not less than any
 STRIDE = 8  # bytes by which the interleave is refined at once
 BLOCK_BYTES = 5 << 20
@@ -72,31 +72,54 @@ def share_of(value: np.ndarray, shares: int) -> np.ndarray:
     return ((value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shares)).astype(np.int64)
 
 
+def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The positions in order of the keys, first key first, and each position's dense rank; keys are ranks or small numbers."""
+    n = len(keys[0])
+    bits = [max(1, int(k.max(initial=0)).bit_length()) for k in keys]
+    place = max(1, n.bit_length())
+    key = np.zeros(n, np.uint64)
+    for k, w in zip(keys, bits, strict=True):
+        key = key << np.uint64(w) | k.astype(np.uint64)
+    if sum(bits) + place <= 64:
+        packed = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
+        order = (packed & np.uint64((1 << place) - 1)).astype(np.int64)
+        s = packed >> np.uint64(place)
+    else:
+        order = np.argsort(key)
+        s = key[order]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
+    return order, rank
+
+
 class Shard:
     """A text (strings, each with an end byte) as a circle, its positions sorted by 64 bytes, and what stands before each."""
 
-    def __init__(self, strings: list[bytes]) -> None:
-        self.sizes = np.fromiter(map(len, strings), np.int64, len(strings))
-        self.raw = np.frombuffer(b"\xff".join(strings) + b"\xff", np.uint8)
-        n = len(self.raw)
-        wrapped = np.concatenate([self.raw, np.resize(self.raw, STRIDE)]).astype(np.uint64)
-        self.eight = np.zeros(n, np.uint64)
-        for j in range(STRIDE):
-            self.eight |= wrapped[j : j + n] << np.uint64(8 * (STRIDE - 1 - j))
-        order = np.argsort(self.eight, kind="stable")
-        rank, span = self._ranks(self.eight, order), STRIDE
-        while span < SPAN and rank.max(initial=0) + 1 < n:
-            pair = rank << np.int64(32) | np.roll(rank, -span)
-            order = np.argsort(pair, kind="stable")
-            rank, span = self._ranks(pair, order), 2 * span
-        self.order = order
+    def __init__(self, raw: np.ndarray, eight: np.ndarray) -> None:
+        """eight: the rank of the STRIDE bytes from each position on, among those of all shards."""
+        self.raw, self.eight = raw, eight
+        self.order, rank = _ranks(eight)
+        span = STRIDE
+        while span < SPAN and rank.max(initial=0) + 1 < len(raw):
+            self.order, rank = _ranks(rank, np.roll(rank, -span))
+            span *= 2
 
-    @staticmethod
-    def _ranks(key: np.ndarray, order: np.ndarray) -> np.ndarray:
-        s = key[order]
-        rank = np.empty(len(key), np.int64)
-        rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
-        return rank
+
+def shards_of(strings: list[bytes], most: int = MAX_SHARDS) -> list[Shard]:
+    """The strings in order, dealt to at most `most` shards. Letters of STRIDE bytes are ranked once for all of them."""
+    each = -(-len(strings) // most)
+    raws = [np.frombuffer(b"\xff".join(strings[k : k + each]) + b"\xff", np.uint8) for k in range(0, len(strings), each)]
+
+    def ahead(parts: list[np.ndarray], by: int) -> np.ndarray:
+        return np.concatenate([np.roll(p, -by) for p in parts])
+
+    cuts = np.cumsum([len(r) for r in raws])[:-1]
+    rank = np.concatenate(raws).astype(np.int64)
+    span = 1
+    while span < STRIDE:
+        _, rank = _ranks(rank, ahead(np.split(rank, cuts), span))
+        span *= 2
+    return [Shard(r, e) for r, e in zip(raws, np.split(rank, cuts), strict=True)]
 
 
 def intervals(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
@@ -111,57 +134,43 @@ def intervals(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     n = int(base[-1])
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), np.diff(base))
     interval = np.zeros(n, np.int64)
-    letters = np.unique(np.concatenate([s.eight for s in shards]))
-    before = {}
-    for step in (STRIDE, SPAN % STRIDE):
-        moved = [np.roll(s.eight, step)[s.order] for s in shards]
-        if step == STRIDE:
-            before[step] = np.concatenate([np.searchsorted(letters, x) for x in moved]).astype(np.uint64)
-        else:
-            before[step] = np.concatenate([x >> np.uint64(8 * (STRIDE - step)) for x in moved])
-    place = np.arange(n, dtype=np.uint64)
-    for step in [STRIDE] * (SPAN // STRIDE) + [SPAN % STRIDE] * (SPAN % STRIDE > 0):
-        letter = np.empty(n, np.uint64)
-        for k in range(len(shards)):
-            letter[source == k] = before[step][base[k] : base[k + 1]]
-        dealt = np.sort(letter << np.uint64(32) | place)
-        order = (dealt & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        letter = dealt >> np.uint64(32)
-        source, interval = source[order], interval[order]
+    before = {STRIDE: np.concatenate([np.roll(s.eight, STRIDE)[s.order] for s in shards])}
+    rest = SPAN % STRIDE
+    letters = [sum((np.roll(s.raw, rest - j).astype(np.int64) << (8 * (rest - 1 - j)) for j in range(rest)), np.int64(0)) for s in shards]
+    before[rest] = np.concatenate([x[s.order] for x, s in zip(letters, shards, strict=True)])
+    for step in [STRIDE] * (SPAN // STRIDE) + [rest]:
+        letter = np.empty(n, np.int64)
+        letter[np.argsort(source, kind="stable")] = before[step]
+        order, _ = _ranks(letter)
+        letter, source, interval = letter[order], source[order], interval[order]
         interval = np.cumsum(np.r_[0, (letter[1:] != letter[:-1]) | (interval[1:] != interval[:-1])])
     out = np.empty(n, np.int64)
-    for k, s in enumerate(shards):
-        out[source == k] = base[k] + s.order
+    out[np.argsort(source, kind="stable")] = np.concatenate([base[k] + s.order for k, s in enumerate(shards)])
     return out, interval
 
 
 def least_ids(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
     """groups: strings and the least doc_id that has each. For each group, string after string, each passage's least id of all."""
-    groups_at = [k for k, (strings, _) in enumerate(groups) if strings]
-    each = -(-len(groups_at) // MAX_SHARDS) if groups_at else 1
-    dealt = [groups_at[k : k + each] for k in range(0, len(groups_at), each)]
-    shards = [Shard([x for k in own for x in groups[k][0]]) for own in dealt]
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(groups)
-    if not shards:
-        return out
-    order, interval = intervals(shards)
-    sizes = np.concatenate([s.sizes for s in shards])
+    distinct: dict[bytes, int] = {}
+    for strings, ids in groups:
+        for x, i in zip(strings, ids.tolist(), strict=True):
+            if distinct.get(x, NO_ID) >= i:
+                distinct[x] = i
+    if not distinct:
+        return [np.zeros(0, np.int64) for _ in groups]
+    strings = list(distinct)
+    order, interval = intervals(shards_of(strings))
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begins = np.cumsum(sizes + 1) - sizes - 1
     counts = sizes - SPAN + 1
     passages = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     ids = np.full(len(order), NO_ID)
-    ids[passages] = np.repeat(np.concatenate([groups[k][1] for own in dealt for k in own]), counts)
+    ids[passages] = np.repeat(np.fromiter(distinct.values(), np.int64, len(strings)), counts)
     least = np.minimum.reduceat(ids[order], np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]]))
     answer = np.empty(len(order), np.int64)
     answer[order] = least[interval]
-    answer = answer[passages]
-    at = 0
-    for own in dealt:
-        for k in own:
-            n = sum(len(x) - SPAN + 1 for x in groups[k][0])
-            out[k] = answer[at : at + n]
-            at += n
-    return out
+    first = dict(zip(strings, zip(begins.tolist(), counts.tolist(), strict=True), strict=True))
+    return [np.concatenate([np.zeros(0, np.int64), *(answer[b : b + n] for b, n in map(first.__getitem__, own))]) for own, _ in groups]
 
 
 def cut(texts: list[bytes], removed: list[list[tuple[int, int]]]) -> list[bytes]:
@@ -185,29 +194,61 @@ def _table(names: str, rows: list[tuple], kinds: tuple[pa.DataType, ...]) -> pa.
 
 
 class Runs:
-    """A block's runs of passages whose least hash also is in another document, as strings, dealt to shares."""
+    """A block's runs of passages whose least hash also is in another document, by share."""
 
-    def __init__(self, texts: list[bytes], ids: np.ndarray, shares: int, bits: dict[int, bytes]) -> None:
-        self.all = Passages(texts)
-        share = share_of(self.all.value, shares)
-        often = np.zeros(len(share), bool)
+    def __init__(self, texts: list[bytes], shares: int, bits: dict[int, bytes]) -> None:
+        p = Passages(texts)
+        often = np.zeros(len(p.value), bool)
+        share = share_of(p.value, shares)
         for s, own in _by_share(share):
-            values, back = np.unique(self.all.value[own], return_inverse=True)
+            values, back = np.unique(p.value[own], return_inverse=True)
             often[own] = np.unpackbits(np.frombuffer(bits[s], np.uint8), count=len(values)).astype(bool)[back]
-        self.at = np.flatnonzero(often)
-        p = self.all
-        self.strings: dict[int, dict[bytes, list[int]]] = {}
-        columns = (x[self.at].tolist() for x in (share, p.doc, p.begin, p.count))
-        for k, s, d, b, c in zip(self.at.tolist(), *columns, strict=True):
-            self.strings.setdefault(s, {}).setdefault(texts[d][b : b + c + SPAN - 1], []).append(k)
-        self.ids = ids
-
-    def rows(self) -> Iterator[tuple[int, list[bytes], np.ndarray]]:
-        """For each share its strings in order, and the least doc_id of each."""
-        for s in sorted(self.strings):
-            own = self.strings[s]
-            strings = sorted(own)
-            yield s, strings, np.fromiter((min(self.ids[self.all.doc[k]] for k in own[x]) for x in strings), np.int64, len(strings))
+        at = np.flatnonzero(often)
+        self.doc, self.begin, self.count = p.doc[at], p.begin[at], p.count[at]
+        self.by_share = list(_by_share(share[at]))
+
+    def strings(self, texts: list[bytes], ids: np.ndarray) -> Iterator[tuple[int, list[bytes], np.ndarray, np.ndarray]]:
+        """For each share its distinct strings, the least doc_id of each, and each run's string."""
+        doc, begin, count = (x.tolist() for x in (self.doc, self.begin, self.count))
+        for s, own in self.by_share:
+            number: dict[bytes, int] = {}
+            which = np.fromiter((number.setdefault(texts[doc[k]][begin[k] : begin[k] + count[k] + SPAN - 1], len(number)) for k in own.tolist()), np.int64, len(own))
+            least = np.full(len(number), NO_ID)
+            np.minimum.at(least, which, ids[self.doc[own]])
+            yield s, list(number), least, which
+
+    def removed(self, texts: list[bytes], ids: np.ndarray, answers: dict[int, tuple[bytes, bytes]]) -> list[list[tuple[int, int]]]:
+        """answers: per share the least doc_id of each passage of its strings, and each run's string. The bytes to remove of each text."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        first = np.cumsum(sizes) - sizes
+        change = np.zeros(int(sizes.sum()) + 1, np.int32)
+        for s, own in self.by_share:
+            least, which = (np.frombuffer(x, kind) for x, kind in zip(answers[s], ("<i8", "<u4"), strict=True))
+            count = self.count[own]
+            of_string = np.zeros(int(which.max()) + 1, np.int64)
+            of_string[which] = count
+            at = np.cumsum(of_string) - of_string
+            step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            goes = least[np.repeat(at[which], count) + step] < np.repeat(ids[self.doc[own]], count)
+            place = (np.repeat(first[self.doc[own]] + self.begin[own], count) + step)[goes]
+            change += np.bincount(place, minlength=len(change)).astype(np.int32)
+            change -= np.bincount(place + SPAN, minlength=len(change)).astype(np.int32)
+        gone = np.cumsum(change) > 0
+        edge = np.zeros(len(gone) + 1, bool)
+        edge[1:] = gone
+        begins = edge[1:] & ~edge[:-1]
+        inner = first[(sizes > 0) & (first > 0)]
+        begins[inner] = gone[inner]  # a text's end ends a span
+        a = np.flatnonzero(begins)
+        ends = np.zeros(len(gone), bool)
+        ends[1:] = edge[1:-1] & ~gone[1:]
+        ends[inner] = gone[inner - 1]
+        b = np.flatnonzero(ends)
+        owner = np.searchsorted(first + sizes, a, side="right")
+        out: list[list[tuple[int, int]]] = [[] for _ in texts]
+        for d, x, y in zip(owner.tolist(), (a - first[owner]).tolist(), (b - first[owner]).tolist(), strict=True):
+            out[d].append((x, y))
+        return out
 
 
 def _by_share(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -229,7 +270,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("doc_id must be an integer")
     blocks = parts(docs.select("doc_id", "text"), each=block_bytes)
-    shares = 2 * blocks
+    shares = 4 * blocks
     df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartition(blocks, "block")
 
     def ids_of(rows: pa.Table) -> np.ndarray:
@@ -249,63 +290,46 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
 
     def common(rows: pa.Table) -> pa.Table:
         own = [np.frombuffer(x, "<u4") for x in rows.column("hashes").to_pylist()]
-        several = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)) for x, o in zip(rows.column("several").to_pylist(), own, strict=True)]
         flat = np.concatenate(own)
-        flat_sorted = np.sort(flat)
-        twice = np.unique(np.r_[flat_sorted[1:][flat_sorted[1:] == flat_sorted[:-1]], flat[np.concatenate(several) > 0]])
-        bits = [np.packbits(np.isin(o, twice)).tobytes() for o in own]
-        return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([0] * len(bits), pa.int32()), "data": pa.array(bits, pa.binary())})
+        often = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(o)) for x, o in zip(rows.column("several").to_pylist(), own, strict=True)]).astype(bool)
+        order, rank = _ranks(flat)
+        many = np.zeros(int(rank.max(initial=0)) + 1, bool)
+        many[rank[often]] = True
+        often = many[rank] | (np.bincount(rank)[rank] > 1)
+        bits = [np.packbits(x).tobytes() for x in np.split(often, np.cumsum([len(o) for o in own])[:-1])]
+        return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([0] * len(bits), pa.int32()), "data": pa.array(bits, pa.binary()), "which": pa.nulls(len(bits), pa.binary())})
 
     def strings(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
-        bits = dict(zip(said.column("share").to_pylist(), said.column("data").to_pylist(), strict=True))
-        runs = Runs(_bytes(rows.column("text")), ids_of(rows), shares, bits)
-        out = [(key[0].as_py(), s, b"".join(x), np.fromiter(map(len, x), "<i8", len(x)).tobytes(), ids.tobytes()) for s, x, ids in runs.rows()]
-        return _table("block share strings sizes ids", out, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()))
+        texts = _bytes(rows.column("text"))
+        runs = Runs(texts, shares, dict(zip(said.column("share").to_pylist(), said.column("data").to_pylist(), strict=True)))
+        out = [(key[0].as_py(), s, b"".join(x), np.fromiter(map(len, x), "<u4", len(x)).tobytes(), least.tobytes(), which.astype("<u4").tobytes()) for s, x, least, which in runs.strings(texts, ids_of(rows))]
+        return _table("block share strings sizes ids which", out, (pa.int32(), pa.int32(), *[pa.binary()] * 4))
 
     def merge(rows: pa.Table) -> pa.Table:
         groups = []
         for joined, sizes, ids in zip(*(rows.column(c).to_pylist() for c in ("strings", "sizes", "ids")), strict=True):
-            ends = np.cumsum(np.frombuffer(sizes, "<i8")).tolist()
+            ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
             groups.append(([joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.frombuffer(ids, "<i8")))
         answers = [x.tobytes() for x in least_ids(groups)]
-        return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([1] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary())})
+        return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([1] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary()), "which": rows.column("which")})
 
     def finish(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
-        texts, ids = _bytes(rows.column("text")), ids_of(rows)
+        texts = _bytes(rows.column("text"))
         bits, answers = {}, {}
-        for s, kind, data in zip(*(said.column(c).to_pylist() for c in ("share", "kind", "data")), strict=True):
-            (answers if kind else bits)[s] = data
-        runs = Runs(texts, ids, shares, bits)
-        spans: list[list[tuple[int, int]]] = [[] for _ in texts]
-        p = runs.all
-        for s, own, _ in runs.rows():
-            least, at = np.frombuffer(answers[s], "<i8"), 0
-            for x in own:
-                mine = least[at : at + len(x) - SPAN + 1]
-                at += len(mine)
-                for k in runs.strings[s][x]:
-                    d, b = int(p.doc[k]), int(p.begin[k])
-                    edge = np.flatnonzero(np.diff(np.r_[0, mine < ids[d], 0]))
-                    spans[d] += [(b + i, b + j + SPAN - 1) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True)]
-        return make(rows, texts, [_merged(x) for x in spans])
-
-    answer = "block int, share int, kind int, data binary"
+        for s, kind, data, which in zip(*(said.column(c).to_pylist() for c in ("share", "kind", "data", "which")), strict=True):
+            if kind:
+                answers[s] = data, which
+            else:
+                bits[s] = data
+        return make(rows, texts, Runs(texts, shares, bits).removed(texts, ids_of(rows), answers))
+
+    answer = "block int, share int, kind int, data binary, which binary"
     told = df.groupBy("block").applyInArrow(hashes, "block int, share int, hashes binary, several binary").groupBy("share").applyInArrow(common, answer)
-    asked = df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strings, "block int, share int, strings binary, sizes binary, ids binary")
+    asked = df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strings, "block int, share int, strings binary, sizes binary, ids binary, which binary")
     merged = asked.groupBy("share").applyInArrow(merge, answer)
     return df.groupBy("block").cogroup(told.unionByName(merged).groupBy("block")).applyInArrow(finish, schema)
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        else:
-            out.append((a, b))
-    return out
-
-
 def digests(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
