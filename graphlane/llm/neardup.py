@@ -18,6 +18,7 @@ PERCENT = 80  # least similarity
 WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 SKETCH_BITS = 18  # counters by which shingles are ordered: 2**18 of one byte
 SALTS = 32
+BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
 
 
@@ -196,8 +197,8 @@ def components(links: DataFrame) -> DataFrame:
             return state.select("node", "component")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """node, n and keys of the sets of the documents in wanted (doc_id)."""
+def _keyed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """node and keys of the set of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,7 +206,13 @@ def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
             keys = [ranked(s, sent.value) for s in shingle_sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(k) for k in keys], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "keys"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(run, "node long, keys binary")
+    return docs.select("text").mapInArrow(run, "node long, keys binary")
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """node and keys of the sets of the documents in wanted (doc_id)."""
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return _keyed(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rarity)
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -261,8 +268,9 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long"))
     first_pairs = lists.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     nodes = lists.select("node").distinct()
-    wanted = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").select("doc_id")
-    sets = written(_sets(ids.where(F.col("doc_id").isNotNull()), wanted, rarity).unionByName(_sets_without_ids(ids, nodes, rarity)).dropDuplicates(["node"]))
+    wanted = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").where(F.col("doc_id").isNotNull()).select("doc_id")
+    wanted = written(wanted)
+    sets = written(_sets(ids, wanted, rarity).unionByName(_sets_without_ids(ids, members, nodes, rarity)))
     found = written(_overlaps(first_pairs, sets))
     links = found.where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
     state = components(links)
@@ -292,9 +300,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_without_ids(ids: DataFrame, nodes: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """Sets of rows that have no doc_id, which no join by id reaches."""
-    return _sets(ids.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(0)), ids.sparkSession.range(1).select(F.lit(0).alias("doc_id")), rarity).join(nodes, "node", "left_semi")
+def _sets_without_ids(ids: DataFrame, members: DataFrame, nodes: DataFrame, rarity: np.ndarray) -> DataFrame:
+    """Sets that only rows without a doc_id have, which no join by id reaches."""
+    named = members.groupBy("node").agg(F.max("doc_id").alias("m")).where("m is null").select("node").join(nodes, "node", "left_semi")
+    return _keyed(ids.where(F.col("doc_id").isNull()), rarity).join(named, "node", "left_semi").dropDuplicates(["node"])
 
 
 def one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
