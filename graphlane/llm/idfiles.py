@@ -33,7 +33,7 @@ class UnitCoder:
     library once and its ids are kept for later texts.
     """
 
-    MOST = 1_500_000  # units that are kept
+    MOST = 800_000  # units that are kept
 
     def __init__(self, path: str) -> None:
         self.encoder = encoder(path)
@@ -225,7 +225,7 @@ def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None) -> Dat
 
         for batch in batches:
             row_type = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 1000):
+            for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 1000)
                 coded = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
                 for d, x in zip(some.column("doc_id").to_pylist(), coded, strict=True):
