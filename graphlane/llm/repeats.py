@@ -273,6 +273,10 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
     shares = 4 * blocks
     df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartition(blocks, "block")
 
+    def in_order(rows: pa.Table) -> pa.Table:
+        """A block's rows arrive in any order, and twice: runs are numbered alike only in one order."""
+        return rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
     def ids_of(rows: pa.Table) -> np.ndarray:
         return np.array([NO_ID if d is None else d for d in rows.column("doc_id").to_pylist()], np.int64)
 
@@ -300,6 +304,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
         return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([0] * len(bits), pa.int32()), "data": pa.array(bits, pa.binary()), "which": pa.nulls(len(bits), pa.binary())})
 
     def strings(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
+        rows = in_order(rows)
         texts = _bytes(rows.column("text"))
         runs = Runs(texts, shares, dict(zip(said.column("share").to_pylist(), said.column("data").to_pylist(), strict=True)))
         out = [(key[0].as_py(), s, b"".join(x), np.fromiter(map(len, x), "<u4", len(x)).tobytes(), least.tobytes(), which.astype("<u4").tobytes()) for s, x, least, which in runs.strings(texts, ids_of(rows))]
@@ -314,6 +319,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
         return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([1] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary()), "which": rows.column("which")})
 
     def finish(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
+        rows = in_order(rows)
         texts = _bytes(rows.column("text"))
         bits, answers = {}, {}
         for s, kind, data, which in zip(*(said.column(c).to_pylist() for c in ("share", "kind", "data", "which")), strict=True):
