@@ -18,6 +18,7 @@ PERCENT = 80  # least similarity
 WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 SKETCH_BITS = 18  # counters by which shingles are ordered: 2**18 of one byte
 SALTS = 32
+STAR_ROUNDS = 4  # rounds in which lists are compared with one of their sets only, before all of what is left
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
 
@@ -153,17 +154,18 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     begins = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
     sizes = np.diff(np.r_[begins, len(e)])
     share = rows.column("share")[0].as_py()
-    gid, nodes, ns, poss, leaders = [], [], [], [], []
+    gid, nodes, ns, poss, leaders, times = [], [], [], [], [], []
     known: dict[bytes, int] = {}
     for b, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         own = e[b : b + m]
         n, pos = own["n"].astype(np.int64), own["pos"].astype(np.int64)
-        # equal lists of a share are one; each set keeps its foremost place
+        # equal lists of a share are one that counts as many; each set keeps its foremost place
         same = own["node"].tobytes()
         if same in known:
             at = known[same]
-            for k, p in enumerate(pos.tolist()):
-                poss[at + k] = min(poss[at + k], p)
+            for k, p in enumerate(pos.tolist(), at):
+                poss[k] = min(poss[k], p)
+                times[k] += 1
             continue
         known[same] = len(gid)
         first = 0
@@ -177,7 +179,8 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
         ns += n.tolist()
         poss += pos.tolist()
         leaders += lead
-    return pa.table({"gid": pa.array(gid, pa.int64()), "node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "pos": pa.array(poss, pa.int64()), "leader": pa.array(leaders, pa.int64())})
+        times += [1] * m
+    return pa.table({"gid": pa.array(gid, pa.int64()), "node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "pos": pa.array(poss, pa.int64()), "leader": pa.array(leaders, pa.int64()), "times": pa.array(times, pa.int64())})
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -209,10 +212,46 @@ def _keyed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, keys binary")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """node and keys of the sets of the documents in wanted (doc_id)."""
-    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return _keyed(docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi"), rarity)
+class Compared:
+    """Pairs of sets that have been compared, in either order once, and the sets read for that."""
+
+    def __init__(self, docs: DataFrame, members: DataFrame, rarity: np.ndarray, percent: int) -> None:
+        self.docs, self.members, self.rarity, self.percent = docs, members, rarity, percent
+        self.found: list[DataFrame] = []
+        self.sets: list[DataFrame] = []
+
+    def all(self) -> DataFrame:
+        """a, b, n_a, n_b, common."""
+        return reduce(DataFrame.unionByName, self.found)
+
+    def links(self) -> DataFrame:
+        return self.all().where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), self.percent)).select("a", "b")
+
+    def add(self, pairs: DataFrame) -> None:
+        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if self.found:
+            pairs = pairs.join(self.all().select("a", "b"), ["a", "b"], "left_anti")
+        pairs = written(pairs)
+        self._read(pairs)
+        self.found.append(written(_overlaps(pairs, reduce(DataFrame.unionByName, self.sets))))
+
+    def _read(self, pairs: DataFrame) -> None:
+        """Makes the sets that aren't there yet, each from one document that has it.
+
+        Sets that only rows without a doc_id have are found by making all of those rows' sets.
+        """
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        for known in self.sets:
+            nodes = nodes.join(known.select("node"), "node", "left_anti")
+        one = written(self.members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi"))
+        wanted = one.where(F.col("doc_id").isNotNull()).select("doc_id")
+        n = wanted.count()
+        if n or not self.sets:
+            self.sets.append(written(_keyed(self.docs.join(F.broadcast(wanted) if n <= BROADCAST_IDS else wanted, "doc_id", "left_semi"), self.rarity)))
+        unnamed = one.where(F.col("doc_id").isNull()).select("node")
+        if unnamed.limit(1).count():
+            rest = _keyed(self.docs.where(F.col("doc_id").isNull()), self.rarity).join(unnamed, "node", "left_semi")
+            self.sets.append(written(rest.dropDuplicates(["node"])))
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -255,44 +294,52 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets and so one component.
 
     Equal sets are one node. Of each node the prefix in the order of rarity is indexed. A first round compares each set
-    of an index list with the list's first set of fitting size; sets that those links connect need no further
-    comparison. Lists that still hold several components are then paired, across components only; a pair is skipped
-    if what is known of both against the first set rules a link out, is linked unread if it proves one, and is compared
-    otherwise. So every link between components is found, whatever the order.
+    of an index list with the list's first set of fitting size, if they share much of their prefixes; sets that those
+    links connect need no further comparison. Some more rounds do so with another set of each list. Lists that still hold several components are then paired, across components only. A pair is skipped if
+    its places in the lists or the prefixes' intersection can't reach what is needed, or if what is known of both
+    against the first set rules a link out; it is linked unread if that proves a link, and is compared otherwise. So every link between components is found, whatever the order.
     """
     ids = docs.select("doc_id", "text")
     rarity = sketch(ids)
     shares = 2 * parts(ids, each=4 << 20)
     index = written(_indexed(ids, rarity, shares, percent))
     members = index.where("share = -1").select("doc_id", F.col("node"), F.col("n").cast("long").alias("n_shingles"))
-    lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long"))
-    first_pairs = lists.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    nodes = lists.select("node").distinct()
-    wanted = members.groupBy("node").agg(F.min("doc_id").alias("doc_id")).join(nodes, "node", "left_semi").where(F.col("doc_id").isNotNull()).select("doc_id")
-    wanted = written(wanted)
-    sets = written(_sets(ids, wanted, rarity).unionByName(_sets_without_ids(ids, members, nodes, rarity)))
-    found = written(_overlaps(first_pairs, sets))
-    links = found.where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b")
-    state = components(links)
-    placed = lists.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
-    open_lists = written(placed.join(mixed, "gid", "left_semi"))
-    x, y = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component"))) for s in "xy")
+    lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long, times long"))
     alpha = F.expr(f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})")
-    rest = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y"))
-    fits = (F.col("component_x") != F.col("component_y")) & ((F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))) & (100 * F.col("n_x") >= percent * F.col("n_y")) & (rest >= alpha)
-    pairs = x.join(y, (x.gid == y.gid) & fits).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
-    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"))
+    beyond = F.expr(f"greatest((n_x * {percent} + 99) div 100, (n_y * {percent} + 99) div 100) - 1")  # what one of them has after its prefix
+    enough = (F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    hopeful = (3 * F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    leading = lists.where("node = leader").select("gid", F.col("leader"), F.col("n").alias("n_x"))
+    star = lists.where("node <> leader").join(leading, ["gid", "leader"]).select(F.col("leader").alias("node_x"), F.col("node").alias("node_y"), "n_x", F.col("n").alias("n_y"), "times")
+    compared = Compared(ids, members, rarity, percent)
+    linked = 0
+    for turn in range(1, STAR_ROUNDS + 2):
+        sums = star.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.sum("times").alias("shared"))
+        compared.add(sums.where(hopeful).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+        state = components(compared.links())
+        placed = lists.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
+        open_lists = written(placed.join(mixed, "gid", "left_semi"))
+        before, linked = linked, state.count()
+        if linked <= 1.01 * before or turn > STAR_ROUNDS:
+            break
+        of_list = open_lists.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("first"))
+        star = open_lists.join(of_list, "gid").where("component <> first.component").select(F.col("first.node").alias("node_x"), F.col("node").alias("node_y"), F.col("first.n").alias("n_x"), F.col("n").alias("n_y"), "times")
+    found = compared.all()
+    x, y = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component", "times"))) for s in "xy")
+    first_of = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
+    fits = (F.col("component_x") != F.col("component_y")) & first_of & (100 * F.col("n_x") >= percent * F.col("n_y"))
+    reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
+    pairs = x.join(y, (x.gid == y.gid) & fits).select("node_x", "node_y", "n_x", "n_y", F.col("times_x").alias("times"), reaches.alias("reaches"), F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
+    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"), F.sum("times").alias("shared"), F.max("reaches").alias("reaches")).where(enough & F.col("reaches"))
     known = found.select(F.col("a").alias("leader"), F.col("b"), F.col("n_a").alias("n_leader"), "common")
     of = lambda s: known.select("leader", F.col("b").alias(f"node_{s}"), F.col("common").alias(f"common_{s}"), *([F.col("n_leader")] if s == "x" else []))
     pairs = pairs.join(of("x"), ["leader", "node_x"], "left").join(of("y"), ["leader", "node_y"], "left")
     most = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
     least = F.col("common_x") + F.col("common_y") - F.col("n_leader")
-    direct = (F.col("node_x") == F.col("leader")) | (F.col("node_y") == F.col("leader"))  # compared in the first round
-    pairs = written(pairs.where(~F.coalesce(direct, F.lit(False))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.coalesce(most < alpha, F.lit(False)).alias("never"), F.coalesce(least >= alpha, F.lit(False)).alias("proved")))
-    second = _overlaps(pairs.where("not never and not proved").select("a", "b"), sets)
-    links = links.union(pairs.where("proved and not never").select("a", "b")).union(second.where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), percent)).select("a", "b"))
-    state = components(links)
+    pairs = written(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.coalesce(most < alpha, F.lit(False)).alias("never"), F.coalesce(least >= alpha, F.lit(False)).alias("proved")))
+    compared.add(pairs.where("not never and not proved").select("a", "b"))
+    state = components(compared.links().union(pairs.where("proved and not never").select("a", "b")))
     own = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
     salted = named.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -300,12 +347,6 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _sets_without_ids(ids: DataFrame, members: DataFrame, nodes: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """Sets that only rows without a doc_id have, which no join by id reaches."""
-    named = members.groupBy("node").agg(F.max("doc_id").alias("m")).where("m is null").select("node").join(nodes, "node", "left_semi")
-    return _keyed(ids.where(F.col("doc_id").isNull()), rarity).join(named, "node", "left_semi").dropDuplicates(["node"])
-
-
 def one_each(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Of each group of near duplicates the row with the least doc_id, with the columns of docs. Documents without
     words stay; so do rows with a null doc_id, which can't be told apart. docs needs distinct doc_id values otherwise."""
