@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import Words, id_type, parts, written
+from graphlane.llm.common import Words, id_type, parts, size_of, written
 
 WORDS = 5  # words of a shingle
 PERCENT = 80  # least similarity
 WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
-SKETCH_BITS = 18  # counters by which shingles are ordered: 2**18 of one byte
+SKETCH_BYTES = 1 << 24  # of the counters by which shingles are ordered, at most: the one array that is broadcast
 SALTS = 32
 STAR_ROUNDS = 4  # rounds in which lists are compared with one of their sets only, before all of what is left
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
@@ -50,30 +50,37 @@ def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.
 
 
 def sketch(docs: DataFrame) -> np.ndarray:
-    """How many documents have a shingle of each hash bucket, as a power of two: 2**SKETCH_BITS bytes at any size of docs."""
+    """How many documents have a shingle of each hash bucket, as twice the logarithm to base 2, in a byte.
+
+    One bucket for each 128 stored bytes of docs, but SKETCH_BYTES at most; the order of shingles follows it, no result.
+    """
+    bits = min(SKETCH_BYTES.bit_length() - 1, max(16, (size_of(docs.select("text")) >> 7).bit_length()))
+    chunks = 64
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS, np.int64)
+        total = np.zeros(1 << bits, np.uint16)
         for batch in _batches(batches):
-            for s in shingle_sets(batch.column("text").to_pylist()):
-                np.add.at(total, (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-        chunks = np.split(total.astype("<i8"), 16)
-        yield pa.RecordBatch.from_arrays([pa.array(range(16), pa.int32()), pa.array([c.tobytes() for c in chunks], pa.binary())], ["chunk", "n"])
+            at = [s >> np.uint64(64 - bits) for s in shingle_sets(batch.column("text").to_pylist())]
+            bucket, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *at]), return_counts=True)
+            total[bucket.astype(np.int64)] = np.minimum(total[bucket.astype(np.int64)] + n, 65535).astype(np.uint16)
+        own = [c.astype("<u2").tobytes() for c in np.split(total, chunks)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(own, pa.binary())], ["chunk", "n"])
 
     def add(rows: pa.Table) -> pa.Table:
-        n = reduce(np.add, (np.frombuffer(x, "<i8") for x in rows.column("n").to_pylist()))
-        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([n.tobytes()], pa.binary())})
+        n = reduce(np.add, (np.frombuffer(x, "<u2").astype(np.int64) for x in rows.column("n").to_pylist()))
+        level = np.round(2 * np.log2(np.maximum(n, 1))).astype(np.uint8)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([level.tobytes()], pa.binary())})
 
-    out = np.zeros(1 << SKETCH_BITS, np.int64)
+    out = np.zeros(1 << bits, np.uint8)
     for r in docs.select("text").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect():
-        own = np.frombuffer(r.n, "<i8")
+        own = np.frombuffer(r.n, np.uint8)
         out[r.chunk * len(own) : (r.chunk + 1) * len(own)] = own
-    return np.ceil(np.log2(np.maximum(out, 1))).astype(np.uint8)
+    return np.minimum(out, 63)
 
 
 def ranked(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     """Shingles as numbers in one order for all sets: those of rare buckets first. 58 bits of the hash stay."""
-    rank = rarity[(s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    rank = rarity[(s >> np.uint64(65 - len(rarity).bit_length())).astype(np.int64)].astype(np.uint64)
     return np.sort(rank << np.uint64(58) | (s & np.uint64((1 << 58) - 1)))
 
 
@@ -296,7 +303,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Equal sets are one node. Of each node the prefix in the order of rarity is indexed. A first round compares each set
     of an index list with the list's first set of fitting size, if they share much of their prefixes; sets that those
     links connect need no further comparison. Some more rounds do so with another set of each list. Lists that still hold several components are then paired, across components only. A pair is skipped if
-    its places in the lists or the prefixes' intersection can't reach what is needed, or if what is known of both
+    its places in the lists can't reach the needed intersection, or if what is known of both
     against the first set rules a link out; it is linked unread if that proves a link, and is compared otherwise. So every link between components is found, whatever the order.
     """
     ids = docs.select("doc_id", "text")
@@ -307,7 +314,6 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long, times long"))
     alpha = F.expr(f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})")
     beyond = F.expr(f"greatest((n_x * {percent} + 99) div 100, (n_y * {percent} + 99) div 100) - 1")  # what one of them has after its prefix
-    enough = (F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     hopeful = (3 * F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     leading = lists.where("node = leader").select("gid", F.col("leader"), F.col("n").alias("n_x"))
     star = lists.where("node <> leader").join(leading, ["gid", "leader"]).select(F.col("leader").alias("node_x"), F.col("node").alias("node_y"), "n_x", F.col("n").alias("n_y"), "times")
@@ -326,12 +332,12 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         of_list = open_lists.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("first"))
         star = open_lists.join(of_list, "gid").where("component <> first.component").select(F.col("first.node").alias("node_x"), F.col("node").alias("node_y"), F.col("first.n").alias("n_x"), F.col("n").alias("n_y"), "times")
     found = compared.all()
-    x, y = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component", "times"))) for s in "xy")
+    x, y = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component"))) for s in "xy")
     first_of = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     fits = (F.col("component_x") != F.col("component_y")) & first_of & (100 * F.col("n_x") >= percent * F.col("n_y"))
     reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
-    pairs = x.join(y, (x.gid == y.gid) & fits).select("node_x", "node_y", "n_x", "n_y", F.col("times_x").alias("times"), reaches.alias("reaches"), F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
-    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"), F.sum("times").alias("shared"), F.max("reaches").alias("reaches")).where(enough & F.col("reaches"))
+    pairs = x.join(y, (x.gid == y.gid) & fits & reaches).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
+    pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"))
     known = found.select(F.col("a").alias("leader"), F.col("b"), F.col("n_a").alias("n_leader"), "common")
     of = lambda s: known.select("leader", F.col("b").alias(f"node_{s}"), F.col("common").alias(f"common_{s}"), *([F.col("n_leader")] if s == "x" else []))
     pairs = pairs.join(of("x"), ["leader", "node_x"], "left").join(of("y"), ["leader", "node_y"], "left")
