@@ -15,10 +15,10 @@ from graphlane.llm.common import BYTE_VALUES, POWERS, block_of, id_type, parts
 SPAN = 50  # bytes of a passage
 GRAM = 24  # bytes of a hashed gram; each passage is dealt by the least hash of its grams
 CHUNK = 1 << 18  # bytes that are hashed at once
-MAX_SHARDS = 4
+MAX_SHARDS = 2
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: not less than any
 STRIDE = 8  # bytes by which the interleave is refined at once
-BLOCK_BYTES = 5 << 20
+BLOCK_BYTES = 4 << 20
 
 
 class Passages:
@@ -72,23 +72,32 @@ def share_of(value: np.ndarray, shares: int) -> np.ndarray:
     return ((value * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(shares)).astype(np.int64)
 
 
+def _sorted(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys of so many bits, and the keys in that order."""
+    place = max(1, len(key).bit_length())
+    if bits + place > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    packed = key << np.uint64(place)
+    packed |= np.arange(len(key), dtype=np.uint64)
+    packed.sort()
+    order = (packed & np.uint64((1 << place) - 1)).astype(np.int32 if place < 32 else np.int64)
+    packed >>= np.uint64(place)
+    return order, packed
+
+
 def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The positions in order of the keys, first key first, and each position's dense rank; keys are ranks or small numbers."""
-    n = len(keys[0])
     bits = [max(1, int(k.max(initial=0)).bit_length()) for k in keys]
-    place = max(1, n.bit_length())
-    key = np.zeros(n, np.uint64)
-    for k, w in zip(keys, bits, strict=True):
-        key = key << np.uint64(w) | k.astype(np.uint64)
-    if sum(bits) + place <= 64:
-        packed = np.sort(key << np.uint64(place) | np.arange(n, dtype=np.uint64))
-        order = (packed & np.uint64((1 << place) - 1)).astype(np.int64)
-        s = packed >> np.uint64(place)
-    else:
-        order = np.argsort(key)
-        s = key[order]
-    rank = np.empty(n, np.int64)
-    rank[order] = np.cumsum(np.r_[0, s[1:] != s[:-1]])
+    key = keys[0].astype(np.uint64)
+    for k, w in zip(keys[1:], bits[1:], strict=True):
+        key <<= np.uint64(w)
+        key |= k.astype(np.uint64)
+    order, s = _sorted(key, sum(bits))
+    step = np.zeros(len(s), np.uint32)
+    step[1:] = s[1:] != s[:-1]
+    rank = np.empty(len(s), np.uint32)
+    rank[order] = np.cumsum(step, dtype=np.uint32)
     return order, rank
 
 
@@ -114,7 +123,7 @@ def shards_of(strings: list[bytes], most: int = MAX_SHARDS) -> list[Shard]:
         return np.concatenate([np.roll(p, -by) for p in parts])
 
     cuts = np.cumsum([len(r) for r in raws])[:-1]
-    rank = np.concatenate(raws).astype(np.int64)
+    rank = np.concatenate(raws)
     span = 1
     while span < STRIDE:
         _, rank = _ranks(rank, ahead(np.split(rank, cuts), span))
@@ -133,19 +142,23 @@ def intervals(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
     base = np.cumsum([0, *(len(s.raw) for s in shards)])
     n = int(base[-1])
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), np.diff(base))
-    interval = np.zeros(n, np.int64)
-    before = {STRIDE: np.concatenate([np.roll(s.eight, STRIDE)[s.order] for s in shards])}
+    interval = np.zeros(n, np.uint32)
     rest = SPAN % STRIDE
-    letters = [sum((np.roll(s.raw, rest - j).astype(np.int64) << (8 * (rest - 1 - j)) for j in range(rest)), np.int64(0)) for s in shards]
-    before[rest] = np.concatenate([x[s.order] for x, s in zip(letters, shards, strict=True)])
-    for step in [STRIDE] * (SPAN // STRIDE) + [rest]:
-        letter = np.empty(n, np.int64)
-        letter[np.argsort(source, kind="stable")] = before[step]
-        order, _ = _ranks(letter)
-        letter, source, interval = letter[order], source[order], interval[order]
-        interval = np.cumsum(np.r_[0, (letter[1:] != letter[:-1]) | (interval[1:] != interval[:-1])])
+    before = {STRIDE: [np.roll(s.eight, STRIDE)[s.order] for s in shards]}
+    before[rest] = [sum((np.roll(s.raw, rest - j).astype(np.uint32) << np.uint32(8 * (rest - 1 - j)) for j in range(rest)), np.uint32(0))[s.order] for s in shards]
+    letter = np.empty(n, np.uint64)
+    step = np.zeros(n, np.uint32)
+    for stride in [STRIDE] * (SPAN // STRIDE) + [rest]:
+        for k in range(len(shards)):
+            letter[source == k] = before[stride][k]
+        order, dealt = _sorted(letter, max(int(x.max()) for x in before[stride]).bit_length())
+        source, interval = source[order], interval[order]
+        step[1:] = dealt[1:] != dealt[:-1]
+        step[1:] |= interval[1:] != interval[:-1]
+        interval = np.cumsum(step, dtype=np.uint32)
     out = np.empty(n, np.int64)
-    out[np.argsort(source, kind="stable")] = np.concatenate([base[k] + s.order for k, s in enumerate(shards)])
+    for k, s in enumerate(shards):
+        out[source == k] = base[k] + s.order
     return out, interval
 
 
@@ -221,7 +234,7 @@ class Runs:
         """answers: per share the least doc_id of each passage of its strings, and each run's string. The bytes to remove of each text."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(sizes) - sizes
-        change = np.zeros(int(sizes.sum()) + 1, np.int32)
+        places = [np.zeros(0, np.int64)]
         for s, own in self.by_share:
             least, which = (np.frombuffer(x, kind) for x, kind in zip(answers[s], ("<i8", "<u4"), strict=True))
             count = self.count[own]
@@ -230,10 +243,14 @@ class Runs:
             at = np.cumsum(of_string) - of_string
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
             goes = least[np.repeat(at[which], count) + step] < np.repeat(ids[self.doc[own]], count)
-            place = (np.repeat(first[self.doc[own]] + self.begin[own], count) + step)[goes]
-            change += np.bincount(place, minlength=len(change)).astype(np.int32)
-            change -= np.bincount(place + SPAN, minlength=len(change)).astype(np.int32)
-        gone = np.cumsum(change) > 0
+            places.append((np.repeat(first[self.doc[own]] + self.begin[own], count) + step)[goes])
+        gone = np.zeros(int(sizes.sum()) + 1, bool)
+        gone[np.concatenate(places)] = True  # where a passage to remove begins; its other bytes follow by doubling
+        span = 1
+        while span < SPAN:
+            more = min(span, SPAN - span)
+            gone[more:] |= gone[:-more].copy()
+            span += more
         edge = np.zeros(len(gone) + 1, bool)
         edge[1:] = gone
         begins = edge[1:] & ~edge[:-1]
@@ -270,7 +287,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("doc_id must be an integer")
     blocks = parts(docs.select("doc_id", "text"), each=block_bytes)
-    shares = 4 * blocks
+    shares = 8 * blocks
     df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartition(blocks, "block")
 
     def in_order(rows: pa.Table) -> pa.Table:
