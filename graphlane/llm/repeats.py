@@ -286,7 +286,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
     """
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("doc_id must be an integer")
-    blocks = parts(docs.select("doc_id", "text"), each=block_bytes)
+    blocks = parts(docs.select("doc_id", "text"), each=block_bytes, least=24)
     shares = 8 * blocks
     df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartition(blocks, "block")
 
