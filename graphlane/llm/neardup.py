@@ -18,7 +18,7 @@ PERCENT = 80  # least similarity
 WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 SKETCH_BYTES = 1 << 24  # of the counters by which shingles are ordered, at most: the one array that is broadcast
 SALTS = 32
-STAR_ROUNDS = 4  # rounds in which lists are compared with one of their sets only, before all of what is left
+STAR_ROUNDS = 3  # rounds in which lists are compared with one of their sets only, before all of what is left
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
 
@@ -151,7 +151,7 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     """Index lists of more than one set, each entry with the list's first set of which it may be similar.
 
     Lists are sorted by set size and skipped along: a set is looked up only among the sets at least `percent` of its
-    size; entries so far back in both sets that what follows can't reach the needed intersection don't count.
+    size; entries so far back in both sets that what follows can't reach the needed intersection with any other don't count.
     """
     kind = [("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")]
     e = np.concatenate([np.frombuffer(x, kind) for x in rows.column("entries").to_pylist()])
@@ -166,6 +166,20 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     for b, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         own = e[b : b + m]
         n, pos = own["n"].astype(np.int64), own["pos"].astype(np.int64)
+        # of two similar sets' first common entry, the smaller set's stands early; later entries need an early partner
+        rest = n - pos
+        early = np.flatnonzero(rest >= _needed(n, n, percent))
+        if not len(early):
+            continue
+        sizes_of = n[early]
+        at = np.searchsorted(sizes_of, -(-n * percent // 100))
+        partner = sizes_of[np.minimum(at, len(early) - 1)]
+        kept = (at < len(early)) & (partner <= n) & (rest >= _needed(np.minimum(partner, n), n, percent))
+        kept[early] = True
+        if kept.sum() < 2:
+            continue
+        own, n, pos = own[kept], n[kept], pos[kept]
+        m = len(own)
         # equal lists of a share are one that counts as many; each set keeps its foremost place
         same = own["node"].tobytes()
         if same in known:
@@ -314,7 +328,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long, times long"))
     alpha = F.expr(f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})")
     beyond = F.expr(f"greatest((n_x * {percent} + 99) div 100, (n_y * {percent} + 99) div 100) - 1")  # what one of them has after its prefix
-    hopeful = (3 * F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    hopeful = (9 * F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
     leading = lists.where("node = leader").select("gid", F.col("leader"), F.col("n").alias("n_x"))
     star = lists.where("node <> leader").join(leading, ["gid", "leader"]).select(F.col("leader").alias("node_x"), F.col("node").alias("node_y"), "n_x", F.col("n").alias("n_y"), "times")
     compared = Compared(ids, members, rarity, percent)
