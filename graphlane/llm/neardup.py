@@ -43,6 +43,11 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     return out
 
 
+def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """The least intersection of sets of n and m that are similar: 100 i >= percent (n + m - i)."""
+    return -(-(n + m) * percent // (100 + percent))
+
+
 def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
