@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,163 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from graphlane.llm.common import id_type
-
-LONG = 1 << 16  # characters from which a text is encoded in pieces
-UNSPLIT = 1 << 10  # bytes from which a part that the splitting rule leaves whole is encoded in halves
-AT_ONCE = 1 << 19  # characters given to the library at once, which bounds the memory of its results
-
-
-class Encoder:
-    """encode() gives what the library's encode(text, add_special_tokens=False).ids gives."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.split = self.library.pre_tokenizer.pre_tokenize_str
-        self.plain = Tokenizer.from_file(path)  # without splitting: for parts that are split already, in the library's byte letters
-        from tokenizers import pre_tokenizers
-
-        self.plain.pre_tokenizer = pre_tokenizers.Split("\0", "isolated")  # a letter that never occurs
-        self.plain.no_truncation()
-        self.plain.no_padding()
-        self.letters = {i: t for t, i in self.library.get_vocab(with_added_tokens=False).items()}
-        self.agrees = cache(lambda a, b: self.direct(self.letters[a] + self.letters[b]) == [a, b])
-
-    def batch(self, texts: list[str]) -> list[list[int]]:
-        out: list[list[int]] = []
-        todo: list[str] = []
-        size = 0
-        for t in [*texts, None]:
-            if todo and (t is None or size + len(t) > AT_ONCE):
-                out += [e.ids for e in self.library.encode_batch_fast(todo, add_special_tokens=False)]
-                todo, size = [], 0
-            if t is not None:
-                todo.append(t)
-                size += len(t)
-        return out
-
-    def direct(self, letters: str) -> list[int]:
-        return self.plain.encode(letters, add_special_tokens=False).ids
-
-    def whole(self, letters: str) -> list[int]:
-        """A part that isn't split, by halves of halves."""
-        if len(letters) <= UNSPLIT:
-            return self.direct(letters)
-        m = len(letters) // 2
-        return self.join_ids(self.whole(letters[:m]), self.whole(letters[m:]))
-
-    def join_ids(self, a: list[int], b: list[int]) -> list[int]:
-        """The encoding of the joined letters of two encodings.
-
-        An encoding is the right one exactly if each two neighbours encode to themselves. So a growing window round
-        the join is encoded again until it agrees with its neighbours on both sides.
-        """
-        if not a or not b:
-            return a + b
-        w = 0
-        while True:
-            left, right = a[: len(a) - w], b[w:]
-            middle = self.direct("".join(self.letters[i] for i in a[len(a) - w :] + b[:w])) if w else []
-            line = left[-1:] + middle + right[:1]
-            ends = [(line[0], line[1]), (line[-2], line[-1])] if len(line) > 1 else []
-            if left[-1:] == [] and ends:
-                ends = ends[1:]
-            if right[:1] == [] and ends:
-                ends = ends[:-1]
-            if all(self.agrees(*e) for e in ends):
-                return left + middle + right
-            w = max(1, 2 * w)
-
-    def parts(self, letters: list[str]) -> list[list[int]]:
-        short = {x: None for x in letters if len(x) <= UNSPLIT}
-        known = dict(zip(short, (e.ids for e in self.plain.encode_batch_fast(list(short), add_special_tokens=False)), strict=True)) if short else {}
-        return [known[x] if x in known else self.whole(x) for x in letters]
-
-    def piece(self, text: str) -> Piece:
-        """A piece without special tokens."""
-        split = self.split(text)
-        return Piece(text, [s for _, (s, _) in split], self.parts([x for x, _ in split]))
-
-    def join(self, a: Piece, b: Piece) -> Piece:
-        """The piece of both texts: a growing window round the join is split and encoded again.
-
-        From a place on where a part begins in the window and in b alike, b's encoding holds; up to the place where
-        the window begins, a's does.
-        """
-        if not a.text or not b.text:
-            return a if a.text else b
-        m, text, k = len(a.text), a.text + b.text, 2
-        b_starts = [m + s for s in b.starts]
-        at = {s: i for i, s in enumerate(b_starts)}
-        while True:
-            i = max(0, len(a.starts) - k)
-            begin = a.starts[i]
-            end = b_starts[k] if k < len(b_starts) else len(text)
-            split = [(x, begin + s, begin + e) for x, (s, e) in self.split(text[begin:end])]
-            sync = next((n for n, (_, s, _) in enumerate(split) if s >= m and s in at), None)
-            if sync is not None or end == len(text):
-                break
-            k *= 2
-        middle = split if sync is None else split[:sync]
-        ids = [None if s == a.starts[-1] and e == (b_starts[1] if len(b_starts) > 1 else len(text)) else x for x, s, e in middle]
-        coded = iter(self.parts([x for x in ids if x is not None]))
-        middle_ids = [self.join_ids(a.ids[-1], b.ids[0]) if x is None else next(coded) for x in ids]
-        j = len(b.starts) if sync is None else at[split[sync][1]]
-        return Piece(text, a.starts[:i] + [s for _, s, _ in middle] + b_starts[j:], a.ids[:i] + middle_ids + b.ids[j:])
-
-    def tree(self, pieces: list[Piece]) -> Piece:
-        while len(pieces) > 1:
-            pieces = [self.join(*pieces[k : k + 2]) if k + 1 < len(pieces) else pieces[k] for k in range(0, len(pieces), 2)]
-        return pieces[0]
-
-    def cut(self, text: str, size: int = LONG) -> list[tuple[int, int, str]]:
-        """(section, piece, text): sections end at special tokens, whose own section has the number of the id, negative, as its piece."""
-        out, rest, section = [], text, 0
-        while True:
-            found = min(((rest.find(t), -len(t), t) for t in self.special if t in rest), default=None)
-            own = rest if found is None else rest[: found[0]]
-            out += [(section, k // size, own[k : k + size]) for k in range(0, len(own), size)]
-            if found is None:
-                return out
-            out.append((section + 1, -1 - self.special[found[2]], ""))
-            rest, section = rest[found[0] - found[1] :], section + 2
-
-    def long(self, text: str, size: int = LONG) -> list[int]:
-        return self.assemble([(s, p, None if p < 0 else self.piece(t)) for s, p, t in self.cut(text, size)])
-
-    def assemble(self, pieces: list[tuple[int, int, Piece | None]]) -> list[int]:
-        sections: dict[int, list] = {}
-        for s, p, x in sorted(pieces, key=lambda y: y[:2]):
-            sections.setdefault(s, []).append((p, x))
-        out: list[int] = []
-        for own in sections.values():
-            out += [-1 - own[0][0]] if own[0][0] < 0 else self.tree([x for _, x in own]).flat()
-        return out
-
-
-class Piece:
-    """A text, where its parts by the splitting rule begin, and the ids of each part."""
-
-    def __init__(self, text: str, starts: list[int], ids: list[list[int]]) -> None:
-        self.text, self.starts, self.ids = text, starts, ids
-
-    def flat(self) -> list[int]:
-        return [i for part in self.ids for i in part]
-
-
-@cache
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
-def little_endian(ids: list[int]) -> bytes:
-    return np.array(ids, "<u4").tobytes()
-
+from graphlane.llm.tokens import LONG, Piece, encoder, little_endian, unit_coder
 
 def encode(docs: DataFrame, path: str, long: int = LONG) -> DataFrame:
     """docs with the column ids: the token ids of text as little-endian unsigned 32-bit integers.
@@ -191,11 +33,18 @@ def encode(docs: DataFrame, path: str, long: int = LONG) -> DataFrame:
     return short.unionByName(joined.select("row.*", "ids"))
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _short(path):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = encoder(path).batch([t or "" for t in batch.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([little_endian(x) for x in ids], pa.binary())], [*batch.schema.names, "ids"])
+        for some in _slices(batches):
+            ids = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
+            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*some.schema.names, "ids"])
 
     return run
 
@@ -248,7 +97,7 @@ def decode(coded: DataFrame, path: str) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in coded.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded(path, batch.column("ids").to_pylist()), pa.string())], [*batch.schema.names, "decoded"])
 
     return coded.mapInArrow(run, f"{fields}, decoded string")
@@ -265,7 +114,7 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see encode and decode)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             ids = batch.column("ids").to_pylist()
             sha = [hashlib.sha256(x).hexdigest() for x in ids]
             texts = [hashlib.sha256(t.encode()).hexdigest() for t in decoded(path, ids)]

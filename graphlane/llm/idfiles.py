@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -13,122 +11,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlane.llm.bpe import encoder
-from graphlane.llm.common import BYTE_VALUES, POWERS, id_type, member, mix, parts, scratch, written
+from graphlane.llm.common import id_type, parts, scratch, written
+from graphlane.llm.tokens import encoder, unit_coder
 
 LIMIT = 18  # bits of the longest code
 STEP = 64  # ids between two checkpoints
 BLOCK = 1 << 19  # ids from which a block ends; a document is never cut
 
-# White space that takes more than a byte, or that not all libraries count as such: texts with it go to the library whole.
-RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
-
-
-class UnitCoder:
-    """Encodes texts by their units: what lies between places where a space follows another character than white space.
-
-    The library splits there whatever else stands in the text, and goes on as at the beginning of a text. So the ids of
-    a text are those of its units. Each distinct unit, known by 64 bits of hash with its length, is given to the
-    library once and its ids are kept for later texts.
-    """
-
-    MOST = 800_000  # units that are kept
-
-    def __init__(self, path: str) -> None:
-        self.encoder = encoder(path)
-        size = self.encoder.library.get_vocab_size()
-        self.width = np.zeros(size, np.int64)
-        for i, letters in self.encoder.letters.items():
-            self.width[i] = len(letters)
-        for text, i in self.encoder.special.items():
-            self.width[i] = len(text.encode())
-        self.whole = [t for t in self.encoder.special if " " in t]
-        self.forget()
-
-    def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = []
-        for k, t in enumerate(texts):
-            if RARE_SPACE.search(t) or any(x in t for x in self.whole):
-                out[k] = np.array(self.encoder.batch([t])[0], np.uint32)
-            else:
-                plain.append(k)
-        flat, sizes = self.units([texts[k].encode() for k in plain])
-        ends = np.cumsum(sizes).tolist()
-        for k, a, b in zip(plain, [0, *ends], ends, strict=False):
-            out[k] = flat[a:b]
-        return out
-
-    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each one has."""
-        buffer = b"".join(texts)
-        raw = np.frombuffer(buffer, np.uint8)
-        n = len(raw)
-        lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-        if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
-        first = np.cumsum(lengths) - lengths
-        starts = np.zeros(n, bool)
-        starts[1:] = (raw[1:] == 32) & ~SPACE[raw[:-1]]
-        starts[first[lengths > 0]] = True
-        at = np.flatnonzero(starts)
-        size = np.diff(np.r_[at, n])
-        up, down = POWERS.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[raw] * up[:n], out=sums[1:])
-        h = mix((sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        values, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.MOST:
-            self.forget()
-        new = ~member(values, self.known)
-        self.learn(values[new], [buffer[a : a + b] for a, b in zip(at[where[new]].tolist(), size[where[new]].tolist(), strict=True)])
-        place = np.searchsorted(self.known, values)[back]
-        counts = self.size[place]
-        total = np.cumsum(counts)
-        flat = self.flat[np.repeat(self.begin[place] - (total - counts), counts) + np.arange(total[-1])]
-        owner = np.searchsorted(first + lengths, at, side="right")
-        return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
-
-    def learn(self, values: np.ndarray, units: list[bytes]) -> None:
-        """Units that begin with a space and don't end with white space are encoded in one text, which splits between them."""
-        if not units:
-            return
-        joins = np.fromiter((u[:1] == b" " and not SPACE[u[-1]] for u in units), bool, len(units))
-        order = np.argsort(~joins, kind="stable")
-        units = [units[k] for k in order.tolist()]
-        n = int(joins.sum())
-        texts, held, size = [], [], 0
-        for u in units[:n]:
-            held.append(u)
-            size += len(u)
-            if size > 1 << 14:
-                texts.append(b"".join(held).decode())
-                held, size = [], 0
-        if held:
-            texts.append(b"".join(held).decode())
-        coded = [np.array(x, np.uint32) for x in self.encoder.batch(texts + [u.decode() for u in units[n:]])]
-        flat = np.concatenate(coded)
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        upto = np.searchsorted(np.cumsum(self.width[flat]), ends, side="right")
-        begin, size = np.r_[0, upto[:-1]], np.diff(np.r_[0, upto])
-        known = np.concatenate([self.known, values[order]])
-        sort = np.argsort(known, kind="stable")
-        self.known = known[sort]
-        self.begin = np.concatenate([self.begin, begin + len(self.flat)])[sort]
-        self.size = np.concatenate([self.size, size])[sort]
-        self.flat = np.concatenate([self.flat, flat])
-
-
-@cache
-def unit_coder(path: str) -> UnitCoder:
-    return UnitCoder(path)
-
-
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Bits of an optimal prefix code of at most `limit` bits, by merging packages; 0 for what doesn't occur."""
     out = np.zeros(len(counts), np.int64)
@@ -226,7 +115,7 @@ def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None) -> Dat
         for batch in batches:
             row_type = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 1000)
+                some = batch.slice(at, 500)
                 coded = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
                 for d, x in zip(some.column("doc_id").to_pylist(), coded, strict=True):
                     own.append(d)
