@@ -269,9 +269,11 @@ class Runs:
 
 
 def _by_share(share: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    if not len(share):
+        return
     order = np.argsort(share, kind="stable")
     s = share[order]
-    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]]) if len(s) else []
+    at = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
     for a, b in zip(at, [*at[1:], len(s)], strict=True):
         yield int(s[a]), order[a:b]
 
