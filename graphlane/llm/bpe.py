@@ -33,7 +33,7 @@ def encode(docs: DataFrame, path: str, long: int = LONG) -> DataFrame:
     return short.unionByName(joined.select("row.*", "ids"))
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     """Few rows at a time, so that what is made of them stays small."""
     for batch in batches:
         for at in range(0, batch.num_rows, rows):

@@ -11,7 +11,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ROWS_AT_ONCE = 1000  # rows of an Arrow batch at most: texts are long, and a batch lies in the JVM and in Python
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
+        spark.conf.set(setting, str(ROWS_AT_ONCE))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -95,7 +101,7 @@ class Powers:
 
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
+            n += n >> 2
             self.up, self.down = (self._powers(b, n) for b in (self.BASE, pow(self.BASE, -1, 1 << 64)))
         return self.up, self.down
 

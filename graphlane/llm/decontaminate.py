@@ -138,8 +138,8 @@ def _passes(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(sent.value)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 400):
+                part = batch.slice(at, 400)
                 texts = [(t or "").encode() for t in part.column("text").to_pylist()]
                 old_ranges, old_items = (part.column(c).to_pylist() for c in ("hit_ranges", "hit_items"))
                 counts, found = index.hits(texts)

@@ -48,7 +48,7 @@ def _needed(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return -(-(n + m) * percent // (100 + percent))
 
 
-def _batches(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+def _batches(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)

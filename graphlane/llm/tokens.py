@@ -180,7 +180,7 @@ class UnitCoder:
     library once and its ids are kept for later texts.
     """
 
-    MOST = 800_000  # units that are kept
+    MOST = 500_000  # units that are kept
 
     def __init__(self, path: str) -> None:
         self.encoder = encoder(path)
