@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from graphlane.llm import bpe, decontaminate, langid, neardup, secrets
-from graphlane.llm.common import table, written
+from graphlane.llm.common import few_rows, table, written
 from graphlane.llm.queries import vocabulary
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a learned language is found."""
+    few_rows(spark)
     return langid.with_language(docs)
 
 

@@ -14,10 +14,15 @@ from pyspark.sql import functions as F
 ROWS_AT_ONCE = 1000  # rows of an Arrow batch at most: texts are long, and a batch lies in the JVM and in Python
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def few_rows(spark: SparkSession) -> None:
+    """Lowers the rows of an Arrow batch for the session, if they are more."""
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
         spark.conf.set(setting, str(ROWS_AT_ONCE))
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    few_rows(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
