@@ -15,6 +15,7 @@ from graphlane.llm.common import id_type, parts, scratch, written
 from graphlane.llm.tokens import encoder, unit_coder
 
 LIMIT = 18  # bits of the longest code
+UNITS = 1_200_000  # distinct units whose ids a task keeps
 STEP = 64  # ids between two checkpoints
 BLOCK = 1 << 19  # ids from which a block ends; a document is never cut
 
@@ -116,7 +117,7 @@ def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None) -> Dat
             row_type = batch.schema.field("doc_id").type
             for at in range(0, batch.num_rows, 500):
                 some = batch.slice(at, 500)
-                coded = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
+                coded = unit_coder(path, UNITS).encode([t or "" for t in some.column("text").to_pylist()])
                 for d, x in zip(some.column("doc_id").to_pylist(), coded, strict=True):
                     own.append(d)
                     ids += [x, tail]

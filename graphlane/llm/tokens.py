@@ -180,9 +180,9 @@ class UnitCoder:
     library once and its ids are kept for later texts.
     """
 
-    MOST = 500_000  # units that are kept
-
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, most: int = 500_000) -> None:
+        """most: units that are kept."""
+        self.most = most
         self.encoder = encoder(path)
         size = self.encoder.library.get_vocab_size()
         self.width = np.zeros(size, np.int64)
@@ -230,7 +230,7 @@ class UnitCoder:
         np.cumsum(BYTE_VALUES[raw] * up[:n], out=sums[1:])
         h = mix((sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         values, where, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.known) > self.MOST:
+        if len(self.known) > self.most:
             self.forget()
         new = ~member(values, self.known)
         self.learn(values[new], [buffer[a : a + b] for a, b in zip(at[where[new]].tolist(), size[where[new]].tolist(), strict=True)])
@@ -272,5 +272,5 @@ class UnitCoder:
 
 
 @cache
-def unit_coder(path: str) -> UnitCoder:
-    return UnitCoder(path)
+def unit_coder(path: str, most: int = 500_000) -> UnitCoder:
+    return UnitCoder(path, most)
