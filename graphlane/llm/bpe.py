@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import id_type
+from graphlane.llm.common import tidy
 from graphlane.llm.tokens import LONG, Piece, encoder, little_endian, unit_coder
 
 def encode(docs: DataFrame, path: str, long: int = LONG) -> DataFrame:
@@ -20,17 +20,25 @@ def encode(docs: DataFrame, path: str, long: int = LONG) -> DataFrame:
     pieces encoded by as many tasks, and joined by document. Other columns and repeated rows stay; one named ids is
     replaced. Memory: a batch of texts; for joining, one text with its ids.
     """
-    docs = docs.drop("ids")
+    return _encoded(docs.drop("ids"), path, "ids binary", lambda ids: [pa.array(ids, pa.binary())], long)
+
+
+def _encoded(docs: DataFrame, path: str, made: str, finish: Callable[[list[bytes]], list[pa.Array]], long: int = LONG) -> DataFrame:
+    """docs with the columns of the schema `made`, which finish makes from the ids of a few texts."""
     size = F.length(F.coalesce("text", F.lit("")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    short = docs.where(size <= long).mapInArrow(_short(path), f"{fields}, ids binary")
+    short = docs.where(size <= long).mapInArrow(_short(path, finish, made), f"{fields}, {made}")
     rest = docs.where(size > long)
     keyed = rest.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("row_no"))
     kind = keyed.schema["row"].dataType.simpleString()
     cut = keyed.mapInArrow(_cut(path, long), f"row_no long, section int, piece int, part string, row {kind}")
     coded = cut.repartition("row_no", "section", "piece").mapInArrow(_pieces(path), f"row_no long, section int, piece int, part string, starts array<int>, ids array<array<int>>, row {kind}")
-    joined = coded.groupBy("row_no").applyInArrow(_joined(path), f"row {kind}, ids binary")
-    return short.unionByName(joined.select("row.*", "ids"))
+    joined = coded.groupBy("row_no").applyInArrow(_joined(path, finish, made), f"row {kind}, {made}")
+    return short.unionByName(joined.select("row.*", *_names(made)))
+
+
+def _names(made: str) -> list[str]:
+    return [f.split()[0] for f in made.split(", ")]
 
 
 def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.RecordBatch]:
@@ -40,13 +48,13 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
-def _short(path):
+def _short(path, finish, made):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _slices(batches):
             ids = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*some.columns, pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], [*some.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*some.columns, *finish([x.astype("<u4").tobytes() for x in ids])], [*some.schema.names, *_names(made)])
 
-    return run
+    return tidy(run)
 
 
 def _cut(path, long):
@@ -77,13 +85,13 @@ def _pieces(path):
     return run
 
 
-def _joined(path):
+def _joined(path, finish, made):
     def run(rows: pa.Table) -> pa.Table:
         columns = [rows.column(c).to_pylist() for c in ("section", "piece", "part", "starts", "ids")]
         pieces = [(s, p, None if p < 0 else Piece(t, starts, ids)) for s, p, t, starts, ids in zip(*columns, strict=True)]
         row = rows.column("row").combine_chunks()
         row = row.filter(row.is_valid())
-        return pa.table({"row": row, "ids": pa.array([little_endian(encoder(path).assemble(pieces))], pa.binary())})
+        return pa.table([row, *finish([little_endian(encoder(path).assemble(pieces))])], ["row", *_names(made)])
 
     return run
 
@@ -113,12 +121,10 @@ def decoded(path: str, ids: list[bytes | None]) -> list[str]:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see encode and decode)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _slices(batches):
-            ids = batch.column("ids").to_pylist()
-            sha = [hashlib.sha256(x).hexdigest() for x in ids]
-            texts = [hashlib.sha256(t.encode()).hexdigest() for t in decoded(path, ids)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def finish(ids: list[bytes]) -> list[pa.Array]:
+        sha = [hashlib.sha256(x).hexdigest() for x in ids]
+        texts = [hashlib.sha256(t.encode()).hexdigest() for t in decoded(path, ids)]
+        return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())]
 
-    coded = encode(docs.select("doc_id", "text"), path).select("doc_id", "ids")
-    return coded.mapInArrow(run, f"doc_id {id_type(docs)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    made = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return _encoded(docs.select("doc_id", "text"), path, made, finish).select("doc_id", *_names(made))

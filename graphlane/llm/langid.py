@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import held_out, id_type
+from graphlane.llm.common import held_out, id_type, tidy
 
 SAMPLE_BYTES = 32 << 10  # learned text of a language
 SAMPLE_DOCS = 64  # documents that it comes from
@@ -166,17 +167,20 @@ def predicted(docs: DataFrame, samples: tuple[tuple[str, bytes], ...]) -> DataFr
     learned. Equal costs go to the language that sorts first. Other columns and repeated rows stay; columns of those
     two names are replaced.
     """
-    docs = docs.drop("lang_pred", "score")
+    return _predicted(docs.drop("lang_pred", "score"), samples, lambda batch: batch.column("text"))
+
+
+def _predicted(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_of: Callable[[pa.RecordBatch], pa.Array]) -> DataFrame:
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                names, sure = model(samples).predict(part.column("text").to_pylist())
+            for at in range(0, batch.num_rows, 250):
+                part = batch.slice(at, 250)
+                names, sure = model(samples).predict(text_of(part).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(sure, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double")
+    return docs.mapInArrow(tidy(run), f"{fields}, lang_pred string, score double")
 
 
 def identified(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
@@ -188,4 +192,6 @@ def identified(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFra
 
 def with_language(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
     """The documents of docs in which a learned language is found with at least keep_score, with the columns of docs."""
-    return predicted(docs.withColumn("_kept", F.struct(*docs.columns)).select("text", "_kept"), learn(docs)).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= keep_score)).select("_kept.*")
+    rows = docs.select(F.struct(*docs.columns).alias("_kept"))
+    found = _predicted(rows, learn(docs), lambda batch: pc.struct_field(batch.column("_kept"), "text"))
+    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= keep_score)).select("_kept.*")
