@@ -8,19 +8,22 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import Words, id_type, parts, size_of, written
+from graphlane.llm.common import Words, id_type, parts, size_of, tidy, written
 
 WORDS = 5  # words of a shingle
 PERCENT = 80  # least similarity
 WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 SKETCH_BYTES = 1 << 24  # of the counters by which shingles are ordered, at most: the one array that is broadcast
 SALTS = 32
+PASSING = 128  # sets that pass by one read of the set that they are compared with
 STAR_ROUNDS = 3  # rounds in which lists are compared with one of their sets only, before all of what is left
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
+ENTRY = np.dtype([("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")])
 
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
@@ -77,7 +80,7 @@ def sketch(docs: DataFrame) -> np.ndarray:
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([level.tobytes()], pa.binary())})
 
     out = np.zeros(1 << bits, np.uint8)
-    for r in docs.select("text").mapInArrow(count, "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect():
+    for r in docs.select("text").mapInArrow(tidy(count), "chunk int, n binary").groupBy("chunk").applyInArrow(add, "chunk int, n binary").collect():
         own = np.frombuffer(r.n, np.uint8)
         out[r.chunk * len(own) : (r.chunk + 1) * len(own)] = own
     return np.minimum(out, 63)
@@ -90,7 +93,7 @@ def ranked(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
 
 
 def node_of(keys: np.ndarray) -> int:
-    """A set's number: 63 bits of a digest."""
+    """The number of a set, or of a list of sets: 63 bits of a digest."""
     return int(np.frombuffer(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), np.uint64)[0] & NODE_BITS)
 
 
@@ -99,6 +102,22 @@ def prefix(n: int, percent: int) -> int:
     return n - -(-n * percent // 100) + 1
 
 
+def _pack(entries: np.ndarray) -> bytes:
+    """Index entries, column by column, compressed: a set's entries stand together, so its number repeats."""
+    return zstandard.ZstdCompressor(3).compress(b"".join(np.ascontiguousarray(entries[c]).tobytes() for c in ENTRY.names))
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = len(raw) // ENTRY.itemsize
+    out, at = np.zeros(n, ENTRY), 0
+    for c in ENTRY.names:
+        size = n * ENTRY[c].itemsize
+        out[c] = np.frombuffer(raw[at : at + size], ENTRY[c])
+        at += size
+    return out
+
+
 def _indexed(docs: DataFrame, rarity: np.ndarray, shares: int, percent: int) -> DataFrame:
     """A row per document (share -1) with its set's number and size, and index entries of the sets' prefixes as rows per share."""
     kind = id_type(docs)
@@ -113,12 +132,12 @@ def _indexed(docs: DataFrame, rarity: np.ndarray, shares: int, percent: int) ->
             key, node, n, pos = (np.concatenate([h[i] for h in held]) for i in range(4))
             spread = key * np.uint64(0x9E3779B97F4A7C15)
             share = ((spread >> np.uint64(33)) % np.uint64(shares)).astype(np.int64)
-            entry = np.zeros(len(key), [("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")])
+            entry = np.zeros(len(key), ENTRY)
             entry["h"], entry["pos"], entry["n"], entry["node"] = (spread & np.uint64(0xFFFFFFFF)).astype(np.uint32), pos, n, node
             order = np.argsort(share, kind="stable")
             entry, share = entry[order], share[order]
             at = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
-            rows = [entry[a:b].tobytes() for a, b in zip(at, [*at[1:], len(share)], strict=True)]
+            rows = [_pack(entry[a:b]) for a, b in zip(at, [*at[1:], len(share)], strict=True)]
             m = len(rows)
             held.clear()
             seen.clear()
@@ -149,7 +168,7 @@ def _indexed(docs: DataFrame, rarity: np.ndarray, shares: int, percent: int) ->
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"share int, doc_id {kind}, node long, n int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"share int, doc_id {kind}, node long, n int, entries binary")
 
 
 def _lists(rows: pa.Table, percent: int) -> pa.Table:
@@ -158,16 +177,14 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     Lists are sorted by set size and skipped along: a set is looked up only among the sets at least `percent` of its
     size; entries so far back in both sets that what follows can't reach the needed intersection with any other don't count.
     """
-    kind = [("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")]
-    e = np.concatenate([np.frombuffer(x, kind) for x in rows.column("entries").to_pylist()])
+    e = np.concatenate([_unpack(x) for x in rows.column("entries").to_pylist()])
     e = e[np.lexsort((e["node"], e["n"], e["h"]))]
     new = np.r_[True, (e["h"][1:] != e["h"][:-1]) | (e["node"][1:] != e["node"][:-1])]
     e = e[new]
     begins = np.flatnonzero(np.r_[True, e["h"][1:] != e["h"][:-1]])
     sizes = np.diff(np.r_[begins, len(e)])
-    share = rows.column("share")[0].as_py()
     gid, nodes, ns, poss, leaders, times = [], [], [], [], [], []
-    known: dict[bytes, int] = {}
+    known: dict[int, int] = {}
     for b, m in zip(begins[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         own = e[b : b + m]
         n, pos = own["n"].astype(np.int64), own["pos"].astype(np.int64)
@@ -185,8 +202,8 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
             continue
         own, n, pos = own[kept], n[kept], pos[kept]
         m = len(own)
-        # equal lists of a share are one that counts as many; each set keeps its foremost place
-        same = own["node"].tobytes()
+        # equal lists are one that counts as many, here and by gid across shares; each set keeps its foremost place
+        same = node_of(own["node"])
         if same in known:
             at = known[same]
             for k, p in enumerate(pos.tolist(), at):
@@ -200,7 +217,7 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
             while 100 * n[first] < percent * n[k]:  # block skip: sizes below can't come back
                 first += 1
             lead.append(int(own["node"][first]))
-        gid += [share << 40 | b] * m
+        gid += [same] * m
         nodes += own["node"].tolist()
         ns += n.tolist()
         poss += pos.tolist()
@@ -235,7 +252,7 @@ def _keyed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
             keys = [ranked(s, sent.value) for s in shingle_sets(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([node_of(k) for k in keys], pa.int64()), pa.array([k.tobytes() for k in keys], pa.binary())], ["node", "keys"])
 
-    return docs.select("text").mapInArrow(run, "node long, keys binary")
+    return docs.select("text").mapInArrow(tidy(run), "node long, keys binary")
 
 
 class Compared:
@@ -281,31 +298,38 @@ class Compared:
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, n_a, n_b, common for each pair (a, b) of sets.
+    """a, b, n_a, n_b, common for each pair (a, b) of sets, a < b.
 
-    Pairs are dealt by their first set and a salt: that set is read once, and those that are compared with it pass by.
+    Of a pair the set that is in more pairs is read once for each PASSING of its partners; the others pass by.
     """
-    salt = F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")
-    others = pairs.join(sets.withColumnRenamed("node", "b"), "b").select("a", "b", salt.alias("salt"), "keys")
-    own = pairs.select("a", salt.alias("salt")).distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "salt", "keys")
-    dealt = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    degree = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).groupBy("node").agg(F.count("*").alias("k"))
+    placed = pairs
+    for c in "ab":
+        placed = placed.join(degree.select(F.col("node").alias(c), F.col("k").alias(f"k_{c}")), c)
+    turned = F.col("k_b") > F.col("k_a")
+    placed = placed.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"), F.ceil(F.greatest("k_a", "k_b") / PASSING).alias("salts"))
+    placed = written(placed.select("hub", "other", F.pmod(F.xxhash64("other"), F.col("salts")).alias("salt")))
+    others = placed.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "other", "salt", "keys")
+    own = placed.select("hub", "salt").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.lit(None).cast("long").alias("other"), "salt", "keys")
+    dealt = own.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, first = None, np.zeros(0, np.uint64)
         for batch in batches:
             out = []
-            for a, b, keys in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "keys")), strict=True):
+            for hub, other, keys in zip(*(batch.column(c).to_pylist() for c in ("hub", "other", "keys")), strict=True):
                 keys = np.frombuffer(keys, np.uint64)
-                if b is None:
-                    held, first = a, keys
-                elif a == held:
+                if other is None:
+                    held, first = hub, keys
+                elif hub == held:
                     at = np.searchsorted(first, keys)
                     at[at == len(first)] = 0
-                    out.append((a, b, len(first), len(keys), int((first[at] == keys).sum())))
+                    sides = sorted([(hub, len(first)), (other, len(keys))])
+                    out.append((sides[0][0], sides[1][0], sides[0][1], sides[1][1], int((first[at] == keys).sum())))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "n_a", "n_b", "common"])
 
-    return dealt.select("a", "b", "keys").mapInArrow(run, "a long, b long, n_a long, n_b long, common long")
+    return dealt.select("hub", "other", "keys").mapInArrow(tidy(run), "a long, b long, n_a long, n_b long, common long")
 
 
 def similar(n: Column, m: Column, common: Column, percent: int = PERCENT) -> Column:
@@ -327,10 +351,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     ids = docs.select("doc_id", "text")
     rarity = sketch(ids)
-    shares = 2 * parts(ids, each=4 << 20)
+    shares = 2 * parts(ids, each=8 << 20)
     index = written(_indexed(ids, rarity, shares, percent))
     members = index.where("share = -1").select("doc_id", F.col("node"), F.col("n").cast("long").alias("n_shingles"))
-    lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long, times long"))
+    lists = written(index.where("share >= 0").select("share", "entries").groupBy("share").applyInArrow(lambda t: _lists(t, percent), "gid long, node long, n long, pos long, leader long, times long").groupBy("gid", "node").agg(F.min("n").alias("n"), F.min("pos").alias("pos"), F.min("leader").alias("leader"), F.sum("times").alias("times")))
     alpha = F.expr(f"(({percent} * (n_x + n_y) + {99 + percent}) div {100 + percent})")
     beyond = F.expr(f"greatest((n_x * {percent} + 99) div 100, (n_y * {percent} + 99) div 100) - 1")  # what one of them has after its prefix
     hopeful = (9 * F.col("shared") + beyond >= alpha) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
@@ -358,6 +382,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = x.join(y, (x.gid == y.gid) & fits & reaches).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"))
     known = found.select(F.col("a").alias("leader"), F.col("b"), F.col("n_a").alias("n_leader"), "common")
+    known = known.union(found.select(F.col("b"), F.col("a"), F.col("n_b"), "common"))
     of = lambda s: known.select("leader", F.col("b").alias(f"node_{s}"), F.col("common").alias(f"common_{s}"), *([F.col("n_leader")] if s == "x" else []))
     pairs = pairs.join(of("x"), ["leader", "node_x"], "left").join(of("y"), ["leader", "node_y"], "left")
     most = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
