@@ -88,6 +88,18 @@ def test_ids(docs):
         start += len(ids)
 
 
+def test_bpe_whole_and_in_pieces(docs):
+    library = tokens.encoder(vocabulary()).library
+    want = {}
+    for k, t, *_ in rows():
+        ids = library.encode(t or "", add_special_tokens=False).ids
+        text = library.decode(ids, skip_special_tokens=False)
+        want[k] = (len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(docs, vocabulary()).collect()} == want
+    cut = {r.doc_id: hashlib.sha256(r.ids).hexdigest() for r in bpe.encode(docs, vocabulary(), long=50).collect()}
+    assert cut == {k: x[1] for k, x in want.items()}
+
+
 def test_trees_of_pieces():
     e, r = tokens.encoder(vocabulary()), random.Random(2)
     for k in range(200):
