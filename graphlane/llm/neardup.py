@@ -23,6 +23,7 @@ PASSING = 128  # sets that pass by one read of the set that they are compared wi
 STAR_ROUNDS = 3  # rounds in which lists are compared with one of their sets only, before all of what is left
 BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
+BRIEF = 4  # 64-bit words of the part of a signature that goes into the join of lists
 ENTRY = np.dtype([("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")])
 
 
@@ -71,11 +72,12 @@ def sketch(docs: DataFrame) -> np.ndarray:
             at = [s >> np.uint64(64 - bits) for s in shingle_sets(batch.column("text").to_pylist())]
             bucket, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *at]), return_counts=True)
             total[bucket.astype(np.int64)] = np.minimum(total[bucket.astype(np.int64)] + n, 65535).astype(np.uint16)
-        own = [c.astype("<u2").tobytes() for c in np.split(total, chunks)]
+        own = [zstandard.ZstdCompressor(3).compress(c.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()) for c in np.split(total, chunks)]
         yield pa.RecordBatch.from_arrays([pa.array(range(chunks), pa.int32()), pa.array(own, pa.binary())], ["chunk", "n"])
 
     def add(rows: pa.Table) -> pa.Table:
-        n = reduce(np.add, (np.frombuffer(x, "<u2").astype(np.int64) for x in rows.column("n").to_pylist()))
+        counts = (np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint8).reshape(2, -1) for x in rows.column("n").to_pylist())
+        n = reduce(np.add, (low.astype(np.int64) + 256 * high.astype(np.int64) for low, high in counts))
         level = np.round(2 * np.log2(np.maximum(n, 1))).astype(np.uint8)
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "n": pa.array([level.tobytes()], pa.binary())})
 
@@ -97,6 +99,24 @@ def node_of(keys: np.ndarray) -> int:
     return int(np.frombuffer(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), np.uint64)[0] & NODE_BITS)
 
 
+def signature(keys: np.ndarray) -> np.ndarray:
+    """A bit for each residue of a set's shingles: whether an odd number of them has it. 64-bit words.
+
+    There are as many bits as shingles at least, a power of 2. A shingle that only one of two sets has turns one bit, so
+    the bits that differ are never more than the shingles that differ.
+    """
+    bits = 1 << max(64 * BRIEF - 1, len(keys) - 1).bit_length()
+    odd = np.bincount((keys & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """The signature of fewer bits, for a comparison with one of so many words."""
+    while len(words) > size:
+        words = words[: len(words) // 2] ^ words[len(words) // 2 :]
+    return words
+
+
 def prefix(n: int, percent: int) -> int:
     """So many first shingles of two similar sets have one in common."""
     return n - -(-n * percent // 100) + 1
@@ -119,12 +139,12 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _indexed(docs: DataFrame, rarity: np.ndarray, shares: int, percent: int) -> DataFrame:
-    """A row per document (share -1) with its set's number and size, and index entries of the sets' prefixes as rows per share."""
+    """A row per document (share -1) with its set's number, size and signature, and index entries of the sets' prefixes as rows per share."""
     kind = id_type(docs)
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["share", "doc_id", "node", "n", "entries"]
+        names = ["share", "doc_id", "node", "n", "signature", "entries"]
         held: list[tuple[np.ndarray, ...]] = []
         seen: set[int] = set()
 
@@ -141,34 +161,36 @@ def _indexed(docs: DataFrame, rarity: np.ndarray, shares: int, percent: int) ->
             m = len(rows)
             held.clear()
             seen.clear()
-            return pa.RecordBatch.from_arrays([pa.array(share[at], pa.int32()), pa.nulls(m, id_kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.array(rows, pa.binary())], names)
+            return pa.RecordBatch.from_arrays([pa.array(share[at], pa.int32()), pa.nulls(m, id_kind), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.array(rows, pa.binary())], names)
 
         size = 0
         id_kind = None
         for batch in _batches(batches):
             id_kind = batch.schema.field("doc_id").type
-            nodes, sizes = [], []
+            nodes, sizes, signatures = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist()):
                 sizes.append(len(s))
                 if not len(s):
                     nodes.append(None)
+                    signatures.append(None)
                     continue
                 keys = ranked(s, sent.value)
                 nodes.append(node_of(keys))
+                signatures.append(signature(keys).tobytes())
                 if nodes[-1] not in seen:
                     seen.add(nodes[-1])
                     p = prefix(len(s), percent)
                     held.append((keys[:p], np.full(p, nodes[-1], np.uint64), np.full(p, len(s), np.uint32), np.arange(p, dtype=np.uint32)))
                     size += p
             m = batch.num_rows
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.nulls(m, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array([-1] * m, pa.int32()), batch.column("doc_id"), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(signatures, pa.binary()), pa.nulls(m, pa.binary())], names)
             if size > 2_000_000:
                 yield flush()
                 size = 0
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"share int, doc_id {kind}, node long, n int, entries binary")
+    return docs.select("doc_id", "text").mapInArrow(tidy(run), f"share int, doc_id {kind}, node long, n int, signature binary, entries binary")
 
 
 def _lists(rows: pa.Table, percent: int) -> pa.Table:
@@ -243,6 +265,40 @@ def components(links: DataFrame) -> DataFrame:
             return state.select("node", "component")
 
 
+def _signatures(index: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, signature and its brief form in BRIEF columns for the sets of nodes (node, distinct)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            brief = np.array([folded(np.frombuffer(x, "<u8"), BRIEF) for x in batch.column("signature").to_pylist()], np.uint64).reshape(-1, BRIEF)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c.view(np.int64)) for c in np.ascontiguousarray(brief.T))], [*batch.schema.names, *(f"brief{k}" for k in range(BRIEF))])
+
+    own, few = index.where("node is not null").select("node", "signature"), nodes.count() <= BROADCAST_IDS
+    if few:
+        own = own.join(F.broadcast(nodes), "node", "left_semi")
+    own = own.groupBy("node").agg(F.min("signature").alias("signature"))
+    if not few:
+        own = own.join(nodes, "node", "left_semi")
+    return own.mapInArrow(tidy(run), "node long, signature binary, " + ", ".join(f"brief{k} long" for k in range(BRIEF)))
+
+
+def _within(pairs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Of pairs (a, b, most) those whose signatures differ in at most `most` bits."""
+    for c in "ab":
+        pairs = pairs.join(signatures.select(F.col("node").alias(c), F.col("signature").alias(f"of_{c}")), c)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y, most in zip(*(batch.column(c).to_pylist() for c in ("of_a", "of_b", "most")), strict=True):
+                x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+                size = min(len(x), len(y))
+                keep.append(int(np.bitwise_count(folded(x, size) ^ folded(y, size)).sum()) <= most)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.select("a", "b", "most", "of_a", "of_b").mapInArrow(tidy(run), "a long, b long")
+
+
 def _keyed(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     """node and keys of the set of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(rarity)
@@ -346,8 +402,8 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     Equal sets are one node. Of each node the prefix in the order of rarity is indexed. A first round compares each set
     of an index list with the list's first set of fitting size, if they share much of their prefixes; sets that those
     links connect need no further comparison. Some more rounds do so with another set of each list. Lists that still hold several components are then paired, across components only. A pair is skipped if
-    its places in the lists can't reach the needed intersection, or if what is known of both
-    against the first set rules a link out; it is linked unread if that proves a link, and is compared otherwise. So every link between components is found, whatever the order.
+    its places in the lists can't reach the needed intersection, if the sets' signatures differ in more bits than
+    similar sets' shingles, or if what is known of both against the first set rules a link out; it is linked unread if that proves a link, and is compared otherwise. So every link between components is found, whatever the order.
     """
     ids = docs.select("doc_id", "text")
     rarity = sketch(ids)
@@ -375,11 +431,16 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         of_list = open_lists.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("first"))
         star = open_lists.join(of_list, "gid").where("component <> first.component").select(F.col("first.node").alias("node_x"), F.col("node").alias("node_y"), F.col("first.n").alias("n_x"), F.col("n").alias("n_y"), "times")
     found = compared.all()
-    x, y = (open_lists.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component"))) for s in "xy")
+    signatures = written(_signatures(index, open_lists.select("node").distinct()))
+    brief = [f"brief{k}" for k in range(BRIEF)]
+    signed = open_lists.join(signatures.select("node", *brief), "node")
+    x, y = (signed.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component", *brief))) for s in "xy")
     first_of = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
     fits = (F.col("component_x") != F.col("component_y")) & first_of & (100 * F.col("n_x") >= percent * F.col("n_y"))
     reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
-    pairs = x.join(y, (x.gid == y.gid) & fits & reaches).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in brief))
+    apart = F.col("n_x") + F.col("n_y") - 2 * alpha  # shingles that only one of two similar sets has, at most
+    pairs = x.join(y, (x.gid == y.gid) & fits & reaches & (differ <= apart)).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"))
     known = found.select(F.col("a").alias("leader"), F.col("b"), F.col("n_a").alias("n_leader"), "common")
     known = known.union(found.select(F.col("b"), F.col("a"), F.col("n_b"), "common"))
@@ -387,8 +448,8 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = pairs.join(of("x"), ["leader", "node_x"], "left").join(of("y"), ["leader", "node_y"], "left")
     most = F.least("common_x", "common_y") + F.least(F.col("n_x") - F.col("common_x"), F.col("n_y") - F.col("common_y"))
     least = F.col("common_x") + F.col("common_y") - F.col("n_leader")
-    pairs = written(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), F.coalesce(most < alpha, F.lit(False)).alias("never"), F.coalesce(least >= alpha, F.lit(False)).alias("proved")))
-    compared.add(pairs.where("not never and not proved").select("a", "b"))
+    pairs = written(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), apart.alias("most"), F.coalesce(most < alpha, F.lit(False)).alias("never"), F.coalesce(least >= alpha, F.lit(False)).alias("proved")))
+    compared.add(_within(pairs.where("not never and not proved"), signatures))
     state = components(compared.links().union(pairs.where("proved and not never").select("a", "b")))
     own = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     named = own.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))

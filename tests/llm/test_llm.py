@@ -64,6 +64,18 @@ def test_near_duplicates(docs):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.grouped(docs).collect()} == {k: (len(sets[k]), least[k]) for k in sets}
 
 
+def test_signatures_never_exceed_differences():
+    r = np.random.default_rng(3)
+    for n, m in [(1, 1), (200, 250), (257, 256), (900, 1100), (5000, 4000)]:
+        a = np.unique(r.integers(0, 1 << 58, n, dtype=np.uint64))
+        b = np.union1d(a[: n // 2], r.integers(0, 1 << 58, m, dtype=np.uint64))
+        x, y = neardup.signature(a), neardup.signature(b)
+        for size in (neardup.BRIEF, min(len(x), len(y))):
+            differ = np.bitwise_count(neardup.folded(x, size) ^ neardup.folded(y, size)).sum()
+            assert 0 < differ <= len(np.setxor1d(a, b))
+        assert (neardup.signature(a) == x).all()
+
+
 def test_repeats(docs):
     first, texts = {}, {k: (t or "").encode() for k, t, *_ in rows()}
     for k in sorted(texts):
