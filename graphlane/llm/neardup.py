@@ -21,7 +21,7 @@ SKETCH_BYTES = 1 << 24  # of the counters by which shingles are ordered, at most
 SALTS = 32
 PASSING = 128  # sets that pass by one read of the set that they are compared with
 STAR_ROUNDS = 3  # rounds in which lists are compared with one of their sets only, before all of what is left
-BROADCAST_IDS = 1_000_000  # ids that may be broadcast, 16 MB at most; beyond them texts and ids meet by a shuffle
+BROADCAST_IDS = 1_000_000  # ids, or pairs of ids, that may be broadcast, 32 MB at most; beyond them they meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
 BRIEF = 4  # 64-bit words of the part of a signature that goes into the join of lists
 ENTRY = np.dtype([("h", "<u4"), ("pos", "<u4"), ("n", "<u4"), ("node", "<u8")])
@@ -365,8 +365,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     turned = F.col("k_b") > F.col("k_a")
     placed = placed.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("hub"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("other"), F.ceil(F.greatest("k_a", "k_b") / PASSING).alias("salts"))
     placed = written(placed.select("hub", "other", F.pmod(F.xxhash64("other"), F.col("salts")).alias("salt")))
-    others = placed.join(sets.withColumnRenamed("node", "other"), "other").select("hub", "other", "salt", "keys")
-    own = placed.select("hub", "salt").distinct().join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.lit(None).cast("long").alias("other"), "salt", "keys")
+    small = F.broadcast if placed.count() <= BROADCAST_IDS else lambda df: df  # sets stay where they are
+    others = small(placed).join(sets.withColumnRenamed("node", "other"), "other").select("hub", "other", "salt", "keys")
+    own = small(placed.select("hub", "salt").distinct()).join(sets.withColumnRenamed("node", "hub"), "hub").select("hub", F.lit(None).cast("long").alias("other"), "salt", "keys")
     dealt = own.unionByName(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("other").asc_nulls_first())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,9 +453,10 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     compared.add(_within(pairs.where("not never and not proved"), signatures))
     state = components(compared.links().union(pairs.where("proved and not never").select("a", "b")))
     own = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = own.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    salted = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = written(named.select("node", "component", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt")).join(salted.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["component", "salt"]).select("node", "component_id"))
+    linked_nodes = own.join(state, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    salted = linked_nodes.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked_nodes = written(linked_nodes.select("node", "component", "salt").join(salted, ["component", "salt"]).select("node", "component_id"))
+    named = written(own.join(linked_nodes, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id")))
     return members.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
