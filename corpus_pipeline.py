@@ -34,8 +34,8 @@ def secrets_masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256."""
-    return docs.select("doc_id", "lang", "source").join(bpe.digests(docs, vocabulary()), "doc_id")
+    """doc_id, lang, source, n_tokens, ids_sha256, decoded_sha256: one row per row of docs, whatever its doc_id."""
+    return bpe.digests(docs, vocabulary(), ("doc_id", "lang", "source"))
 
 
 STAGES = [

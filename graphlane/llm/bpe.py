@@ -118,8 +118,8 @@ def decoded(path: str, ids: list[bytes | None]) -> list[str]:
     return out
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """One row per document: doc_id, n_tokens, ids_sha256, decoded_sha256 (see encode and decode)."""
+def digests(docs: DataFrame, path: str, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """One row per document: the columns keep, n_tokens, ids_sha256, decoded_sha256 (see encode and decode)."""
 
     def finish(ids: list[bytes]) -> list[pa.Array]:
         sha = [hashlib.sha256(x).hexdigest() for x in ids]
@@ -127,4 +127,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(sha, pa.string()), pa.array(texts, pa.string())]
 
     made = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return _encoded(docs.select("doc_id", "text"), path, made, finish).select("doc_id", *_names(made))
+    return _encoded(docs.select(*keep, "text"), path, made, finish).select(*keep, *_names(made))

@@ -103,3 +103,23 @@ def test_stages_keep_columns_and_take_empty_tables(spark, folder):
         out = stage(spark, docs, folder)
         assert out.collect() == []
         assert name == "token_ids" or out.columns == docs.columns
+
+
+def test_null_and_repeated_ids_stay_as_they_are(spark, folder, tmp_path):
+    extra = [(None, "the wind with north water", "en", "s0", 25), (None, "schön grün über licht", "de", None, 21), (None, "the wind with north water", "en", "s0", 25)]
+    extra += [(90, "house thing water north the", "en", "s1", 27)] * 3
+    spark.createDataFrame([*rows(), *extra], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{folder}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    library = tokens.encoder(vocabulary()).library
+    key = lambda x: tuple((v is not None, v) for v in x)
+    want = sorted(((k, lang, source, len(library.encode(t, add_special_tokens=False).ids)) for k, t, lang, source, _ in extra), key=key)
+    got = [(r.doc_id, r.lang, r.source, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+    assert sorted((x for x in got if x[0] in (None, 90)), key=key) == want
+    assert {x[0] for x in got} >= {0, 1, 40}
+
+
+def test_token_ids_of_cut_texts_keep_their_row(spark, folder):
+    long = "wind " * (tokens.LONG // 5 + 9)
+    docs = spark.createDataFrame([(None, long, "en", "s0", len(long)), (1, long, "de", "s1", len(long)), (1, long, None, "s2", len(long))], SCHEMA)
+    out = corpus_pipeline.token_ids(spark, docs, folder).collect()
+    assert sorted(((r.doc_id or 0, r.lang or "", r.source) for r in out)) == [(0, "en", "s0"), (1, "", "s2"), (1, "de", "s1")]
