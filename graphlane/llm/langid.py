@@ -139,11 +139,11 @@ def model(samples: tuple[tuple[str, bytes], ...]) -> Model:
 def learn(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[tuple[str, bytes], ...]:
     """For each language of rows (lang, text) a sample of at most sample_bytes from at most sample_docs documents.
 
-    Documents are chosen by the hash of their text: all of a language share one chance, about sample_docs of them are
-    drawn, the least hashes stay. Repeated lines count once.
+    Documents are chosen by the hash of their text: all different texts of a language share one chance, about three times
+    sample_docs of them are drawn, the least hashes stay. Copies of a text and repeated lines count once.
     """
     labelled = rows.where(F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     if not sizes:
@@ -152,6 +152,7 @@ def learn(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int =
     chance = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 3.0 * sample_docs / n))))
     drawn = labelled.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(chance, F.col("lang")) * (1 << 20))
     drawn = drawn.select("lang", "h", F.substring("text", F.lit(1) + F.pmod("h", F.greatest(F.length("text") - 2048, F.lit(1))).cast("int"), F.lit(4096)).alias("text"))
+    drawn = drawn.dropDuplicates(["lang", "h"])
     lists = drawn.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, sample_docs).alias("texts")).collect()
     out = []
     for r in sorted(lists, key=lambda r: r["lang"]):

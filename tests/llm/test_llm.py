@@ -134,3 +134,14 @@ def test_ppm_sums_to_one():
     p = ppm.log_probabilities(k, c, ppm.summed(ppm._shorter(k, 1), c))
     context = int.from_bytes(b"arba\xfe", "big")
     assert (10.0 ** p[k >> np.uint64(8) == context]).sum() == pytest.approx(1, abs=0.02)
+
+
+def test_language_is_learned_from_different_texts(spark):
+    other = [f"palabra{k} de la casa" for k in range(100)]
+    copies = spark.range(100_000).selectExpr("'es' as lang", "'hola que tal' as text")
+    for n_other in (100, 10):
+        (name, sample), = langid.learn(copies.union(spark.createDataFrame([("es", t) for t in other[:n_other]], "lang string, text string")))
+        assert name == "es" and sample.count(b"palabra") >= min(n_other, langid.SAMPLE_DOCS - 1) and sample.count(b"hola") <= 1
+    many = spark.range(2000).selectExpr("'es' as lang", "concat('palabra ', id div 2) as text").union(copies)
+    (_, sample), = langid.learn(many, sample_docs=8)
+    assert sample.count(b"palabra") + sample.count(b"hola") == 8
