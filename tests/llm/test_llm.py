@@ -145,3 +145,21 @@ def test_language_is_learned_from_different_texts(spark):
     many = spark.range(2000).selectExpr("'es' as lang", "concat('palabra ', id div 2) as text").union(copies)
     (_, sample), = langid.learn(many, sample_docs=8)
     assert sample.count(b"palabra") + sample.count(b"hola") == 8
+
+
+def test_lines_above_the_limit_are_removed(spark):
+    r = random.Random(8)
+    prose = lambda n: " ".join(f"w{r.randint(0, 10**6)}" for _ in range(n))
+    common = ["Read More  about us 2024", "read more about us 1999", "\tREAD more about us 0000 "]
+    texts = [(k % 59, f"{prose(30)}\n\n{common[k % 3]}\n{prose(30)}\n  \n{common[(k + 1) % 3]}\n", "s0") for k in range(60)]
+    texts += [(None, f"{common[0]}\r\n{prose(60)}", "s0"), (None, f"{common[0]}\n{prose(60)}", "s1"), (200, common[1], "s0"), (201, None, "s0"), (202, "", None), (203, prose(60), "s0"), (204, f"\n\n{common[2]}\n{prose(49)}\n{common[2]}", "s0")]
+    docs = spark.createDataFrame([(k, t, h, len(t or ""), k) for k, t, h in texts], "doc_id long, text string, source string, n_chars int, kept long")
+    drop = lambda t, h: t if t is None or h != "s0" else "\n".join(x for x in t.split("\n") if not x.lower().strip().startswith("read more"))
+    want = [(k, drop(t, h), h, len(drop(t, h) or "")) for k, t, h in texts]
+    key = lambda x: tuple((v is not None, v) for v in x)
+    out = quality.cleaned(docs).select("doc_id", "text", "source", "n_chars").collect()
+    assert sorted((tuple(x) for x in out), key=key) == sorted(want, key=key)
+    good = quality.good(docs)
+    assert good.columns == docs.columns
+    kept = [(*w, w[0]) for w, (_, t, _) in zip(want, texts, strict=True) if len((t or "").split()) >= 50]
+    assert sorted((tuple(x) for x in good.collect()), key=key) == sorted(kept, key=key)
