@@ -325,6 +325,7 @@ def digests(docs: DataFrame) -> DataFrame:
 def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
+        sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else []
         for k, text in enumerate(texts):
             if spans := _spans_of(text):
                 out, end = [], 0
@@ -333,9 +334,15 @@ def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         out += [text[end : s["begin"]], f"[{s['kind']}]"]
                     end = max(end, s["end"])
                 texts[k] = "".join([*out, text[end:]])
-        yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in batch.schema.names], batch.schema.names)
+                if sizes:
+                    sizes[k] = len(texts[k])
+        new = {"text": pa.array(texts, pa.string())}
+        if sizes:
+            new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
+        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """docs with each secret in text replaced by its kind in brackets; all rows and columns stay."""
+    """docs with each secret in text replaced by its kind in brackets; n_chars, if there, is the length of a text that
+    changed. All rows and columns stay."""
     return docs.mapInArrow(_masked, docs.schema)

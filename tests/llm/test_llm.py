@@ -163,3 +163,12 @@ def test_lines_above_the_limit_are_removed(spark):
     assert good.columns == docs.columns
     kept = [(*w, w[0]) for w, (_, t, _) in zip(want, texts, strict=True) if len((t or "").split()) >= 50]
     assert sorted((tuple(x) for x in good.collect()), key=key) == sorted(kept, key=key)
+
+
+def test_masked_texts_have_their_length(spark, docs):
+    extra = spark.createDataFrame([(None, "é token: abcdef", "en", None, 15), (7, None, "en", "s0", None), (8, "nothing here", "en", "s0", 99)], SCHEMA)
+    out = secrets.masked(docs.union(extra)).collect()
+    changed = [r for r in out if r.text and "[" in r.text]
+    assert len(changed) == 2 and all(r.n_chars == len(r.text) for r in changed)
+    assert sorted((r.doc_id, r.n_chars or -1) for r in out if r.text is None or "[" not in r.text) == sorted([(k, n or -1) for k, _, _, _, n in rows() if k != 115] + [(7, -1), (8, 99)])
+    assert secrets.masked(extra.select("text")).columns == ["text"]
