@@ -21,7 +21,7 @@ TABLE_BYTES = 8 << 20  # learned text of all languages together
 SEGMENT = 512  # symbols that are parsed at a stretch; a phrase never crosses the end
 LANES = 1 << 13
 UNKNOWN = "und"
-KEEP_SCORE = 0.3  # the filter lets documents of a lower score go
+KEEP_SCORE = 0.3  # a clear win among few languages; scores fall as languages are added, so the filter doesn't use it
 
 IS_LETTER = np.zeros(256, bool)
 IS_LETTER[128:] = True
@@ -191,8 +191,9 @@ def identified(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFra
     return predicted(rows.select("doc_id", "held_out", "text"), samples).select(F.col("doc_id").cast(id_type(docs)), "held_out", "lang_pred", "score")
 
 
-def with_language(docs: DataFrame, keep_score: float = KEEP_SCORE) -> DataFrame:
-    """The documents of docs in which a learned language is found with at least keep_score, with the columns of docs."""
+def with_language(docs: DataFrame) -> DataFrame:
+    """The documents of docs in which a learned language is found, with the columns of docs. How clearly it wins isn't
+    asked: the score depends on how many languages, or labels of one language, are learned."""
     rows = docs.select(F.struct(*docs.columns).alias("_kept"))
     found = _predicted(rows, learn(docs), lambda batch: pc.struct_field(batch.column("_kept"), "text"))
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= keep_score)).select("_kept.*")
+    return found.where(F.col("lang_pred") != UNKNOWN).select("_kept.*")

@@ -172,3 +172,11 @@ def test_masked_texts_have_their_length(spark, docs):
     assert len(changed) == 2 and all(r.n_chars == len(r.text) for r in changed)
     assert sorted((r.doc_id, r.n_chars or -1) for r in out if r.text is None or "[" not in r.text) == sorted([(k, n or -1) for k, _, _, _, n in rows() if k != 115] + [(7, -1), (8, 99)])
     assert secrets.masked(extra.select("text")).columns == ["text"]
+
+
+def test_language_under_many_labels_stays(spark):
+    words = ["house", "north", "wind", "water", "thing", "light"]
+    r = random.Random(5)
+    data = [(k, " ".join(r.choice(words) for _ in range(30)), ["en", "EN", "en-us", "eng", "en-gb"][k % 5]) for k in range(100)]
+    out = langid.with_language(spark.createDataFrame([*data, (200, "12 34", "en"), (201, None, "en"), (202, "a", "en")], "doc_id long, text string, lang string"))
+    assert {x.doc_id for x in out.collect()} == {*range(100), 202}
