@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphlane import algorithms, plans, sources
+from graphlane import algorithms, plans, queries, sources
 from graphlane.graph import Graph
 from graphlane.operators import activity, costing, hubs, movement, partitioning, scheduling, tasks
 from graphlane.runtime import Config, Result, check_result
@@ -138,3 +138,22 @@ def test_runtime():
     import json
 
     check_result(json.loads(Result("x", "pagerank", measurements={"s": 1.0}).to_json()))
+
+
+def test_pagerank_converged(spark, tmp_path):
+    items = [(0, 0, "R"), (0, 1, "N"), (1, 1, "R"), (1, 2, "N"), (2, 3, "R"), (2, 3, "N"), (0, 3, "A")]
+    spark.createDataFrame([(k, k % 3, float(k)) for k in range(3)], "s_suppkey long, x long, y double").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k,) for k in range(5)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(s, p, 1.0, f) for s, p, f in items], "l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    edges = [(s, 3 + p) for s, p, _ in items] + [(3 + p, s) for s, p, f in items if f == "R"]
+    deg = [sum(a == v for a, _ in edges) for v in range(8)]
+    rank = [1 / 8] * 8
+    for _ in range(500):
+        loose = sum(r for r, n in zip(rank, deg, strict=True) if n == 0)
+        rank = [0.15 / 8 + 0.85 * loose / 8 + 0.85 * sum(rank[a] / deg[a] for a, b in edges if b == v) for v in range(8)]
+    got = queries.queries()["pagerank_converged"](spark, str(tmp_path)).orderBy("v").collect()
+    assert [r.v for r in got] == list(range(8))
+    assert [r.rank for r in got] == pytest.approx(rank, abs=1e-5) and sum(r.rank for r in got) == pytest.approx(1)
+    few = queries.queries()["pagerank_k3"](spark, str(tmp_path)).orderBy("v").collect()
+    assert max(abs(r.rank - x) for r, x in zip(few, rank, strict=True)) > 1e-4
+    assert "pagerank_converged" not in queries.oracle_sql()
