@@ -51,7 +51,7 @@ def _slices(batches: Iterator[pa.RecordBatch], rows: int = 250) -> Iterator[pa.R
 def _short(path, finish, made):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for some in _slices(batches):
-            ids = unit_coder(path).encode([t or "" for t in some.column("text").to_pylist()])
+            ids = unit_coder(path, halves=True).encode([t or "" for t in some.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*some.columns, *finish([x.astype("<u4").tobytes() for x in ids])], [*some.schema.names, *_names(made)])
 
     return tidy(run)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,13 +16,20 @@ from pyspark.sql import functions as F
 
 
 ROWS_AT_ONCE = 1000  # rows of an Arrow batch at most: texts are long, and a batch lies in the JVM and in Python
+BYTES_AT_ONCE = 8 << 20  # bytes from which a batch ends
 
 
 def few_rows(spark: SparkSession) -> None:
-    """Lowers the rows of an Arrow batch for the session, if they are more."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(setting)) <= ROWS_AT_ONCE:
-        spark.conf.set(setting, str(ROWS_AT_ONCE))
+    """Lowers the rows and bytes of an Arrow batch for the session, if they are more.
+
+    Plans read these settings when they run, so they stay as they are set here; only queries and pipeline stages call
+    this, operators leave a session's settings alone.
+    """
+    for setting, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        setting = f"spark.sql.execution.arrow.{setting}"
+        now = spark.conf.get(setting).lower().removesuffix("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(setting, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -115,7 +123,10 @@ def member(h: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 class Powers:
-    """Powers of an odd multiplier modulo 2**64 and their inverses, for prefix sums as rolling hashes."""
+    """Powers of an odd multiplier modulo 2**64 and their inverses, for prefix sums as rolling hashes.
+
+    Sequences exist that collide for every odd multiplier, so these hashes only choose candidates.
+    """
 
     BASE = 0x9E3779B97F4A7C15
 
@@ -139,6 +150,62 @@ class Powers:
 POWERS = Powers()
 BYTE_VALUES = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64)
 
+PRIME = (1 << 31) - 1
+BASES = (0x2F3A91C5, 0x5B8D06E7)  # two multipliers modulo PRIME
+LONG_SPAN = 1 << 24  # bytes from which a span is hashed by itself
+
+
+def folded_prime(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers modulo PRIME."""
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    x = (x & np.uint64(PRIME)) + (x >> np.uint64(31))
+    return np.where(x >= PRIME, x - np.uint64(PRIME), x)
+
+
+class PrimePowers:
+    """Powers of BASES modulo PRIME and their inverses."""
+
+    def __init__(self) -> None:
+        self.tables = [(np.ones(1, np.uint64), np.ones(1, np.uint64)) for _ in BASES]
+
+    def get(self, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        if len(self.tables[0][0]) < n:
+            n += n >> 2
+            self.tables = [(self._powers(b, n), self._powers(pow(b, -1, PRIME), n)) for b in BASES]
+        return self.tables
+
+    @staticmethod
+    def _powers(base: int, n: int) -> np.ndarray:
+        out, have = np.ones(n, np.uint64), 1
+        while have < n:
+            more = min(have, n - have)
+            out[have : have + more] = folded_prime(out[:more] * np.uint64(pow(base, have, PRIME)))
+            have += more
+        return out
+
+
+PRIME_POWERS = PrimePowers()
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the spans of raw bytes: two polynomials modulo a prime (62 bits), with the length mixed in."""
+    n = len(raw)
+    out = np.zeros(len(start), np.uint64)
+    if not len(start):
+        return out
+    value = raw.astype(np.uint64)
+    value += np.uint64(1)
+    sums = np.zeros(n + 1, np.uint64)
+    for up, down in PRIME_POWERS.get(n + 1):
+        np.cumsum(value * up[:n], out=sums[1:])
+        h = folded_prime(folded_prime(sums[end] - sums[start]) * down[start])
+        out = out << np.uint64(31) | h
+    size = (end - start).astype(np.uint64)
+    out = mix(out ^ (size * np.uint64(Powers.BASE)))
+    for k in np.flatnonzero(size >= LONG_SPAN).tolist():
+        out[k] = np.frombuffer(hashlib.blake2b(raw[start[k] : end[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+    return out
+
 
 class Words:
     """Words of many texts at once: byte offsets and 64-bit hashes of maximal runs of word bytes.
@@ -146,22 +213,27 @@ class Words:
     texts: bytes; is_word: 256 booleans. doc: index of each word's text.
     """
 
+    AT_ONCE = 1 << 22  # bytes that are hashed at once
+
     def __init__(self, texts: list[bytes], is_word: np.ndarray) -> None:
         self.buffer = b"\n".join(texts) + b"\n"
         raw = np.frombuffer(self.buffer, np.uint8)
+        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         inside = np.zeros(len(raw) + 1, np.int8)
         inside[1:] = is_word[raw]
-        ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
         inside[ends] = 0  # the join byte is no word byte
         edge = np.diff(inside)
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         if len(self.end) < len(self.start):
             self.end = np.append(self.end, len(raw))
         self.doc = np.searchsorted(ends, self.start, side="right")
-        up, down = POWERS.get(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[raw] * up[: len(raw)], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(np.uint64))
+        hashes, at = [np.zeros(0, np.uint64)], 0
+        while at < len(self.start):
+            low = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, low + self.AT_ONCE, side="right")))
+            hashes.append(span_hashes(raw[low : self.end[to - 1]], self.start[at:to] - low, self.end[at:to] - low))
+            at = to
+        self.hash = np.concatenate(hashes)
         self.counts = np.bincount(self.doc, minlength=len(texts))
 
     def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:

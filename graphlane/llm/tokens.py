@@ -8,11 +8,12 @@ from functools import cache
 
 import numpy as np
 
-from graphlane.llm.common import BYTE_VALUES, POWERS, member, mix
+from graphlane.llm.common import member, span_hashes
 
 LONG = 1 << 16  # characters from which a text is encoded in pieces
-UNSPLIT = 1 << 10  # bytes from which a part that the splitting rule leaves whole is encoded in halves
+UNSPLIT = 12  # letters up to which a part that the splitting rule leaves whole is encoded at once, not in halves
 AT_ONCE = 1 << 19  # characters given to the library at once, which bounds the memory of its results
+PAIRS = 500_000  # pairs of neighbours that are remembered
 
 
 class Encoder:
@@ -25,7 +26,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        added = self.library.get_added_tokens_decoder()
+        self.special = {t.content: i for i, t in added.items()}
+        self.greedy = {t.content for t in added.values() if t.lstrip or t.rstrip or t.single_word}  # these look at what stands beside them
         self.split = self.library.pre_tokenizer.pre_tokenize_str
         self.plain = Tokenizer.from_file(path)  # without splitting: for parts that are split already, in the library's byte letters
         from tokenizers import pre_tokenizers
@@ -34,7 +37,13 @@ class Encoder:
         self.plain.no_truncation()
         self.plain.no_padding()
         self.letters = {i: t for t, i in self.library.get_vocab(with_added_tokens=False).items()}
-        self.agrees = cache(lambda a, b: self.direct(self.letters[a] + self.letters[b]) == [a, b])
+        self.width = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each token
+        for i, letters in self.letters.items():
+            self.width[i] = len(letters)
+        for text, i in self.special.items():
+            self.width[i] = len(text.encode())
+        self.pairs: dict[tuple[int, int], bool] = {}
+        self.halved = 0  # parts that were encoded by halves
 
     def batch(self, texts: list[str]) -> list[list[int]]:
         out: list[list[int]] = []
@@ -52,39 +61,90 @@ class Encoder:
     def direct(self, letters: str) -> list[int]:
         return self.plain.encode(letters, add_special_tokens=False).ids
 
-    def whole(self, letters: str) -> list[int]:
-        """A part that isn't split, by halves of halves."""
-        if len(letters) <= UNSPLIT:
-            return self.direct(letters)
-        m = len(letters) // 2
-        return self.join_ids(self.whole(letters[:m]), self.whole(letters[m:]))
+    def plain_batch(self, letters: list[str]) -> list[list[int]]:
+        """The ids of parts that are split already, many at once."""
+        out: list[list[int]] = []
+        at = 0
+        while at < len(letters):
+            end, size = at, 0
+            while end < len(letters) and (end == at or size + len(letters[end]) <= AT_ONCE):
+                size += len(letters[end])
+                end += 1
+            out += [e.ids for e in self.plain.encode_batch_fast(letters[at:end], add_special_tokens=False)]
+            at = end
+        return out
 
-    def join_ids(self, a: list[int], b: list[int]) -> list[int]:
-        """The encoding of the joined letters of two encodings.
+    def agreeing(self, pairs: set[tuple[int, int]]) -> dict[tuple[int, int], bool]:
+        """Whether each two neighbours encode to themselves."""
+        new = [p for p in pairs if p not in self.pairs]
+        if len(self.pairs) + len(new) > PAIRS:
+            self.pairs, new = {}, list(pairs)
+        for p, ids in zip(new, self.plain_batch([self.letters[a] + self.letters[b] for a, b in new]), strict=True):
+            self.pairs[p] = ids == [*p]
+        return self.pairs
+
+    def whole(self, parts: list[str]) -> list[list[int]]:
+        """Parts that aren't split: their halves of halves are encoded side by side and joined level by level."""
+        rows = [[x[k : k + UNSPLIT] for k in range(0, len(x), UNSPLIT)] for x in parts]
+        self.halved += sum(len(r) > 1 for r in rows)
+        leaves = list({leaf for r in rows for leaf in r})
+        known = dict(zip(leaves, self.plain_batch(leaves), strict=True))
+        trees = [[known[leaf] for leaf in r] for r in rows]
+        while any(len(t) > 1 for t in trees):
+            joins = [(t[k], t[k + 1]) for t in trees for k in range(0, len(t) - 1, 2)]
+            done = iter(self.join_all(joins))
+            trees = [[next(done) if k + 1 < len(t) else t[k] for k in range(0, len(t), 2)] for t in trees]
+        return [t[0] if t else [] for t in trees]
+
+    def join_all(self, joins: list[tuple[list[int], list[int]]]) -> list[list[int]]:
+        """For each (a, b) the encoding of the joined letters of two encodings.
 
         An encoding is the right one exactly if each two neighbours encode to themselves. So a growing window round
         the join is encoded again until it agrees with its neighbours on both sides.
         """
-        if not a or not b:
-            return a + b
+        out: list[list[int]] = [a + b for a, b in joins]
+        lines = {k: ([], a[-1], b[0]) for k, (a, b) in enumerate(joins) if a and b}  # the window's ids, and those beside it
         w = 0
-        while True:
-            left, right = a[: len(a) - w], b[w:]
-            middle = self.direct("".join(self.letters[i] for i in a[len(a) - w :] + b[:w])) if w else []
-            line = left[-1:] + middle + right[:1]
-            ends = [(line[0], line[1]), (line[-2], line[-1])] if len(line) > 1 else []
-            if left[-1:] == [] and ends:
-                ends = ends[1:]
-            if right[:1] == [] and ends:
-                ends = ends[:-1]
-            if all(self.agrees(*e) for e in ends):
-                return left + middle + right
+        while lines:
+            ends = {k: [p for p in ((left, (middle or [right])[0]), ((middle or [left])[-1], right)) if None not in p] for k, (middle, left, right) in lines.items()}
+            same = self.agreeing({p for own in ends.values() for p in own})
+            open_joins = []
+            for k, own in ends.items():
+                if all(same[p] for p in own):
+                    a, b = joins[k]
+                    out[k] = a[: max(0, len(a) - w)] + lines[k][0] + b[w:]
+                else:
+                    open_joins.append(k)
             w = max(1, 2 * w)
+            windows = ["".join([self.letters[i] for i in joins[k][0][-w:] + joins[k][1][:w]]) for k in open_joins]
+            distinct = list(dict.fromkeys(windows))
+            coded = dict(zip(distinct, self.plain_batch(distinct), strict=True))
+            lines = {k: (coded[x], joins[k][0][-w - 1] if len(joins[k][0]) > w else None, joins[k][1][w] if len(joins[k][1]) > w else None) for k, x in zip(open_joins, windows, strict=True)}
+        return out
+
+    def join_ids(self, a: list[int], b: list[int]) -> list[int]:
+        return self.join_all([(a, b)])[0]
 
     def parts(self, letters: list[str]) -> list[list[int]]:
-        short = {x: None for x in letters if len(x) <= UNSPLIT}
-        known = dict(zip(short, (e.ids for e in self.plain.encode_batch_fast(list(short), add_special_tokens=False)), strict=True)) if short else {}
-        return [known[x] if x in known else self.whole(x) for x in letters]
+        distinct = list(dict.fromkeys(letters))
+        known = dict(zip(distinct, self.whole(distinct), strict=True))
+        return [known[x] for x in letters]
+
+    def split_batch(self, texts: list[str]) -> list[list[int]]:
+        """The ids of texts, by the parts that the splitting rule makes and by halves of these."""
+        out: list[list[int]] = [[] for _ in texts]
+        place, found = [], []
+        for k, t in enumerate(texts):
+            if any(x in t for x in self.special):
+                out[k] = self.long(t)
+                continue
+            own = [x for x, _ in self.split(t)]
+            place.append((k, len(found), len(found) + len(own)))
+            found += own
+        ids = self.parts(found)
+        for k, a, b in place:
+            out[k] = [i for part in ids[a:b] for i in part]
+        return out
 
     def piece(self, text: str) -> Piece:
         """A piece without special tokens."""
@@ -170,81 +230,111 @@ def little_endian(ids: list[int]) -> bytes:
 # White space that takes more than a byte, or that not all libraries count as such: texts with it go to the library whole.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+STRETCH = 1 << 20  # characters that are taken to units at once
+BREAK = re.compile(r"(?<=\S) ")
+
+
+def stretches(text: str, size: int = STRETCH) -> list[str]:
+    """The text cut where units begin, each stretch as long as `size` or up to the next such place."""
+    out, begin = [], 0
+    while len(text) - begin > size:
+        found = BREAK.search(text, begin + size)
+        if found is None:
+            break
+        out.append(text[begin : found.start()])
+        begin = found.start()
+    return [*out, text[begin:]]
 
 
 class UnitCoder:
     """Encodes texts by their units: what lies between places where a space follows another character than white space.
 
     The library splits there whatever else stands in the text, and goes on as at the beginning of a text. So the ids of
-    a text are those of its units. Each distinct unit, known by 64 bits of hash with its length, is given to the
-    library once and its ids are kept for later texts.
+    a text are those of its units. Each distinct unit is encoded once; its bytes and ids are kept for later texts. Units
+    are found by a hash and compared byte by byte; a text with a unit that only shares the hash goes to the library whole.
+    `halves`: what the splitting rule leaves whole is encoded by tree concatenation, otherwise by the library at once.
     """
 
-    def __init__(self, path: str, most: int = 500_000) -> None:
-        """most: units that are kept."""
-        self.most = most
+    def __init__(self, path: str, most: int = 300_000, halves: bool = False) -> None:
+        """most: units that are kept; with more, all are forgotten."""
+        self.most, self.halves = most, halves
         self.encoder = encoder(path)
-        size = self.encoder.library.get_vocab_size()
-        self.width = np.zeros(size, np.int64)
-        for i, letters in self.encoder.letters.items():
-            self.width[i] = len(letters)
-        for text, i in self.encoder.special.items():
-            self.width[i] = len(text.encode())
-        self.whole = [t for t in self.encoder.special if " " in t]
+        self.whole = [t for t in self.encoder.special if " " in t or t in self.encoder.greedy]
         self.forget()
 
     def forget(self) -> None:
-        self.known = np.zeros(0, np.uint64)
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where the unit of each stands below
+        self.unit, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        out: list[np.ndarray | None] = [None] * len(texts)
-        plain = []
+        out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        held: list[tuple[int, str]] = []
+        size = 0
         for k, t in enumerate(texts):
             if RARE_SPACE.search(t) or any(x in t for x in self.whole):
                 out[k] = np.array(self.encoder.batch([t])[0], np.uint32)
-            else:
-                plain.append(k)
-        flat, sizes = self.units([texts[k].encode() for k in plain])
-        ends = np.cumsum(sizes).tolist()
-        for k, a, b in zip(plain, [0, *ends], ends, strict=False):
-            out[k] = flat[a:b]
+                continue
+            for part in stretches(t):
+                if size + len(part) > 2 * STRETCH and held:
+                    self._encode(held, out)
+                    held, size = [], 0
+                held.append((k, part))
+                size += len(part)
+        self._encode(held, out)
         return out
 
-    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all texts, and how many each one has."""
+    def _encode(self, parts: list[tuple[int, str]], out: list[np.ndarray]) -> None:
+        flat, sizes, sure = self.units([t.encode() for _, t in parts])
+        ends = np.cumsum(sizes).tolist()
+        for (k, t), a, b, good in zip(parts, [0, *ends], ends, sure.tolist(), strict=False):
+            ids = flat[a:b] if good else np.array(self.encoder.batch([t])[0], np.uint32)
+            out[k] = np.concatenate([out[k], ids]) if len(out[k]) else ids
+
+    def units(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all texts, how many each one has, and whether all of its units were compared equal."""
         buffer = b"".join(texts)
         raw = np.frombuffer(buffer, np.uint8)
         n = len(raw)
+        sure = np.ones(len(texts), bool)
         lengths = np.fromiter(map(len, texts), np.int64, len(texts))
         if not n:
-            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64), sure
         first = np.cumsum(lengths) - lengths
         starts = np.zeros(n, bool)
         starts[1:] = (raw[1:] == 32) & ~SPACE[raw[:-1]]
         starts[first[lengths > 0]] = True
         at = np.flatnonzero(starts)
         size = np.diff(np.r_[at, n])
-        up, down = POWERS.get(n + 1)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_VALUES[raw] * up[:n], out=sums[1:])
-        h = mix((sums[at + size] - sums[at]) * down[at] + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        values, where, back = np.unique(h, return_index=True, return_inverse=True)
+        values, where, back = np.unique(span_hashes(raw, at, at + size), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.forget()
         new = ~member(values, self.known)
         self.learn(values[new], [buffer[a : a + b] for a, b in zip(at[where[new]].tolist(), size[where[new]].tolist(), strict=True)])
-        place = np.searchsorted(self.known, values)[back]
+        place = self.slot[np.searchsorted(self.known, values)][back]
         counts = self.size[place]
         total = np.cumsum(counts)
         flat = self.flat[np.repeat(self.begin[place] - (total - counts), counts) + np.arange(total[-1])]
         owner = np.searchsorted(first + lengths, at, side="right")
-        return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64)
+        alike = self.length[place] == size
+        kept = np.repeat(self.unit[place] - at, size)
+        kept += np.arange(n)
+        differ = self.bytes.take(kept, mode="clip") != raw
+        sure[owner[~alike]] = False
+        sure[np.searchsorted(first + lengths, np.flatnonzero(differ), side="right")] = False
+        return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64), sure
 
     def learn(self, values: np.ndarray, units: list[bytes]) -> None:
         """Units that begin with a space and don't end with white space are encoded in one text, which splits between them."""
         if not units:
             return
+        whole = np.fromiter((len(u) <= UNSPLIT or not self.halves for u in units), bool, len(units))
+        order = np.argsort(~whole, kind="stable")
+        m = int(whole.sum())
+        if 0 < m < len(units):
+            self.learn(values[order[:m]], [units[k] for k in order[:m].tolist()])
+            self.learn(values[order[m:]], [units[k] for k in order[m:].tolist()])
+            return
         joins = np.fromiter((u[:1] == b" " and not SPACE[u[-1]] for u in units), bool, len(units))
         order = np.argsort(~joins, kind="stable")
         units = [units[k] for k in order.tolist()]
@@ -258,19 +348,31 @@ class UnitCoder:
                 held, size = [], 0
         if held:
             texts.append(b"".join(held).decode())
-        coded = [np.array(x, np.uint32) for x in self.encoder.batch(texts + [u.decode() for u in units[n:]])]
+        texts += [u.decode() for u in units[n:]]
+        coded = [np.array(x, np.uint32) for x in (self.encoder.batch(texts) if m else self.encoder.split_batch(texts))]
         flat = np.concatenate(coded)
-        ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
-        upto = np.searchsorted(np.cumsum(self.width[flat]), ends, side="right")
-        begin, size = np.r_[0, upto[:-1]], np.diff(np.r_[0, upto])
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        ends = np.cumsum(sizes)
+        upto = np.searchsorted(np.cumsum(self.encoder.width[flat]), ends, side="right")
+        begin = np.r_[0, upto[:-1]]
         known = np.concatenate([self.known, values[order]])
         sort = np.argsort(known, kind="stable")
         self.known = known[sort]
-        self.begin = np.concatenate([self.begin, begin + len(self.flat)])[sort]
-        self.size = np.concatenate([self.size, size])[sort]
+        self.slot = np.concatenate([self.slot, np.arange(len(self.unit), len(self.unit) + len(units))])[sort]
+        self.unit = np.concatenate([self.unit, ends - sizes + len(self.bytes)])
+        self.length = np.concatenate([self.length, sizes])
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
+        self.size = np.concatenate([self.size, upto - begin])
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(units), np.uint8)])
         self.flat = np.concatenate([self.flat, flat])
 
 
 @cache
-def unit_coder(path: str, most: int = 500_000) -> UnitCoder:
-    return UnitCoder(path, most)
+def unit_coder(path: str, most: int = 300_000, halves: bool = False) -> UnitCoder:
+    return UnitCoder(path, most, halves)
+
+
+def drop_coders() -> None:
+    """Forgets what this process keeps for encoding."""
+    unit_coder.cache_clear()
+    encoder.cache_clear()

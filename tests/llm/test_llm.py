@@ -118,7 +118,7 @@ def test_trees_of_pieces():
         t = "".join(r.choice(["ab", "the", " ", "  ", "\n", "é", "'s", "<|endoftext|>", "x" * 9]) for _ in range(r.randint(0, 60)))
         assert e.long(t, 7) == e.library.encode(t, add_special_tokens=False).ids
     run = "".join(r.choice("abcdefgh") for _ in range(5000))
-    assert e.whole(run) == e.direct(run)
+    assert e.whole([run])[0] == e.direct(run)
 
 
 def test_codes():
@@ -180,3 +180,66 @@ def test_language_under_many_labels_stays(spark):
     data = [(k, " ".join(r.choice(words) for _ in range(30)), ["en", "EN", "en-us", "eng", "en-gb"][k % 5]) for k in range(100)]
     out = langid.with_language(spark.createDataFrame([*data, (200, "12 34", "en"), (201, None, "en"), (202, "a", "en")], "doc_id long, text string, lang string"))
     assert {x.doc_id for x in out.collect()} == {*range(100), 202}
+
+
+def thue_morse(n):
+    """Two different words of 2**n letters that every polynomial hash modulo 2**64 takes for equal."""
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    library = tokens.encoder(vocabulary()).library
+    pair = thue_morse(11)
+    docs = spark.createDataFrame([(k, f"q {w}") for k, w in enumerate(pair)] + [(2, pair[0]), (3, pair[1])], "doc_id long, text string").coalesce(1)
+    want = {r.doc_id: library.encode(r.text, add_special_tokens=False).ids for r in docs.collect()}
+    coded = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in bpe.encode(docs, vocabulary()).collect()}
+    assert coded == want
+    filed = {r.doc_id: r.ids_crc32 for r in idfiles.digests(docs, vocabulary(), 2).collect()}
+    assert filed == {k: zlib.crc32(np.array([*x, 2], "<u4").tobytes()) for k, x in want.items()}
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()} == {k: k for k in range(4)}
+
+
+def test_units_of_one_hash_are_told_apart(monkeypatch):
+    real = tokens.span_hashes
+    monkeypatch.setattr(tokens, "span_hashes", lambda raw, a, b: real(raw, a, b) % np.uint64(40))
+    library, r = tokens.encoder(vocabulary()).library, random.Random(6)
+    texts = [" ".join("".join(r.choice("abcde") for _ in range(r.randint(0, 6))) for _ in range(12)) for _ in range(60)]
+    for halves in (False, True):
+        got = tokens.UnitCoder(vocabulary(), halves=halves).encode(texts)
+        assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_unsplit_runs_of_any_text_are_encoded_by_halves(monkeypatch):
+    """Rows with an unsplit run of more than UNSPLIT letters: each such run is joined from halves, however short the text."""
+    e, r = tokens.encoder(vocabulary()), random.Random(9)
+    texts = ["".join(r.choice("etaoin shrdlu") for _ in range(r.randint(1, 400))).replace("u", r.choice(["u", "ü", ""])) for _ in range(80)]
+    runs = {x for t in texts for x, _ in e.split(t) if len(x) > tokens.UNSPLIT}
+    rows = sum(any(len(x) > tokens.UNSPLIT for x, _ in e.split(t)) for t in texts)
+    assert rows > 50
+    e.halved = 0
+    got = tokens.UnitCoder(vocabulary(), halves=True).encode(texts)
+    assert e.halved >= len(runs)
+    assert [x.tolist() for x in got] == [e.library.encode(t, add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(tokens, "STRETCH", 30)
+    assert [x.tolist() for x in tokens.UnitCoder(vocabulary()).encode(texts)] == [x.tolist() for x in got]
+
+
+def test_ids_over_several_parts_and_blocks(spark, tmp_path):
+    r, library = random.Random(3), tokens.encoder(vocabulary()).library
+    texts = [(k if k % 10 else None if k % 20 else 5, " ".join(r.choice(["wind", "north", "zü", "x y"]) for _ in range(r.randint(0, 90)))) for k in range(300)]
+    docs = spark.createDataFrame([(k, t, 1, "x") for k, t in texts], "doc_id long, text string, part int, start string").repartition(7)
+    docs.write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    blocks = idfiles.encode_ordered(docs, vocabulary(), 2, 200, 4000).collect()
+    assert len({b.part for b in blocks}) > 2 and max(b.block for b in blocks) > 2
+    want, start = [], 0
+    for k, t in sorted(texts, key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+        ids = [*library.encode(t, add_special_tokens=False).ids, 2]
+        want.append((k, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    got = [(x.doc_id, x.start, x.n_tokens, x.ids_crc32) for x in idfiles.digests(docs, vocabulary(), 2, 200, 4000).collect()]
+    assert sorted(got, key=lambda x: x[1]) == want
+    assert idfiles.code_lengths(np.ones(300, np.int64), 4).max() <= 10
