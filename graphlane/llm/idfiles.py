@@ -11,23 +11,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlane.llm.common import id_type, parts, scratch, written
-from graphlane.llm.tokens import encoder, unit_coder
+from graphlane.llm.common import id_type, parts, scratch, tidy, written
+from graphlane.llm.tokens import drop_coders, encoder, unit_coder
 
-LIMIT = 18  # bits of the longest code
-UNITS = 1_200_000  # distinct units whose ids a task keeps
+LIMIT = 18  # bits of the longest code, unless there are more symbols than codes of so many bits
+UNITS = 800_000  # distinct units whose ids a task keeps
 STEP = 64  # ids between two checkpoints
-BLOCK = 1 << 19  # ids from which a block ends; a document is never cut
+BLOCK = 1 << 16  # ids from which a block ends; a document is never cut
+PART_BYTES = 12 << 20  # stored bytes of a part
+
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
-    """Bits of an optimal prefix code of at most `limit` bits, by merging packages; 0 for what doesn't occur."""
+    """Bits of an optimal prefix code of at most `limit` bits, by merging packages; 0 for what doesn't occur. For many
+    symbols the limit is one bit more than they need."""
     out = np.zeros(len(counts), np.int64)
     used = np.flatnonzero(counts)
     if len(used) < 2:
         out[used] = 1
         return out
-    if len(used) > 1 << limit:
-        raise ValueError("too many symbols for codes of that length")
+    limit = max(limit, (len(used) - 1).bit_length() + 1)
     order = used[np.argsort(counts[used], kind="stable")]
     weights = counts[order].astype(np.int64)
     level, leaves = weights, [np.ones(len(weights), bool)]
@@ -93,12 +95,13 @@ class Codes:
         return out.T.reshape(-1)[:n]
 
 
-def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None) -> DataFrame:
+def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None, block_ids: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
     """Blocks of ids in ascending doc_id order: part, block, before (ids of the part before it), doc_ids, sizes, ids
     (little-endian 16 or 32 bits).
 
-    docs needs doc_id and text; null texts count as empty, a null doc_id comes first, repeated ids stand in order of
-    their texts. Parts are ranges of doc_id.
+    docs needs doc_id and text, other columns don't matter; null texts count as empty, a null doc_id comes first,
+    repeated ids stand in order of their texts. Parts are ranges of doc_id and the text's first characters, so that one
+    id of many rows fills several parts. Memory: a batch of texts, the kept units, and a block with one document more.
     """
     kind = id_type(docs)
 
@@ -115,30 +118,30 @@ def encode_ordered(docs: DataFrame, path: str, end_id: int | None = None) -> Dat
 
         for batch in batches:
             row_type = batch.schema.field("doc_id").type
-            for at in range(0, batch.num_rows, 500):
-                some = batch.slice(at, 500)
+            for at in range(0, batch.num_rows, 250):
+                some = batch.slice(at, 250)
                 coded = unit_coder(path, UNITS).encode([t or "" for t in some.column("text").to_pylist()])
                 for d, x in zip(some.column("doc_id").to_pylist(), coded, strict=True):
                     own.append(d)
                     ids += [x, tail]
                     sizes.append(len(x) + len(tail))
                     held += sizes[-1]
-                    if held >= BLOCK:
+                    if held >= block_ids:
                         yield row()
                         block, before, own, sizes, ids, held = block + 1, before + held, [], [], [], 0
         if own:
             yield row()
 
-    n = parts(docs.select("doc_id", "text"), each=12 << 20, least=1)
-    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, f"part long, block int, before long, doc_ids array<{kind}>, sizes array<long>, ids binary")
+    n = parts(docs.select("doc_id", "text"), each=part_bytes, least=1)
+    ordered = docs.select("doc_id", "text").repartitionByRange(n, "doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
+    return ordered.mapInArrow(tidy(run), f"part long, block int, before long, doc_ids array<{kind}>, sizes array<long>, ids binary")
 
 
 def _flat(ids: bytes, sizes: list[int]) -> np.ndarray:
     return np.frombuffer(ids, "<u4" if len(ids) == 4 * sum(sizes) and sum(sizes) else "<u2")
 
 
-def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) -> None:
+def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None, block_ids: int = BLOCK, part_bytes: int = PART_BYTES) -> None:
     """Encodes docs and writes folder/codes (symbol, bits) and folder/blocks, Parquet that holds the coded blocks.
 
     A row of blocks: part, block, start (ids before it), doc_ids, sizes, n, payload, checkpoints (bit offset of each
@@ -146,13 +149,14 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     per part.
     """
     spark = docs.sparkSession
-    coded = written(encode_ordered(docs, path, end_id))
+    coded = written(encode_ordered(docs, path, end_id, block_ids, part_bytes))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coders()
         total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, sizes in zip(batch.column("ids").to_pylist(), batch.column("sizes").to_pylist(), strict=True):
-                c = np.bincount(_flat(ids, sizes))
+            for k in range(batch.num_rows):
+                c = np.bincount(_flat(batch.column("ids")[k].as_py(), batch.column("sizes")[k].as_py()))
                 if len(c) > len(total):
                     c[: len(total)] += total
                     total = c
@@ -161,7 +165,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["symbol", "n"])
 
-    counts = coded.select("ids", "sizes").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
+    counts = coded.select("ids", "sizes").mapInArrow(tidy(count), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect()
     totals = np.zeros(max([r.symbol for r in counts], default=0) + 1, np.int64)
     for r in counts:
         totals[r.symbol] = r.n
@@ -174,6 +178,7 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
     kind = coded.schema["doc_ids"].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coders()
         codes = Codes(lengths)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -184,14 +189,15 @@ def write(docs: DataFrame, path: str, folder: str, end_id: int | None = None) ->
                 extra = [pa.array([start], pa.int64()), pa.array([sum(sizes)], pa.int64()), pa.array([payload], pa.binary()), pa.array([checkpoints.astype("<u4").tobytes()], pa.binary())]
                 yield pa.RecordBatch.from_arrays([row.column("part"), row.column("block"), extra[0], row.column("doc_ids"), row.column("sizes"), *extra[1:]], ["part", "block", "start", "doc_ids", "sizes", "n", "payload", "checkpoints"])
 
-    packed = coded.mapInArrow(pack, f"part long, block int, start long, doc_ids {kind}, sizes array<long>, n long, payload binary, checkpoints binary")
+    packed = coded.mapInArrow(tidy(pack), f"part long, block int, start long, doc_ids {kind}, sizes array<long>, n long, payload binary, checkpoints binary")
     packed.write.option("compression", "none").parquet(f"{folder}/blocks")
     used = [(int(s), int(lengths[s])) for s in np.flatnonzero(lengths)]
     spark.createDataFrame(used, "symbol long, bits int").coalesce(1).write.parquet(f"{folder}/codes")
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """The documents of a folder: doc_id, start (ids of all documents before it), ids as little-endian 32-bit integers."""
+    """The documents of a folder: doc_id, start (ids of all documents before it), n_tokens, ids as little-endian 32-bit
+    integers. An empty folder of blocks gives no rows."""
     return _read(spark, folder, "ids binary", lambda x: x, pa.binary())
 
 
@@ -204,6 +210,7 @@ def _read(spark: SparkSession, folder: str, field: str, make, arrow_type: pa.Dat
     kind = blocks.schema["doc_ids"].dataType.elementType.simpleString()
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_coders()
         table = Codes(lengths)
         for batch in batches:
             for k in range(batch.num_rows):
@@ -216,11 +223,15 @@ def _read(spark: SparkSession, folder: str, field: str, make, arrow_type: pa.Dat
                 own = [make(bytes(raw[4 * a : 4 * b])) for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([row.column("doc_ids").flatten(), pa.array(start + begins, pa.int64()), pa.array(sizes, pa.int64()), pa.array(own, arrow_type)], ["doc_id", "start", "n_tokens", field.split()[0]])
 
-    return blocks.mapInArrow(unpack, f"doc_id {kind}, start long, n_tokens long, {field}")
+    return blocks.mapInArrow(tidy(unpack), f"doc_id {kind}, start long, n_tokens long, {field}")
 
 
-def digests(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Writes docs to a new folder of the shared place and reads it back: doc_id, start, n_tokens, ids_crc32."""
+def digests(docs: DataFrame, path: str, end_id: int, block_ids: int = BLOCK, part_bytes: int = PART_BYTES) -> DataFrame:
+    """Writes docs to a new folder of the shared place and reads it back: doc_id, start, n_tokens, ids_crc32.
+
+    One row per row of docs: null and empty texts have the end id alone, rows with a null or repeated doc_id stay, each
+    with its own start. Other columns are left out.
+    """
     folder = scratch(docs.sparkSession)
-    write(docs, path, folder, end_id)
+    write(docs, path, folder, end_id, block_ids, part_bytes)
     return _read(docs.sparkSession, folder, "ids_crc32 long", zlib.crc32, pa.int64())
