@@ -131,106 +131,158 @@ class Parser:
         return ord(c)
 
 
-def determinize(arcs: list[list[tuple[frozenset[int] | None, int]]], starts: list[int], accept: dict[int, int], anywhere: bool) -> tuple[np.ndarray, list[int]]:
-    """Subset construction, then minimisation by refining classes of states.
+Arcs = list[list[tuple[frozenset[int] | None, int]]]
 
-    accept: state -> rule. anywhere: matches may begin at each byte. Returns (states x 256 transitions, bit mask of
-    accepted rules per state); state 0 is the start, and a state that can reach nothing more is kept as any other.
+
+def byte_classes(arcs: Arcs) -> np.ndarray:
+    """The class of each byte: bytes that no arc tells apart are one. Class 0 holds byte 0, which no rule has."""
+    sets = {on for out in arcs for on, _ in out if on is not None}
+    number: dict[tuple[bool, ...], int] = {}
+    return np.array([number.setdefault(tuple(b in s for s in sets), len(number)) for b in range(256)], np.uint8)
+
+
+def determinize(arcs: Arcs, classes: np.ndarray, starts: list[int], accept: dict[int, int], anywhere: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Subset construction, then minimisation by refining sets of states.
+
+    accept: state -> rule. anywhere: matches may begin at each byte. Returns the transitions (states x classes) and the
+    bit mask of accepted rules per state. The start is state 0; a state that can reach nothing more is kept as any other.
     """
+    some_byte = {int(c): b for b, c in enumerate(classes.tolist())}
+    on_class = [[([c for c, b in some_byte.items() if b in on], to) for on, to in out if on is not None] for out in arcs]
+    free = [[to for on, to in out if on is None] for out in arcs]
 
     def closure(states) -> frozenset[int]:
         todo, seen = [*states], {*states}
         while todo:
-            for on, to in arcs[todo.pop()]:
-                if on is None and to not in seen:
+            for to in free[todo.pop()]:
+                if to not in seen:
                     seen.add(to)
                     todo.append(to)
         return frozenset(seen)
 
     first = closure(starts)
     ids, order, rows = {first: 0}, [first], []
+    known: dict[frozenset[int], int] = {}
     for states in order:
-        row = [frozenset()] * 256
-        moves: dict[int, set[int]] = {b: set() for b in range(256)}
+        moves: list[set[int]] = [set() for _ in some_byte]
         for s in states:
-            for on, to in arcs[s]:
-                for b in on or ():
-                    moves[b].add(to)
-        known: dict[frozenset[int], frozenset[int]] = {}
-        for b in range(256):
-            key = frozenset(moves[b])
+            for own, to in on_class[s]:
+                for c in own:
+                    moves[c].add(to)
+        row = []
+        for move in moves:
+            key = frozenset(move)
             if key not in known:
-                known[key] = closure(key) | (first if anywhere else frozenset())
-            row[b] = known[key]
-            if row[b] not in ids:
-                ids[row[b]] = len(order)
-                order.append(row[b])
-        rows.append([ids[x] for x in row])
+                to = closure(key) | (first if anywhere else frozenset())
+                if to not in ids:
+                    ids[to] = len(order)
+                    order.append(to)
+                known[key] = ids[to]
+            row.append(known[key])
+        rows.append(row)
     table = np.array(rows, np.int64)
     masks = np.array([sum({1 << accept[s] for s in states if s in accept}) for states in order], np.int64)
-    klass = np.unique(masks, return_inverse=True)[1]
+    kind = np.unique(masks, return_inverse=True)[1].ravel()
     while True:
-        new = np.unique(np.column_stack([klass, klass[table]]), axis=0, return_inverse=True)[1].ravel()
-        if new.max() == klass.max():
+        new = kind.copy()
+        for c in range(table.shape[1]):
+            new = np.unique(new * (kind.max() + 1) + kind[table[:, c]], return_inverse=True)[1].ravel()
+        if new.max() == kind.max():
             break
-        klass = new
-    number = np.full(klass.max() + 1, -1)  # the start keeps number 0
-    for c in klass:
-        if number[c] < 0:
-            number[c] = number.max() + 1
-    pick = np.zeros(number.max() + 1, np.int64)
-    pick[number[klass]] = np.arange(len(klass))
-    return number[klass[table[pick]]], masks[pick].tolist()
+        kind = new
+    _, pick, number = np.unique(kind, return_index=True, return_inverse=True)
+    place = np.argsort(np.argsort(pick))[number.ravel()]  # numbered as first met, so the start keeps number 0
+    pick = np.sort(pick)
+    return place[table[pick]], masks[pick]
 
 
 class Automata:
-    """The combined automaton over all rules, the same over reversed rules, and one anchored automaton per rule."""
+    """The combined automaton over all rules, the same over reversed rules, and one anchored automaton per rule, as arrays.
+
+    Transitions are by byte class. The combined automaton's states that accept a rule have the highest numbers.
+    """
+
+    TILE = 1024  # bytes of each text that are laid out side by side
+    LANES = 48  # texts below which a step in Python costs less than a step of arrays
 
     def __init__(self, rules=RULES) -> None:
         self.rules = rules
         parser, starts, accept, flipped = Parser(), [], {}, []
-        self.anchored = []
         for k, (_, regex, fold, _) in enumerate(rules):
             a, b = parser.parse(regex, fold)
             starts.append(a)
             accept[b] = k
             flipped.append((a, b))
-            self.anchored.append(self.lists(*determinize(parser.arcs, [a], {b: k}, False)))
-        self.forward = self.ordered(*determinize(parser.arcs, starts, accept, True))
-        back: list[list] = [[] for _ in parser.arcs]
+        self.classes = byte_classes(parser.arcs)
+        table, masks = determinize(parser.arcs, self.classes, starts, accept, True)
+        order = np.argsort(masks > 0, kind="stable")
+        place = np.argsort(order)
+        self.table, self.masks = place[table[order]].astype(np.int32), masks[order]
+        self.begin, self.accepting = int(place[0]), int((masks == 0).sum())
+        self.anchored = [determinize(parser.arcs, self.classes, [a], {b: k}, False) for k, (a, b) in enumerate(flipped)]
+        back: Arcs = [[] for _ in parser.arcs]
         for s, out in enumerate(parser.arcs):
             for on, to in out:
                 back[to].append((on, s))
-        self.backward = self.lists(*determinize(back, [b for _, b in flipped], {a: k for k, (a, _) in enumerate(flipped)}, True))
-
-    @staticmethod
-    def lists(table: np.ndarray, masks: list[int]) -> tuple[list[list[int]], list[int]]:
-        return table.tolist(), masks
-
-    @staticmethod
-    def ordered(table: np.ndarray, masks: list[int]) -> list[list[list]]:
-        """Rows that refer to one another directly; an accepting row has a 257th entry."""
-        rows: list[list] = [[] for _ in masks]
-        for row, out, mask in zip(rows, table.tolist(), masks, strict=True):
-            row.extend(rows[t] for t in out)
-            if mask:
-                row.append(None)
-        return rows
-
-    def touches(self, data: bytes) -> bool:
-        """Whether any rule matches anywhere: one pass, stopping at the first match."""
-        row = self.forward[0]
-        for b in data:
-            row = row[b]
-            if len(row) == 257:
-                return True
-        return False
-
-    def spans(self, data: bytes) -> list[tuple[int, int, int]]:
-        """(begin, kind, end) in bytes: per kind the leftmost, longest matches that don't overlap, then the least sizes."""
-        if not self.touches(data):
-            return []
-        table, masks = self.backward
+        self.backward = determinize(back, self.classes, [b for _, b in flipped], {a: k for k, (a, _) in enumerate(flipped)}, True)
+        self.lists: dict = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": {}}
+
+    def listed(self, which: str | int) -> tuple[list[list[int]], list[int], int]:
+        """Rows by byte, masks and the state that reaches nothing (or -1) of an automaton, for steps in Python."""
+        if which not in self.lists:
+            table, masks = (self.table, self.masks) if which == "combined" else self.backward if which == "backward" else self.anchored[which]
+            own = np.arange(len(table))[:, None]
+            dead = np.flatnonzero((table == own).all(1) & (masks == 0))
+            self.lists[which] = table[:, self.classes].tolist(), masks.tolist(), int(dead[0]) if len(dead) else -1
+        return self.lists[which]
+
+    def ends(self, texts: list[bytes]) -> dict[int, int]:
+        """For each text in which rules match the rules whose matches end somewhere in it, as a mask: one pass over all bytes.
+
+        Texts stand side by side, one step of arrays for a byte of each; the ends of the longest ones go byte by byte.
+        """
+        found: dict[int, int] = {}
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        order = np.argsort(-sizes, kind="stable")
+        lengths = sizes[order]
+        raw = self.classes[np.frombuffer(b"".join([*texts, b"\0"]), np.uint8)]
+        first = (np.cumsum(sizes) - sizes)[order]
+        width = self.table.shape[1]
+        flat = (self.table * width).ravel()
+        limit = self.accepting * width
+        state = np.full(len(texts), self.begin * width, np.int32)
+        at = 0
+        while (lanes := int(np.searchsorted(-lengths, -at, side="left"))) >= self.LANES:
+            place = np.minimum(np.arange(at, at + self.TILE)[:, None], lengths[:lanes])
+            tile = raw.take(first[:lanes] + place, mode="clip").astype(np.int32)
+            tile[place >= lengths[:lanes]] = 0  # past a text's end
+            now = state[:lanes]
+            for row in tile:
+                now = flat.take(now + row)
+                if now.max() >= limit:
+                    hit = np.flatnonzero(now >= limit)
+                    for k, mask in zip(order[hit].tolist(), self.masks[now[hit] // width].tolist(), strict=True):
+                        found[k] = found.get(k, 0) | mask
+            state[:lanes] = now
+            at += self.TILE
+        if lanes:
+            rows, masks, _ = self.listed("combined")
+            for lane in range(lanes):
+                k, s, seen = int(order[lane]), int(state[lane]) // width, 0
+                for b in texts[k][at:]:
+                    s = rows[s][b]
+                    if s >= self.accepting:
+                        seen |= masks[s]
+                if seen:
+                    found[k] = found.get(k, 0) | seen
+        return found
+
+    def spans(self, data: bytes, rules: int) -> list[tuple[int, int, int]]:
+        """(begin, kind, end) in bytes of the given rules (a mask): per kind the leftmost, longest matches that don't overlap, then the least sizes."""
+        table, masks, _ = self.listed("backward")
         s, begins = 0, []
         for i in range(len(data) - 1, -1, -1):
             s = table[s][data[i]]
@@ -239,7 +291,9 @@ class Automata:
         begins.reverse()
         out = []
         for k, (_, _, fold, least) in enumerate(self.rules):
-            (table, masks), end = self.anchored[k], 0
+            if not rules >> k & 1:
+                continue
+            (table, masks, dead), end = self.listed(k), 0
             for i, mask in begins:
                 if i < end or not mask >> k & 1:
                     continue
@@ -248,18 +302,13 @@ class Automata:
                     s = table[s][data[j]]
                     if masks[s]:
                         best = j + 1
-                    elif s == self.dead(k):
+                    elif s == dead:
                         break
                 end = best
                 if (value_bytes(data[i:best]) if fold else best - i) >= least:
                     out.append((i, k, best))
         return sorted(out)
 
-    @cache  # noqa: B019
-    def dead(self, k: int) -> int:
-        table, masks = self.anchored[k]
-        return next((s for s, row in enumerate(table) if not masks[s] and all(t == s for t in row)), -1)
-
 
 VALUE = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
 
@@ -280,69 +329,100 @@ def scan(docs: DataFrame) -> DataFrame:
     """docs with the columns secrets: array of (kind, begin, end) in code points, sorted by begin, then kind as listed.
 
     docs needs a column text; null and empty texts have none. Rows keep their other columns (one named secrets is
-    replaced) and repeated rows are scanned each for itself. Memory: a batch of texts and the automata.
+    replaced) and repeated rows are scanned each for itself. The driver compiles the rules once and sends the arrays
+    (of the rules' size, some MB). Memory of a task: a batch of texts and the arrays.
     """
     df = docs.drop("secrets")
     kind = "array<struct<kind:string,begin:bigint,end:bigint>>"
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), f"secrets {kind}"])
-    return df.mapInArrow(_scanned, schema)
+    return df.mapInArrow(_scanned(_sent(docs)), schema)
 
 
-def _spans_of(text: str | None) -> list[dict]:
-    data = (text or "").encode()
-    found = automata().spans(data)
-    if not found:
-        return []
-    ascii_only = len(data) == len(text)
-    place = (lambda i: i) if ascii_only else (lambda c: lambda i: int(c[i]))(np.r_[0, np.cumsum((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)])
-    return [{"kind": RULES[k][0], "begin": place(i), "end": place(j)} for i, k, j in found]
+def _sent(docs: DataFrame):
+    return docs.sparkSession.sparkContext.broadcast(automata())
 
 
-def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
+ROWS = 1000  # texts that are scanned side by side
+
+
+def _spans_of(compiled: Automata, texts: list[str | None]) -> list[list[dict]]:
+    raw = [(t or "").encode() for t in texts]
+    out: list[list[dict]] = [[] for _ in raw]
+    for k, rules in compiled.ends(raw).items():
+        found = compiled.spans(raw[k], rules)
+        if len(raw[k]) != len(texts[k]):
+            points = np.r_[0, np.cumsum((np.frombuffer(raw[k], np.uint8) & 0xC0) != 0x80)]
+            found = [(int(points[i]), kind, int(points[j])) for i, kind, j in found]
+        out[k] = [{"kind": compiled.rules[kind][0], "begin": i, "end": j} for i, kind, j in found]
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = pa.array([_spans_of(t) for t in batch.column("text").to_pylist()], kind)
-        yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "secrets"])
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scanned(sent):
+    kind = pa.list_(pa.struct([("kind", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            found = pa.array(_spans_of(sent.value, batch.column("text").to_pylist()), kind)
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], [*batch.schema.names, "secrets"])
+
+    return run
+
+
+def _digest(sent):
     names = [r[0] for r in RULES[:BASE_KINDS]]
-    for batch in batches:
-        rows = [_spans_of(t) for t in batch.column("text").to_pylist()]
-        joined = [",".join(f"{s['kind']}:{s['begin']}:{s['end']}" for s in r) for r in rows]
-        base = [",".join(f"{s['kind']}:{s['begin']}:{s['end']}" for s in r if s["kind"] in names) for r in rows]
-        counts = [pa.array([sum(s["kind"] == n for s in r) for r in rows], pa.int64()) for n in names]
-        sha = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base])
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, pa.array(joined, pa.string())], ["doc_id", *(f"n_{n}" for n in names), "base_sha256", "spans"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            rows = _spans_of(sent.value, batch.column("text").to_pylist())
+            joined = [",".join(f"{s['kind']}:{s['begin']}:{s['end']}" for s in r) for r in rows]
+            base = [",".join(f"{s['kind']}:{s['begin']}:{s['end']}" for s in r if s["kind"] in names) for r in rows]
+            counts = [pa.array([sum(s["kind"] == n for s in r) for r in rows], pa.int64()) for n in names]
+            sha = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in base], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, sha, pa.array(joined, pa.string())], ["doc_id", *(f"n_{n}" for n in names), "base_sha256", "spans"])
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_digest, f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return run
 
 
-def _masked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else []
-        for k, text in enumerate(texts):
-            if spans := _spans_of(text):
-                out, end = [], 0
-                for s in spans:
-                    if s["begin"] >= end:
-                        out += [text[end : s["begin"]], f"[{s['kind']}]"]
-                    end = max(end, s["end"])
-                texts[k] = "".join([*out, text[end:]])
-                if sizes:
-                    sizes[k] = len(texts[k])
-        new = {"text": pa.array(texts, pa.string())}
-        if sizes:
-            new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
-        yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+def digests(docs: DataFrame) -> DataFrame:
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
+
+    Null and empty texts have no spans and the digest of an empty text. Rows with a null or repeated doc_id stay, each
+    for itself; other columns are left out.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_digest(_sent(docs)), f"doc_id {kind}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+
+
+def _masked(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _slices(batches):
+            texts = batch.column("text").to_pylist()
+            sizes = batch.column("n_chars").to_pylist() if "n_chars" in batch.schema.names else []
+            for k, spans in enumerate(_spans_of(sent.value, texts)):
+                if spans:
+                    out, end = [], 0
+                    for s in spans:
+                        if s["begin"] >= end:
+                            out += [texts[k][end : s["begin"]], f"[{s['kind']}]"]
+                        end = max(end, s["end"])
+                    texts[k] = "".join([*out, texts[k][end:]])
+                    if sizes:
+                        sizes[k] = len(texts[k])
+            new = {"text": pa.array(texts, pa.string())}
+            if sizes:
+                new["n_chars"] = pa.array(sizes, batch.schema.field("n_chars").type)
+            yield pa.RecordBatch.from_arrays([new.get(n, batch.column(n)) for n in batch.schema.names], batch.schema.names)
+
+    return run
 
 
 def masked(docs: DataFrame) -> DataFrame:
     """docs with each secret in text replaced by its kind in brackets; n_chars, if there, is the length of a text that
-    changed. All rows and columns stay."""
-    return docs.mapInArrow(_masked, docs.schema)
+    changed. All rows and columns stay, null texts and ids and repeated rows too."""
+    return docs.mapInArrow(_masked(_sent(docs)), docs.schema)
