@@ -15,9 +15,8 @@ from graphlane.llm.common import held_out, id_type
 BITS = 18  # terms are hashed to so many bits
 FACTORS = 4
 SAMPLE_DOCS = 12_000  # labelled documents that are learned from, at most
-LEAST_DOCS = 4  # of which a term must occur in so many
-LEAST_Z = 3.5  # standard errors by which a term's shares of toxic and other documents must differ
-EPOCHS, BATCH, RATE, DECAY = 12, 256, 0.02, 2e-4
+LEAST_DOCS, LEAST_SHARE = 2, 1 / 400  # a term must occur in so many of them, and in such a share
+EPOCHS, STEPS, BATCH, RATE, DECAY = 12, 600, 256, 0.02, 2e-3  # so many passes and steps at least
 THRESHOLD = 0.3
 
 SPLIT = bytes(32 if (b < 128 and not chr(b).isalnum()) else b for b in range(256))  # ASCII that is no letter or digit ends a term
@@ -47,16 +46,14 @@ def features(text: str | None) -> np.ndarray:
 class FactorizationMachine:
     """bias + sum of w + sum over pairs of v·v, over the terms of a document; a logistic link.
 
-    Terms that were seldom learned or occur about as often in either class have no weights. Learned with Adam on the logistic loss, in a fixed order.
+    Terms of few learned documents have no weights. What a term says of the class by itself doesn't matter for that, so
+    pairs are learned whose terms say nothing alone. Learned with Adam on the logistic loss, with a quadratic penalty on
+    all weights, in a fixed order.
     """
 
     def __init__(self, rows: list[np.ndarray], labels: np.ndarray) -> None:
-        n1 = max(1.0, labels.sum())
-        n0 = max(1.0, len(labels) - labels.sum())
-        ones, zeros = (np.bincount(np.concatenate([np.zeros(0, np.int32), *(r for r, y in zip(rows, labels, strict=True) if y == own)]), minlength=1 << BITS) for own in (1, 0))
-        share = (ones + zeros) / (n1 + n0)
-        z = np.abs(ones / n1 - zeros / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-        kept = np.flatnonzero((ones + zeros >= LEAST_DOCS) & (z >= LEAST_Z))
+        seen = np.bincount(np.concatenate([np.zeros(0, np.int32), *rows]), minlength=1 << BITS)
+        kept = np.flatnonzero(seen >= max(LEAST_DOCS, LEAST_SHARE * len(rows)))
         self.place = np.full(1 << BITS, -1, np.int32)
         self.place[kept] = np.arange(len(kept))
         n = len(kept)
@@ -68,8 +65,9 @@ class FactorizationMachine:
         if not n or not 0 < rate < 1:
             return
         own = [self.place[r][self.place[r] >= 0] for r in rows]
+        epochs = max(EPOCHS, -(-STEPS * BATCH // len(own))) if len(own) > BATCH else EPOCHS
         m, v, step = np.zeros_like(self.table), np.zeros_like(self.table), 0
-        for epoch in range(EPOCHS):
+        for epoch in range(epochs):
             order = rng.permutation(len(own))
             for at in range(0, len(order), BATCH):
                 ids = order[at : at + BATCH]
@@ -92,7 +90,7 @@ class FactorizationMachine:
                 step += 1
                 m[used] = 0.9 * m[used] + 0.1 * grad
                 v[used] = 0.999 * v[used] + 0.001 * grad**2
-                self.table[used] -= RATE * (1 - epoch / EPOCHS) * (m[used] / (1 - 0.9**step)) / (np.sqrt(v[used] / (1 - 0.999**step)) + 1e-8)
+                self.table[used] -= RATE * (1 - epoch / epochs) * (m[used] / (1 - 0.9**step)) / (np.sqrt(v[used] / (1 - 0.999**step)) + 1e-8)
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
         own = [self.place[r][self.place[r] >= 0] for r in rows]
@@ -111,23 +109,24 @@ def learn(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS) ->
     """From at most sample_docs labelled rows, chosen by the hash of their ids; labels that are null or not 0 or 1 are left out.
 
     The chosen ids are the side that is broadcast: at most 1.5 * sample_docs. Terms of their texts are hashed by the
-    executors.
+    executors. Of several rows of one doc_id the one with the least hash is learned; if one of its labels is 1, that.
     """
     marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("y"))
     n = marked.count()
     h = F.xxhash64("doc_id")
     drawn = marked if n <= sample_docs else marked.where(F.pmod(h, F.lit(1 << 20)) < int((1 << 20) * 1.2 * sample_docs / n))
     drawn = drawn.orderBy(h, "y").limit(sample_docs).groupBy("doc_id").agg(F.max("y").alias("y"))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select(F.xxhash64("doc_id", "text").alias("h"), "y", "text")
-    rows = chosen.mapInArrow(_hashed, "h long, y int, terms binary").collect()
-    rows.sort(key=lambda r: (r.h, r.y))
+    chosen = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("doc_id", F.xxhash64("doc_id", "text").alias("h"), "y", "text")
+    hashed = chosen.mapInArrow(_hashed, f"doc_id {id_type(docs)}, h long, y int, terms binary")
+    rows = [r.x for r in hashed.groupBy("doc_id").agg(F.min(F.struct("h", "y", "terms")).alias("x")).collect()]
+    rows.sort(key=lambda r: (r.h, r.y, bytes(r.terms)))
     return FactorizationMachine([np.frombuffer(r.terms, np.int32) for r in rows], np.array([r.y for r in rows], np.float64))
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [features(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("y"), pa.array(rows, pa.binary())], ["h", "y", "terms"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), batch.column("y"), pa.array(rows, pa.binary())], ["doc_id", "h", "y", "terms"])
 
 
 def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,7 +150,12 @@ def scored(docs: DataFrame, machine: FactorizationMachine, threshold: float = TH
 
 
 def rated(docs: DataFrame, labels: DataFrame, modulus: int = 4, remainder: int = 2) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted; learns from labels that aren't held out."""
+    """One row per row of docs: doc_id, held_out, score, predicted; learns from labels that aren't held out.
+
+    docs needs doc_id and text, labels doc_id and toxic; other columns are left out. Rows with a null or repeated doc_id
+    stay, each scored for itself; a null id is not held out and teaches nothing. Without any labels of both classes all
+    scores are the share of toxic ones, smoothed.
+    """
     machine = learn(docs, labels.where(~held_out("doc_id", modulus, remainder)))
     rows = docs.select("doc_id", held_out("doc_id", modulus, remainder).alias("held_out"), "text")
     return scored(rows, machine).select(F.col("doc_id").cast(id_type(docs)), "held_out", "score", "predicted")
