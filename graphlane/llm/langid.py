@@ -16,8 +16,9 @@ from graphlane.llm.common import held_out, id_type, tidy
 
 SAMPLE_BYTES = 32 << 10  # learned text of a language
 SAMPLE_DOCS = 64  # documents that it comes from
-MOST_LANGUAGES = 256
-TABLE_BYTES = 8 << 20  # learned text of all languages together
+TABLE_ENTRIES = 1 << 25  # of all languages' automata together, about; with many languages each one's sample is smaller
+LEAST_BYTES = 256  # learned text of a language, however many there are
+DRAWN = 4096  # characters that are taken of a document
 SEGMENT = 512  # symbols that are parsed at a stretch; a phrase never crosses the end
 LANES = 1 << 13
 UNKNOWN = "und"
@@ -42,10 +43,15 @@ class SuffixAutomaton:
     """The least automaton of all substrings of a text, as a table for greedy parsing.
 
     step[state * width + symbol]: twice the next state times the width, plus 1 if a new phrase begins. Symbol 0 pads
-    and changes nothing, symbol 1 stands for bytes that no sample has.
+    and changes nothing, symbol 1 stands for bytes that the text doesn't have; own: the text's symbol of each byte.
     """
 
-    def __init__(self, text: bytes, code: np.ndarray, width: int) -> None:
+    def __init__(self, text: bytes) -> None:
+        known = sorted({*text})
+        width = len(known) + 2
+        code = np.ones(256, np.int64)
+        code[known] = np.arange(2, width)
+        self.own = np.r_[np.int32(0), code.astype(np.int32)]  # by the byte plus 1; 0 pads
         to: list[dict[int, int]] = [{}]
         link, size, last = [-1], [0], 0
         for s in code[np.frombuffer(text, np.uint8)].tolist():
@@ -84,11 +90,11 @@ class SuffixAutomaton:
         self.step = step.astype(np.int32 if step.max() < 1 << 31 else np.int64).ravel()
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
-        """lanes: symbols x segments. The phrases of each segment."""
+        """lanes: bytes plus 1 (0 pads) x segments. The phrases of each segment."""
         state = np.zeros(lanes.shape[1], self.step.dtype)
         count = np.zeros(lanes.shape[1], np.int32)
         for row in lanes:
-            v = self.step[state + row]
+            v = self.step[state + self.own[row]]
             count += v & 1
             state = v >> 1
         return count
@@ -97,10 +103,7 @@ class SuffixAutomaton:
 class Model:
     def __init__(self, samples: tuple[tuple[str, bytes], ...]) -> None:
         self.languages = [name for name, _ in samples]
-        known = sorted({b for _, t in samples for b in t})
-        self.code = np.ones(256, np.int64)
-        self.code[known] = np.arange(2, len(known) + 2)
-        self.automata = [SuffixAutomaton(t, self.code, len(known) + 2) for _, t in samples]
+        self.automata = [SuffixAutomaton(t) for _, t in samples]
         self.bits = np.array([math.log2(max(2, len(t))) for _, t in samples])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -108,14 +111,14 @@ class Model:
         names, sure = [UNKNOWN] * len(texts), [0.0] * len(texts)
         if not self.languages or not lettered:
             return names, sure
-        coded = [self.code[symbols(texts[k])] for k in lettered]
+        coded = [symbols(texts[k]) for k in lettered]
         sizes = np.array([len(c) for c in coded])
         n_segments = -(-sizes // SEGMENT)
         owner = np.repeat(np.arange(len(coded)), n_segments)
         first = np.cumsum(n_segments) - n_segments
-        flat = np.zeros(int(n_segments.sum()) * SEGMENT, np.int32)
+        flat = np.zeros(int(n_segments.sum()) * SEGMENT, np.int16)
         for c, f in zip(coded, first.tolist(), strict=True):
-            flat[f * SEGMENT : f * SEGMENT + len(c)] = c
+            flat[f * SEGMENT : f * SEGMENT + len(c)] = c.astype(np.int16) + 1
         segments = flat.reshape(-1, SEGMENT)
         counts = np.zeros((len(self.languages), len(coded)))
         for at in range(0, len(segments), LANES):
@@ -137,27 +140,28 @@ def model(samples: tuple[tuple[str, bytes], ...]) -> Model:
 
 
 def learn(rows: DataFrame, sample_bytes: int = SAMPLE_BYTES, sample_docs: int = SAMPLE_DOCS) -> tuple[tuple[str, bytes], ...]:
-    """For each language of rows (lang, text) a sample of at most sample_bytes from at most sample_docs documents.
+    """For each language of rows (lang, text) a sample of at most sample_bytes from DRAWN characters of each of at most
+    sample_docs documents. With many languages samples are smaller, so that all automata stay within about TABLE_ENTRIES
+    entries (of 4 bytes) as long as LEAST_BYTES of each allow it.
 
     Documents are chosen by the hash of their text: all different texts of a language share one chance, about three times
     sample_docs of them are drawn, the least hashes stay. Copies of a text and repeated lines count once.
     """
     labelled = rows.where(F.col("lang").isNotNull() & (F.length(F.coalesce("text", F.lit(""))) > 0)).select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count_distinct("h").alias("n")).collect()}
     if not sizes:
         return ()
-    each = min(sample_bytes, TABLE_BYTES // len(sizes))
     chance = F.create_map(*(F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 3.0 * sample_docs / n))))
     drawn = labelled.where(F.pmod("h", F.lit(1 << 20)) < F.element_at(chance, F.col("lang")) * (1 << 20))
-    drawn = drawn.select("lang", "h", F.substring("text", F.lit(1) + F.pmod("h", F.greatest(F.length("text") - 2048, F.lit(1))).cast("int"), F.lit(4096)).alias("text"))
+    drawn = drawn.select("lang", "h", F.substring("text", F.lit(1) + F.pmod("h", F.greatest(F.length("text") - 2048, F.lit(1))).cast("int"), F.lit(DRAWN)).alias("text"))
     drawn = drawn.dropDuplicates(["lang", "h"])
     lists = drawn.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("h", "text"))), 1, sample_docs).alias("texts")).collect()
     out = []
     for r in sorted(lists, key=lambda r: r["lang"]):
         lines = dict.fromkeys(x for t in r["texts"] for x in t["text"].split("\n"))
-        out.append((r["lang"], symbols(" ".join(lines)).tobytes()[:each]))
+        text = symbols(" ".join(lines)).tobytes()[:sample_bytes]
+        most = TABLE_ENTRIES // (2 * len(sizes) * (len({*text}) + 2))  # an automaton has up to two states a byte
+        out.append((r["lang"], text[: max(LEAST_BYTES, most)]))
     return tuple(x for x in out if x[1])
 
 
@@ -185,7 +189,12 @@ def _predicted(docs: DataFrame, samples: tuple[tuple[str, bytes], ...], text_of:
 
 
 def identified(docs: DataFrame, modulus: int = 5, remainder: int = 0) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score; learns from what isn't held out."""
+    """One row per row of docs: doc_id, held_out, lang_pred, score; learns from what isn't held out.
+
+    docs needs doc_id, text and lang; other columns are left out. Rows with a null or repeated doc_id stay, each
+    predicted for itself; a null id isn't held out. Null texts, texts without a letter, and all texts if there is
+    nothing to learn from are `und` with score 0.
+    """
     rows = docs.select("doc_id", "text", "lang", held_out("doc_id", modulus, remainder).alias("held_out"))
     samples = learn(rows.where(~F.col("held_out")))
     return predicted(rows.select("doc_id", "held_out", "text"), samples).select(F.col("doc_id").cast(id_type(docs)), "held_out", "lang_pred", "score")
