@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -112,6 +113,9 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+FOUND = ["n_words", "hit_ranges", "hit_items"]
+
+
 def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
     """docs with the columns n_words, hit_ranges (array of begin and end in turn) and hit_items (item ids as text).
 
@@ -122,21 +126,30 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20)
     """
     total = benchmark.select(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    own = ["n_words", "hit_ranges", "hit_items"]
-    df = docs.drop(*own).withColumns({"n_words": F.lit(0).cast("long"), "hit_ranges": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
+    df = docs.drop(*FOUND).withColumns({"n_words": F.lit(0).cast("long"), "hit_ranges": F.array().cast("array<int>"), "hit_items": F.array().cast("array<string>")})
     items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("i"), "text")
     for k in range(blocks):
         mine = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "text"), F.lit(blocks)) == k)
-        sent = docs.sparkSession.sparkContext.broadcast([(r.i, r.text.encode()) for r in mine.collect()])
+        sent = docs.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, [(r.i, r.text.encode()) for r in mine.collect()]))
         df = df.mapInArrow(_passes(sent), df.schema)
         if k + 1 < blocks:
             df = written(df)
     return df
 
 
+INDEXES: dict[str, Index] = {}  # the index that this process uses, by its block's name
+
+
+def _index(name: str, items: list[tuple[str, bytes]]) -> Index:
+    if name not in INDEXES:
+        INDEXES.clear()
+        INDEXES[name] = Index(items)
+    return INDEXES[name]
+
+
 def _passes(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = Index(sent.value)
+        index = _index(*sent.value)
         for batch in batches:
             for at in range(0, batch.num_rows, 400):
                 part = batch.slice(at, 400)
@@ -153,9 +166,13 @@ def _passes(sent):
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    found = overlaps(docs.select("doc_id", "text"), benchmark)
+def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = 16 << 20) -> DataFrame:
+    """One row per row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words. Rows with a null or repeated doc_id stay, each for itself; other columns are left
+    out. An empty benchmark hits nothing.
+    """
+    found = overlaps(docs.select("doc_id", "text"), benchmark, block_bytes)
     ranges = F.col("hit_ranges")
     n_hit = F.aggregate(F.transform(ranges, lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("long"), lambda a, x: a + x)
     return found.select(
@@ -169,5 +186,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without any benchmark window, with the columns of docs."""
-    return overlaps(docs, benchmark).where(F.size("hit_items") == 0).select(*docs.columns)
+    """The rows of docs without any benchmark window, with all columns of docs as they are, whatever their names. Null
+    texts and ids and repeated rows stay."""
+    aside = {c: f"own_{c}" for c in docs.columns if c in FOUND}
+    left = overlaps(docs.withColumnsRenamed(aside), benchmark).where(F.size("hit_items") == 0)
+    return left.select(*(F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns))
