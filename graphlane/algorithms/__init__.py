@@ -1,4 +1,4 @@
-"""Iterative graph analytics: supersteps of joins and aggregations, each cut off by a reliable checkpoint."""
+"""Iterative graph analytics: supersteps of joins and aggregations, each written to the shared folder, which cuts its lineage."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.functions import cut
+from graphlane.functions import stored
 from graphlane.graph import Graph
 
 
@@ -42,9 +42,9 @@ def _pagerank_step(graph: Graph, ranks: DataFrame, damping: float) -> DataFrame:
 
 def pagerank(graph: Graph, options: PageRankOptions = PageRankOptions()) -> PageRankResult:
     options.check(graph.n)
-    ranks = graph.vertices.select("v", F.lit(1.0 / graph.n).alias("rank"), "deg")
+    ranks, step = graph.vertices.select("v", F.lit(1.0 / graph.n).alias("rank"), "deg"), None
     for k in range(1, options.max_iterations + 1):
-        step = cut(_pagerank_step(graph, ranks, options.damping))
+        step = stored(_pagerank_step(graph, ranks, options.damping), step)
         residual = step.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
         ranks = step.drop("old")
         if residual <= options.tolerance:
@@ -87,6 +87,9 @@ class SSSPResult:
     converged: bool
 
 
+CANDIDATES, RUN = "array<struct<edge_id:bigint,cand:double>>", 4096  # edges of a run that are looked at together
+
+
 def _sssp_step(edges: DataFrame, state: DataFrame, tolerance: float) -> DataFrame:
     """state: v, distance, active. Relaxes the edges of active vertices against the old distances."""
     front = state.where("active").select(F.col("v").alias("src"), F.col("distance").alias("from"))
@@ -94,9 +97,16 @@ def _sssp_step(edges: DataFrame, state: DataFrame, tolerance: float) -> DataFram
     if tolerance == 0:
         best = cand.groupBy("v").agg(F.min("cand").alias("cand"))
         new = F.least("distance", F.coalesce("cand", F.lit(float("inf"))))
-    else:  # the reference order counts: a candidate must beat the best so far by more than the tolerance
-        best = cand.groupBy("v").agg(F.array_sort(F.collect_list(F.struct("edge_id", "cand"))).alias("cands"))
-        new = F.aggregate(F.coalesce("cands", F.array().cast("array<struct<edge_id:bigint,cand:double>>")), F.col("distance"), lambda b, c: F.when(c["cand"] + tolerance < b, c["cand"]).otherwise(b))
+    else:
+        # In the order of edges a candidate must beat the best so far by more than the tolerance. One that isn't below all
+        # before it never does, so runs of edges keep only their falling candidates before a vertex's all meet.
+        falling = F.aggregate("cands", F.array().cast(CANDIDATES), lambda a, c: F.when((F.size(a) == 0) | (c["cand"] < F.element_at(a, -1)["cand"]), F.concat(a, F.array(c))).otherwise(a))
+        for run in (F.expr(f"edge_id div {RUN}"), None):
+            keys = ["v"] if run is None else ["v", run.alias("run")]
+            each = cand if "cand" in cand.columns else cand.select("v", F.explode("cands").alias("c")).select("v", "c.*")
+            cand = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("edge_id", "cand"))).alias("cands")).select("v", falling.alias("cands"))
+        best = cand
+        new = F.aggregate(F.coalesce("cands", F.array().cast(CANDIDATES)), F.col("distance"), lambda b, c: F.when(c["cand"] + tolerance < b, c["cand"]).otherwise(b))
     return state.join(best, "v", "left").select("v", new.alias("new"), "distance").select("v", F.col("new").alias("distance"), (F.col("new") + tolerance < F.col("distance")).alias("active"))
 
 
@@ -116,7 +126,7 @@ def sssp(graph: Graph, options: SSSPOptions = SSSPOptions()) -> SSSPResult:
         raise ValueError("weights must be finite and not negative")
     edges, state, most = _weighted(graph), _begin(graph, options.source), options.max_iterations or graph.n
     for k in range(1, most + 1):
-        state = cut(_sssp_step(edges, state, options.tolerance))
+        state = stored(_sssp_step(edges, state, options.tolerance), state)
         if not state.where("active").limit(1).count():
             return SSSPResult(state.select("v", "distance"), k, True)
     return SSSPResult(state.select("v", "distance"), most, False)
@@ -152,12 +162,12 @@ def bfs(graph: Graph, source: int = 0) -> SSSPResult:
 
 def connected_components(graph: Graph) -> DataFrame:
     """v, component (least vertex): both directions count. Labels of neighbours, then of the label itself, until nothing moves."""
-    both = cut(graph.edges.select("src", "dst").union(graph.edges.select("dst", "src")).distinct())
-    state = cut(graph.vertices.select("v", F.col("v").alias("component")))
+    both = stored(graph.edges.select("src", "dst").union(graph.edges.select("dst", "src")).distinct())
+    state = stored(graph.vertices.select("v", F.col("v").alias("component")))
     while True:
         near = both.join(state, both.src == state.v).groupBy("dst").agg(F.min("component").alias("near"))
         step = state.join(near, state.v == near.dst, "left").select("v", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = state.select(F.col("v").alias("component"), F.col("component").alias("up"))
-        state = cut(step.join(up, "component").select("v", F.least("component", "up").alias("component"), (F.least("component", "up") < F.col("old")).alias("moved")))
+        state = stored(step.join(up, "component").select("v", F.least("component", "up").alias("component"), (F.least("component", "up") < F.col("old")).alias("moved")), state)
         if not state.where("moved").limit(1).count():
             return state.select("v", "component")

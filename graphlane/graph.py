@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphlane.functions import running_sum
+from graphlane.functions import ranked, running_sum, stored
 
 MAX_VERTICES = 1 << 32
 VERTEX_BYTES, OFFSET_BYTES = 4, 8  # fixed values of the storage model: a neighbour id and an offset
@@ -33,20 +33,20 @@ class Graph:
     def from_edges(cls, edges: DataFrame, n: int, weighted: bool, order: Sequence[str] = ("dst", "weight"), check: bool = True) -> Graph:
         """edges: src, dst and, if weighted, weight, with the columns of order to place the edges of a source.
 
-        Edge positions come from a row number within each source and the source's offset, so no task sorts all edges.
+        Edges are sorted in ranges of (source, order), so a hub's edges are dealt to several tasks too, and written once:
+        what is done with the graph later reads them there.
         """
         spark = edges.sparkSession
         if not 0 <= n <= MAX_VERTICES:
             raise ValueError("the number of vertices must be from 0 to 2**32")
         if not weighted:
             edges = edges.withColumn("weight", F.lit(None).cast("float"))
-        graph = cls(n, edges.select("src", "dst", "weight"), weighted)
+        placed = ranked(edges, ["src", *order], "_place").select(F.col("_place").alias("edge_id"), "src", "dst", F.col("weight").cast("float").alias("weight"))
+        graph = cls(n, placed, weighted)
         if check:
             graph._check_edges()
-        vertices = offsets(spark, n, edges.groupBy("src").agg(F.count("*").alias("deg")))
-        place = F.row_number().over(Window.partitionBy("src").orderBy(*order)) - 1
-        numbered = edges.withColumn("_p", place).join(vertices.select(F.col("v").alias("src"), "e0"), "src")
-        return cls(n, numbered.select((F.col("e0") + F.col("_p")).alias("edge_id"), "src", "dst", F.col("weight").cast("float").alias("weight")), weighted, vertices)
+        graph._vertices = stored(offsets(spark, n, placed.groupBy("src").agg(F.count("*").alias("deg"))))
+        return graph
 
     @classmethod
     def from_csr(cls, spark: SparkSession, n: int, row_offsets: Sequence[int], dst: Sequence[int], weights: Sequence[float] = ()) -> Graph:
@@ -165,8 +165,9 @@ class Graph:
 
     def transpose(self) -> DataFrame:
         """Incoming edges: dst, src, weight (1 where there is none), in_pos by destination, then edge position."""
-        pos = F.row_number().over(Window.partitionBy("dst").orderBy("edge_id")) - 1
-        return self.edges.select("dst", "src", F.coalesce("weight", F.lit(1.0).cast("float")).alias("weight"), "edge_id", pos.alias("in_pos"))
+        placed = ranked(self.edges, ["dst", "edge_id"], "_place")
+        first = placed.groupBy("dst").agg(F.min("_place").alias("_first"))
+        return placed.join(first, "dst").select("dst", "src", F.coalesce("weight", F.lit(1.0).cast("float")).alias("weight"), "edge_id", (F.col("_place") - F.col("_first")).alias("in_pos"))
 
     def reorder(self, order: DataFrame) -> Graph:
         """order: new_id, old. Rows move, ends are renamed, each row's edges keep their order and weights."""

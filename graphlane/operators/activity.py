@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphlane.functions import running_sums
 from graphlane.graph import Graph
 
 
@@ -70,15 +71,17 @@ def range_statistics(graph: Graph, active: DataFrame, ranges: DataFrame, check:
     """ranges: pid, v_begin, v_end, which may overlap, be empty or leave vertices out. Adds active_vertices,
     active_edges, total_edges, has_active_vertices, has_active_edges.
 
-    A vertex meets a range by the chunks of the vertex range that both lie in, an equi-join; only ranges that a vertex
-    of the chunk may lie in are compared with it.
+    Each sum is the difference of two running sums over the vertices, looked up at the range's ends by equi-joins.
     """
     if check:
         check_ranges(ranges, graph.n)
-    step = max(1, graph.n // 4096)
-    marked = graph.vertices.join(active.select("v", F.lit(1).alias("on")), "v", "left").select("v", "deg", F.coalesce("on", F.lit(0)).alias("on"), F.expr(f"v div {step}").alias("chunk"))
-    chunks = ranges.where("v_begin < v_end").select("pid", "v_begin", "v_end", F.explode(F.sequence(F.expr(f"v_begin div {step}"), F.expr(f"(v_end - 1) div {step}"))).alias("chunk"))
-    met = marked.join(chunks, "chunk").where("v >= v_begin and v < v_end")
-    sums = met.groupBy("pid").agg(F.sum("on").alias("active_vertices"), F.sum(F.col("on") * F.col("deg")).alias("active_edges"), F.sum("deg").alias("total_edges"))
-    out = ranges.join(sums, "pid", "left").fillna(0, ["active_vertices", "active_edges", "total_edges"])
+    marked = graph.vertices.join(active.select("v", F.lit(1).cast("long").alias("on")), "v", "left").select("v", "deg", F.coalesce("on", F.lit(0)).alias("on"))
+    marked = marked.withColumn("live", F.col("on") * F.col("deg"))
+    sums = running_sums(marked, "v", {"s_on": "on", "s_live": "live", "s_deg": "deg"}).select("v", "s_on", "s_live", "s_deg")
+    zero = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    sums = sums.unionByName(marked.agg(F.lit(graph.n).cast("long").alias("v"), zero("on").alias("s_on"), zero("live").alias("s_live"), zero("deg").alias("s_deg")))
+    at = lambda end: sums.select(F.col("v").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in ("s_on", "s_live", "s_deg")))
+    out = ranges.join(at("v_begin"), "v_begin").join(at("v_end"), "v_end")
+    named = {"active_vertices": "s_on", "active_edges": "s_live", "total_edges": "s_deg"}
+    out = out.select(*ranges.columns, *((F.col(f"{c}_v_end") - F.col(f"{c}_v_begin")).alias(name) for name, c in named.items()))
     return out.withColumns({"has_active_vertices": F.col("active_vertices") > 0, "has_active_edges": F.col("active_edges") > 0})

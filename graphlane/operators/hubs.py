@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphlane.functions import running_sum
+from graphlane.functions import ranked, running_sum
 from graphlane.graph import Graph
 
 FRACTION = 0.08
@@ -32,14 +32,9 @@ def scores(graph: Graph) -> DataFrame:
 def order(graph: Graph, fraction: float = FRACTION) -> DataFrame:
     """v, score, is_hub, new_id: the hubs by score (larger first), then id; the others after them by id.
 
-    The hubs are taken by a distributed top-k; the others are numbered by a two-level running sum, so no task sees all.
+    Scores are ranked in ranges, the other vertices numbered by a two-level running sum, so no task sees all hubs.
     """
     k = hub_count(graph.n, fraction)
-    s = scores(graph)
-    ranked = s.orderBy(F.desc("score"), "v").limit(k)
-    from pyspark.sql import Window
-
-    hubs = ranked.select("v", (F.row_number().over(Window.orderBy(F.desc("score"), "v")) - 1).cast("long").alias("rank"))
-    marked = s.join(hubs, "v", "left").withColumn("rest", F.col("rank").isNull().cast("long"))
+    marked = ranked(scores(graph), [F.desc("score"), "v"], "rank").withColumn("rest", (F.col("rank") >= k).cast("long"))
     placed = running_sum(marked, "v", "rest", "before")
-    return placed.select("v", "score", F.col("rank").isNotNull().alias("is_hub"), F.coalesce("rank", F.col("before") + k).alias("new_id"))
+    return placed.select("v", "score", (F.col("rank") < k).alias("is_hub"), F.when(F.col("rank") < k, F.col("rank")).otherwise(F.col("before") + k).alias("new_id"))

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from graphlane.functions import ceil_div
+from graphlane.functions import ceil_div, ranked, running_sum
 from graphlane.graph import OFFSET_BYTES, VERTEX_BYTES, Graph
 from graphlane.operators.activity import range_statistics
 from graphlane.operators.partitioning import check_cover, check_rows
@@ -28,11 +28,16 @@ def filter_totals(plan: DataFrame) -> DataFrame:
 
 
 def _placed(graph: Graph, parts: DataFrame, active: DataFrame) -> DataFrame:
-    """Active vertices with their partition: pid, v, deg, e0."""
-    step = max(1, graph.n // 4096)
-    chunks = parts.where("v_begin < v_end").select("pid", "v_begin", "v_end", F.explode(F.sequence(F.expr(f"v_begin div {step}"), F.expr(f"(v_end - 1) div {step}"))).alias("chunk"))
-    own = graph.vertices.join(active, "v", "left_semi").withColumn("chunk", F.expr(f"v div {step}"))
-    return own.join(chunks, "chunk").where("v >= v_begin and v < v_end").select("pid", "v", "deg", "e0")
+    """Active vertices with their partition: pid, v, deg, e0.
+
+    Partitions don't overlap, so a vertex lies in the last one that begins up to it: the running count of begins is that
+    one's number in order, by which both sides meet.
+    """
+    full = ranked(parts.where("v_begin < v_end").select("pid", "v_begin", "v_end"), ["v_begin"], "number")
+    begins = full.select(F.col("v_begin").alias("v"), F.lit(1).cast("long").alias("begins"))
+    every = graph.vertices.select("v", "deg", "e0").join(begins, "v", "left").withColumn("begins", F.coalesce("begins", F.lit(0)))
+    numbered = running_sum(every, "v", "begins", "before").select("v", "deg", "e0", (F.col("before") + F.col("begins") - 1).alias("number"))
+    return numbered.join(active, "v", "left_semi").join(full, "number").where("v < v_end").select("pid", "v", "deg", "e0")
 
 
 def compaction_index(graph: Graph, parts: DataFrame, active: DataFrame) -> DataFrame:
@@ -69,7 +74,13 @@ def compaction_sizes(compacted: DataFrame) -> DataFrame:
 
 def compaction_totals(sizes: DataFrame) -> DataFrame:
     names = ["active_edge_count", "active_vertex_count", "neighbor_bytes", "index_bytes", "total_bytes"]
-    return sizes.agg(F.count("*").alias("partitions"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names))
+    return sizes.agg(F.count("*").alias("partitions"), *(saturating_sum(c).alias(c) for c in names))
+
+
+def saturating_sum(column: str) -> Column:
+    """The sum, or the largest long if it is larger."""
+    total = F.coalesce(F.sum(F.col(column).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    return F.least(total, F.lit((1 << 63) - 1).cast("decimal(38,0)")).cast("long")
 
 
 def expanded_neighbors(compacted: DataFrame) -> DataFrame:

@@ -6,10 +6,10 @@ import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlane.functions import is_finite
+from graphlane.functions import is_finite, ranked
 
 
 @dataclass(frozen=True)
@@ -33,7 +33,23 @@ def schedule(prios: DataFrame, options: ScheduleOptions = ScheduleOptions(), che
     if check and prios.where(F.col("contribution").isNull() | ~is_finite(F.col("contribution"))).limit(1).count():
         raise ValueError("contributions must be finite")
     ties = ["item_index", "input_pos"] if options.deterministic_ties else ["input_pos"]
-    return prios.withColumn("position", (F.row_number().over(Window.orderBy(F.desc("contribution"), *ties)) - 1).cast("long"))
+    return ranked(prios, [F.desc("contribution"), *ties], "position")
+
+
+@dataclass(frozen=True)
+class Plan:
+    """A schedule with its accessors."""
+
+    rows: DataFrame
+
+    def size(self) -> int:
+        return self.rows.count()
+
+    def empty(self) -> bool:
+        return not self.rows.limit(1).count()
+
+    def reordered(self) -> bool:
+        return self.rows.where("position <> input_pos").limit(1).count() > 0
 
 
 def synchronous_reference(prios: DataFrame) -> DataFrame:

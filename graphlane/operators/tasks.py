@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphlane.functions import ranked, running_sum
 from graphlane.operators.costing import COMPACTION, FILTER, ZERO_COPY
 
 
@@ -12,21 +13,20 @@ def combine(engines: DataFrame, k: int = 4, check: bool = True) -> DataFrame:
     """engines: pid, engine. task_id, engine, first, end, partition_count, partition_indices.
 
     Runs of consecutive FILTER partitions go in groups of at most k; all COMPACTION partitions are one task, and so
-    are all ZERO_COPY ones; tasks are numbered by their first partition. There is a row per partition of a graph, so
-    the windows over all rows are small.
+    are all ZERO_COPY ones; tasks are numbered by their first partition. Partitions and tasks are numbered in ranges, by two
+    levels of counts; only the rows of one task meet.
     """
     if k <= 0:
         raise ValueError("k must be positive")
     if check and engines.where(~F.col("engine").isin(FILTER, COMPACTION, ZERO_COPY) | F.col("engine").isNull()).limit(1).count():
         raise ValueError("unknown engine")
-    w = Window.orderBy("pid")
-    own = engines.withColumn("run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("engine").orderBy("pid")))
-    within = F.row_number().over(Window.partitionBy("engine", "run").orderBy("pid")) - 1
-    own = own.withColumn("chunk", F.floor(within / k))
-    key = F.when(F.col("engine") == FILTER, F.struct("run", "chunk"))
-    tasks = own.withColumn("key", key).groupBy("engine", "key").agg(F.array_sort(F.collect_list("pid")).alias("partition_indices"))
-    tasks = tasks.withColumns({"first": F.element_at("partition_indices", 1), "end": F.element_at("partition_indices", -1) + 1, "partition_count": F.size("partition_indices").cast("long")})
-    return tasks.select((F.row_number().over(Window.orderBy("first")) - 1).cast("long").alias("task_id"), "engine", "first", "end", "partition_count", "partition_indices")
+    own = ranked(engines.select("pid", "engine"), ["pid"], "number").withColumn("filters", (F.col("engine") == FILTER).cast("long"))
+    own = running_sum(own, "number", "filters", "before").withColumn("run", F.when(F.col("engine") == FILTER, F.col("number") - F.col("before")).otherwise(-1))
+    first = own.groupBy("engine", "run").agg(F.min("before").alias("first"))
+    own = own.join(first, ["engine", "run"]).withColumn("chunk", F.when(F.col("engine") == FILTER, F.expr(f"(before - first) div {k}")).otherwise(-1))
+    tasks = own.groupBy("engine", "run", "chunk").agg(F.array_sort(F.collect_list("pid")).alias("partition_indices"))
+    tasks = tasks.select("engine", F.element_at("partition_indices", 1).alias("first"), (F.element_at("partition_indices", -1) + 1).alias("end"), F.size("partition_indices").cast("long").alias("partition_count"), "partition_indices")
+    return ranked(tasks, ["first"], "task_id").select("task_id", "engine", "first", "end", "partition_count", "partition_indices")
 
 
 def metrics(tasks: DataFrame) -> DataFrame:

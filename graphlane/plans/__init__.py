@@ -10,7 +10,7 @@ from typing import Any, Protocol, runtime_checkable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlane.functions import cut
+from graphlane.functions import stored
 from graphlane.graph import Graph
 
 
@@ -281,6 +281,7 @@ class Program:
     """Defaults of a vertex program."""
 
     needs_weights = False
+    keeps_work = False  # a vertex that gets nothing new may still have work of its own
     supports_activity = True
     variant: Variant | None = None
 
@@ -330,6 +331,8 @@ class ShortestPaths(Program):
 class DeltaPageRank(Program):
     """Value: rank so far; buffer: what arrived and isn't passed on yet. Dangling vertices keep what they get."""
 
+    keeps_work = True
+
     def __init__(self, n: int, damping: float = 0.85, tolerance: float = 1e-9) -> None:
         self.n, self.damping, self.tolerance = n, damping, tolerance
 
@@ -369,11 +372,48 @@ class ProgramAdapter:
 
 
 def is_program(x: Any) -> bool:
-    return isinstance(x, VertexProgram)
+    """Whether x, or the class x, has all hooks of a vertex program."""
+    hooks = ("init_value", "init_buffer", "identity", "message", "reduce", "combine")
+    return hasattr(x, "needs_weights") and all(callable(getattr(x, h, None)) for h in hooks)
+
+
+@dataclass(frozen=True)
+class Traits:
+    """What a program or its class is known for."""
+
+    requires_edge_weights: bool
+    supports_activity: bool
+
+    @staticmethod
+    def of(program: Any) -> Traits:
+        if not is_program(program):
+            raise TypeError("not a vertex program")
+        return Traits(bool(program.needs_weights), bool(getattr(program, "supports_activity", False)))
+
+
+class DeferredDriver:
+    """Stands for a driver that is chosen later: it takes a program of its variant, but never runs a step."""
+
+    def __init__(self, plan: ExecutionPlan) -> None:
+        self.plan, self.initialized, self.context = plan, False, None
+
+    @property
+    def variant(self) -> Variant:
+        return self.plan.variant
+
+    def initialize(self, program: Any, config: ExecutionConfig | None = None) -> bool:
+        self.initialized = (config or self.plan.config).variant == self.plan.variant
+        return self.initialized
+
+    def set_context(self, context: Context) -> None:
+        self.context = context
+
+    def execute_step(self) -> StepResult:
+        return StepResult(Status.INVALID_CONFIGURATION if self.initialized else Status.NOT_INITIALIZED)
 
 
 class SuperstepDriver:
-    """Runs a program on a graph, superstep by superstep, each ended by a checkpoint.
+    """Runs a program on a graph, superstep by superstep, each written to the shared folder.
 
     PUSH starts from the active vertices and joins their edges; PULL starts from the edges by destination and looks up
     the states of sources. DD takes the frontier of the step before, TD asks the program over all vertices. ASYNC lets
@@ -441,12 +481,9 @@ class SuperstepDriver:
         out = s.select("v", "deg", value.alias("value"), buffer.alias("buffer"), on.alias("on"))
         # all vertices were asked for: what combine leaves untouched may still be active by its own buffer
         if self.variant.is_topology_driven:
-            return out.withColumn("active", F.col("on") | (p.is_active(F.col("value"), F.col("buffer")) & F.lit(self._keeps()))).drop("on")
+            return out.withColumn("active", F.col("on") | (p.is_active(F.col("value"), F.col("buffer")) & F.lit(bool(getattr(self.program, "keeps_work", False))))).drop("on")
         return out.withColumnRenamed("on", "active")
 
-    def _keeps(self) -> bool:
-        return isinstance(getattr(self.program, "underlying", self.program), DeltaPageRank)
-
     def execute_step(self) -> StepResult:
         if not self.initialized:
             return StepResult(Status.NOT_INITIALIZED)
@@ -457,11 +494,12 @@ class SuperstepDriver:
         state = self.state if self.state is not None else self._begin()
         front = state.where("active").count()
         if not front:
+            begun = self.state is not None
             self.state, self.converged = state, True
-            return StepResult(Status.NO_WORK if self.state is None else Status.CONVERGED)
+            return StepResult(Status.CONVERGED if begun else Status.NO_WORK)
         for _ in range(1 if self.variant.is_synchronous else self.hops):
             state = self._hop(state)
-        self.state = cut(state)
+        self.state = stored(state, self.state)
         left = self.state.where("active").count()
         self.converged = not left
         return StepResult(Status.CONVERGED if not left else Status.SUCCESS, front, left)

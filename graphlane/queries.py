@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphlane import algorithms, sources
+from graphlane import algorithms, plans, sources
+from graphlane.functions import shared_folder
 from graphlane.graph import Graph
-from graphlane.operators import activity, costing, hubs, movement, partitioning, scheduling, tasks
+from graphlane.operators import ablation, activity, cache, costing, hubs, movement, partitioning, scheduling, tasks
 from graphlane.plans import Variant, requires_frontier
-from graphlane.runtime import FALSE, TRUE
+from graphlane.runtime import Config
 
 TARGET, COSTS = 4096, costing.CostOptions(max_requests=16, throughput=1e9)
 DIRECT = movement.DirectOptions(128, 16, 128)
@@ -123,7 +126,34 @@ def _(spark, d):
 @query("activity_counts", EDGES + "SELECT count(*) AS active_vertices, CAST(sum(deg) AS BIGINT) AS active_edges FROM vertices WHERE v % 3 = 0")
 def _(spark, d):
     g = sources.trade(spark, d)
-    return g.vertices.join(_front(g), "v", "left_semi").agg(F.count("*").alias("active_vertices"), F.sum("deg").alias("active_edges"))
+    own = activity.Activity(spark, g.n, _front(g))
+    return spark.createDataFrame([(own.active_vertex_count(), own.active_edge_count(g))], "active_vertices long, active_edges long")
+
+
+@query("activity_sets", """SELECT 'set' AS state, 7 AS v, true AS active, CAST(4 AS BIGINT) AS n UNION ALL SELECT 'on', 9, true, 5 UNION ALL SELECT 'off', 7, false, 4 UNION ALL SELECT 'left', 3, true, 4 UNION ALL SELECT 'clear', 3, false, 0""")
+def _(spark, d):
+    own, rows = activity.Activity(spark, sources.trade(spark, d).n), []
+    own.set_active_vertices([3, 7, 7, 0, 5])
+    rows.append(("set", 7, own.is_active(7), own.active_vertex_count()))
+    own.set_active(9)
+    rows.append(("on", 9, own.is_active(9), own.active_vertex_count()))
+    own.set_active(7, False)
+    own.set_active(7, False)
+    rows.append(("off", 7, own.is_active(7), own.active_vertex_count()))
+    rows.append(("left", 3, own.is_active(3), own.active_vertices().count()))
+    own.clear()
+    rows.append(("clear", 3, own.is_active(3), own.active_vertex_count()))
+    return spark.createDataFrame(rows, "state string, v long, active boolean, n long")
+
+
+@query("activity_ranges", EDGES + """, r AS (SELECT CAST(range AS BIGINT) AS pid, CAST(range * 37 AS BIGINT) AS v_begin, CAST(range * 37 + range % 9 * 20 AS BIGINT) AS v_end FROM range(50))
+SELECT pid, v_begin, v_end, CAST(count(v) FILTER (WHERE v % 5 = 1) AS BIGINT) AS active_vertices, CAST(coalesce(sum(deg) FILTER (WHERE v % 5 = 1), 0) AS BIGINT) AS active_edges, CAST(coalesce(sum(deg), 0) AS BIGINT) AS total_edges,
+       count(v) FILTER (WHERE v % 5 = 1) > 0 AS has_active_vertices, coalesce(sum(deg) FILTER (WHERE v % 5 = 1), 0) > 0 AS has_active_edges
+FROM (SELECT pid, least(v_begin, n) AS v_begin, least(v_end, n) AS v_end FROM r, k) LEFT JOIN vertices ON v >= v_begin AND v < v_end GROUP BY pid, v_begin, v_end""")
+def _(spark, d):
+    g = sources.trade(spark, d)
+    ranges = spark.range(50).select(F.col("id").alias("pid"), F.least(F.col("id") * 37, F.lit(g.n)).alias("v_begin"), F.least(F.col("id") * 37 + F.col("id") % 9 * 20, F.lit(g.n)).alias("v_end"))
+    return activity.Activity(spark, g.n, g.vertices.where("v % 5 = 1").select("v")).partition_statistics(g, ranges)
 
 
 @query("activity_partition_stats", PARTS + "SELECT pid, active_vertices, active_edges, total_edges, active_vertices > 0 AS has_active_vertices, active_edges > 0 AS has_active_edges FROM inp")
@@ -242,8 +272,17 @@ def _(spark, d):
     return algorithms.pagerank_sweeps(sources.trade(spark, d), 3)
 
 
-# Runs until the residual is 1e-6; how many sweeps that takes depends on the data, so there is no SQL, and ranks aren't rounded.
-Q["pagerank_converged"] = (lambda spark, d: algorithms.pagerank(sources.trade(spark, d)).ranks, None)
+def _converged_sql(most: int = 90) -> str:
+    """So many sweeps, of which the first with a residual of 1e-6 at most counts; no rows if there is none."""
+    out = _rank_sql(most).replace(" AS (SELECT", " AS MATERIALIZED (SELECT")
+    picks = " UNION ALL ".join(f"SELECT {i + 1} AS i, (SELECT sum(abs(y.rank - x.rank)) FROM r{i} x JOIN r{i + 1} y USING (v)) AS residual" for i in range(most))
+    every = " UNION ALL ".join(f"SELECT {i + 1} AS i, v, rank FROM r{i + 1}" for i in range(most))
+    return out + f", picks AS ({picks}) SELECT v, round(rank, 6) AS rank FROM ({every}) WHERE i = (SELECT min(i) FROM picks WHERE residual <= 1e-6)"
+
+
+@query("pagerank_converged", _converged_sql())
+def _(spark, d):
+    return algorithms.pagerank(sources.trade(spark, d)).ranks
 
 
 @query("pagerank_dangling_k3", _rank_sql(3).replace("WHERE l_returnflag = 'R'", "WHERE false") + " SELECT v, round(rank, 6) AS rank FROM r3")
@@ -305,29 +344,289 @@ def _(spark, d):
     return scheduling.work_metrics(_prios(spark, d))
 
 
-VARIANTS = ", ".join(f"({i}, '{v}')" for i, v in enumerate(Variant.all()))
+@query("schedule_stale", PRIOS + "SELECT (SELECT count(*) - count(DISTINCT item_index) FROM p) AS redundant, (SELECT count(*) FROM p WHERE abs(contribution) <= 5) AS zero, count(*) FILTER (WHERE c_custkey % 7 = 0) AS stale FROM customer")
+def _(spark, d):
+    seen = spark.read.parquet(f"{d}/customer.parquet").select((F.col("c_custkey") % 100).alias("item_index"), (F.col("c_custkey") % 7 == 0).alias("stale"))
+    return scheduling.work_metrics(_prios(spark, d), seen, 5.0)
 
 
-@query("variant_registry", f"SELECT CAST(i AS BIGINT) AS position, name FROM (VALUES {VARIANTS}) AS t(i, name)")
+@query("schedule_ties", "WITH p AS (SELECT c_custkey AS input_pos, c_custkey % 100 AS item_index, floor(abs(c_acctbal) / 100) AS contribution FROM customer) SELECT *, row_number() OVER (ORDER BY contribution DESC, input_pos) - 1 AS position FROM p")
 def _(spark, d):
-    return spark.createDataFrame([(i, str(v)) for i, v in enumerate(Variant.all())], "position long, name string")
+    return scheduling.schedule(_prios(spark, d), scheduling.ScheduleOptions(deterministic_ties=False))
 
 
-@query("variant_requirements", f"SELECT name, name LIKE '%_DD' AS requires_frontier, name LIKE 'SYNC%' AS synchronous, name LIKE '%PUSH%' AS push FROM (VALUES {VARIANTS}) AS t(i, name)")
+MODES = "(VALUES ('SYNC', 0), ('ASYNC', 4)) AS a(m, i), (VALUES ('PUSH', 0), ('PULL', 2)) AS b(p, j), (VALUES ('DD', 0), ('TD', 1)) AS c(s, k)"
+
+
+@query("variant_registry", f"SELECT CAST(i + j + k AS BIGINT) AS position, m || '_' || p || '_' || s AS name FROM {MODES}")
 def _(spark, d):
-    return spark.createDataFrame([(str(v), requires_frontier(v), v.is_synchronous, v.is_push) for v in Variant.all()], "name string, requires_frontier boolean, synchronous boolean, push boolean")
+    return spark.createDataFrame([(i, str(plans.Registry.at(i))) for i in range(plans.Registry.size())], "position long, name string")
 
 
-@query("config_flags", "SELECT * FROM (VALUES ('0', false), ('1', true), ('false', false), ('no', false), ('off', false), ('on', true), ('true', true), ('yes', true)) AS t(text, flag)")
+@query("variant_requirements", f"SELECT m || '_' || p || '_' || s AS name, s = 'DD' AS requires_frontier, m = 'SYNC' AS synchronous, p = 'PUSH' AS push, true AS with_frontier, s = 'TD' AS without_frontier FROM {MODES}")
 def _(spark, d):
-    return spark.createDataFrame([(t, True) for t in TRUE] + [(t, False) for t in FALSE], "text string, flag boolean")
+    g, front = sources.trade(spark, d), plans.Frontier(spark)
+    both, alone = plans.Context(graph=g, frontier=front), plans.Context(graph=g)
+    own = [plans.select(plans.ExecutionConfig.from_string(str(v))) for v in Variant.all()]
+    return spark.createDataFrame([(str(x), x.requires_frontier, x.variant.is_synchronous, x.variant.is_push, x.is_compatible_with(both), x.is_compatible_with(alone)) for x in own], "name string, requires_frontier boolean, synchronous boolean, push boolean, with_frontier boolean, without_frontier boolean")
+
 
+TEXTS = ["true", "TRUE", "1", "Yes", "on", "oN", "false", "0", "no", "OFF", "No", "", "maybe", "2"]
 
-@query("connected_components", EDGES + ", twoway AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), reach(v, r) AS (SELECT v, v FROM vertices WHERE v = 0 UNION SELECT dst, r FROM reach JOIN twoway ON src = v) SELECT v, coalesce(r, v) AS component FROM vertices LEFT JOIN reach USING (v)")
+
+@query("config_flags", "SELECT text, CASE WHEN lower(text) IN ('true', '1', 'yes', 'on') THEN 'true' WHEN lower(text) IN ('false', '0', 'no', 'off') THEN 'false' ELSE 'rejected' END AS flag FROM (VALUES " + ", ".join(f"('{t}')" for t in TEXTS) + ") AS t(text)")
+def _(spark, d):
+    def flag(text: str) -> str:
+        try:
+            return str(Config({"key": text}).get_bool("key")).lower()
+        except ValueError:
+            return "rejected"
+
+    return spark.createDataFrame([(t, flag(t)) for t in TEXTS], "text string, flag string")
+
+
+LABELS = EDGES + """, raw_two AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges),
+twoway AS MATERIALIZED (SELECT * FROM raw_two), l0 AS MATERIALIZED (SELECT v, v AS c FROM vertices)"""
+for _i in range(12):
+    LABELS += f", l{_i + 1} AS MATERIALIZED (SELECT v, least(c, coalesce(m, c)) AS c FROM l{_i} LEFT JOIN (SELECT dst, min(c) AS m FROM twoway JOIN l{_i} ON v = src GROUP BY dst) ON dst = v)"
+
+
+@query("connected_components", LABELS + " SELECT v, c AS component FROM l12")
 def _(spark, d):
     return algorithms.connected_components(sources.trade(spark, d))
 
 
+# A graph of many components: line items of every tenth order only, by order and part.
+SPARSE = """WITH RECURSIVE o AS (SELECT count(*) AS s FROM supplier), e AS (SELECT DISTINCT l_suppkey AS src, s + l_partkey AS dst FROM lineitem, o WHERE l_orderkey % 97 = 0),
+n AS (SELECT CAST(range AS BIGINT) AS v FROM range((SELECT s FROM o) + (SELECT count(*) FROM part))), two AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
+reach(v, r) AS (SELECT v, v FROM n UNION SELECT dst, r FROM reach JOIN two ON src = v)
+SELECT v, min(r) AS component FROM reach GROUP BY v"""
+
+
+@query("connected_components_sparse", SPARSE)
+def _(spark, d):
+    s, p = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("supplier", "part"))
+    edges = spark.read.parquet(f"{d}/lineitem.parquet").where("l_orderkey % 97 = 0").select(F.col("l_suppkey").alias("src"), (F.col("l_partkey") + s).alias("dst"))
+    return algorithms.connected_components(Graph.from_edges(edges, s + p, False, order=("dst",)))
+
+
+def _unit_sql(hops: int) -> str:
+    return _dist_sql(hops).replace("min(distance + weight)", "min(distance + 1)").replace(" AS (SELECT v, least", " AS MATERIALIZED (SELECT v, least")
+
+
+@query("bfs_levels", _unit_sql(12) + " SELECT v, CASE WHEN distance < 'inf'::DOUBLE THEN distance ELSE -1.0 END AS distance FROM d12")
+def _(spark, d):
+    return _finite(algorithms.bfs(sources.trade(spark, d)).distances)
+
+
+def _tolerant_sql(sweeps: int, tolerance: float) -> str:
+    """Candidates of the vertices that moved, in order of edges: each must beat the best so far by more than the tolerance."""
+    out = EDGES + ", d0 AS MATERIALIZED (SELECT v, CASE WHEN v = 0 THEN 0.0 ELSE 'inf'::DOUBLE END AS distance, v = 0 AS active FROM vertices)"
+    for i in range(sweeps):
+        out += f""", c{i} AS MATERIALIZED (SELECT dst, list(distance + weight ORDER BY edge_id) AS l FROM edges JOIN d{i} ON v = src WHERE active GROUP BY dst),
+n{i} AS MATERIALIZED (SELECT v, distance, CASE WHEN l IS NULL THEN distance ELSE list_reduce(list_prepend(distance, l), lambda b, c: CASE WHEN c + {tolerance} < b THEN c ELSE b END) END AS new FROM d{i} LEFT JOIN c{i} ON dst = v),
+d{i + 1} AS MATERIALIZED (SELECT v, new AS distance, new + {tolerance} < distance AS active FROM n{i})"""
+    return out
+
+
+@query("sssp_tolerance", _tolerant_sql(14, 2.5) + " SELECT v, CASE WHEN distance < 'inf'::DOUBLE THEN distance ELSE -1.0 END AS distance FROM d14")
+def _(spark, d):
+    return _finite(algorithms.sssp(sources.trade(spark, d), algorithms.SSSPOptions(tolerance=2.5)).distances)
+
+
+def _rmat_sql(scale: int, edges: int, seed: int = 1) -> str:
+    bits = []
+    for bit in range(scale):
+        x = f"((e * 48271 + {seed * 69621 + bit * 16807 + 1}) % 2147483647)"
+        u = f"(((({x} * {x} + e) % 2147483647) * 16807 + {bit}) % 2147483647) / 2147483647.0::DOUBLE"
+        bits.append(f"{u} AS u{bit}")
+    src = " + ".join(f"CASE WHEN u{b} >= 0.7 THEN {1 << scale - 1 - b} ELSE 0 END" for b in range(scale))
+    dst = " + ".join(f"CASE WHEN (u{b} >= 0.5 AND u{b} < 0.7) OR u{b} >= 0.9 THEN {1 << scale - 1 - b} ELSE 0 END" for b in range(scale))
+    return f"WITH b AS (SELECT {', '.join(bits)} FROM (SELECT CAST(range AS BIGINT) AS e FROM range({edges}))), x AS (SELECT CAST({src} AS BIGINT) AS src, CAST({dst} AS BIGINT) AS dst FROM b) SELECT CAST(row_number() OVER (ORDER BY src, dst) - 1 AS BIGINT) AS edge_id, src, dst FROM x"
+
+
+@query("rmat_edges", _rmat_sql(7, 3000))
+def _(spark, d):
+    return sources.rmat(spark, 7, 3000).edges.select("edge_id", "src", "dst")
+
+
+@query("loaded_edges", """WITH k AS (SELECT count(*) AS s FROM supplier), x AS (SELECT l_suppkey AS src, s + l_partkey AS dst, CAST(l_quantity AS DOUBLE) AS weight, l_orderkey AS o, l_linenumber AS l FROM lineitem, k)
+SELECT CAST(row_number() OVER (ORDER BY src, o, l, dst, weight) - 1 AS BIGINT) AS edge_id, src, dst, weight FROM x""")
+def _(spark, d):
+    s, p = (spark.read.parquet(f"{d}/{t}.parquet").count() for t in ("supplier", "part"))
+    items = spark.read.parquet(f"{d}/lineitem.parquet").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    line = F.concat_ws(" ", "l_suppkey", F.col("l_partkey") + s, F.col("l_quantity").cast("double"))
+    noise = F.when(F.col("l_linenumber") == 1, F.concat(F.lit("# order "), F.col("l_orderkey").cast("string"), F.lit("\n\n\t"), line, F.lit(" \r"))).otherwise(line)
+    path = f"{shared_folder(spark)}/edges-{uuid.uuid4().hex}"
+    items.select(noise.alias("value")).write.text(path)
+    return sources.load_edge_list(spark, path, s + p, True).edges.withColumn("weight", F.col("weight").cast("double"))
+
+
+@query("graph_checks", EDGES + """, t AS (SELECT v, deg, e0, e1 FROM vertices), c(name, shift, drop_last) AS (VALUES ('as it is', 0, false), ('shifted', 1, false), ('short', 0, true)),
+x AS (SELECT name, v, deg, e0 + shift AS e0, e1 + shift AS e1 FROM t, c, k WHERE NOT (drop_last AND v = n - 1)),
+y AS (SELECT name, v, deg, e0, e1, lag(e1) OVER (PARTITION BY name ORDER BY v) AS p FROM x)
+SELECT name, count(*) = (SELECT n FROM k) AND min(e0) = 0 AND max(e1) = (SELECT count(*) FROM edges) AND bool_and(e1 - e0 = deg AND (p IS NULL OR p = e0)) AS valid FROM y GROUP BY name""")
+def _(spark, d):
+    g = sources.trade(spark, d)
+    shifted = g.vertices.select("v", "deg", (F.col("e0") + 1).alias("e0"), (F.col("e1") + 1).alias("e1"))
+    rows = []
+    for name, vertices in (("as it is", g.vertices), ("shifted", shifted), ("short", g.vertices.where(F.col("v") < g.n - 1))):
+        try:
+            Graph(g.n, g.edges, True, vertices).validate()
+            rows.append((name, True))
+        except ValueError:
+            rows.append((name, False))
+    return spark.createDataFrame(rows, "name string, valid boolean")
+
+
+@query("graph_accessors", EDGES + """, picked AS (SELECT * FROM vertices WHERE v IN (0, 5, 17))
+SELECT n AS vertices, (SELECT count(*) FROM edges) AS edges, true AS weighted, p.v, p.deg AS out_degree, p.e0 AS first_edge, p.e1 AS end_edge, dst AS first_neighbor, round(weight, 6) AS first_weight FROM picked p JOIN edges ON edge_id = e0, k""")
+def _(spark, d):
+    g, rows = sources.trade(spark, d), []
+    for v in (0, 5, 17):
+        a, b = g.neighbor_range(v)
+        rows.append((g.num_vertices(), g.num_edges(), g.has_weights, v, g.out_degree(v), a, b, g.neighbor_at(a), float(g.weight_at(a))))
+    return spark.createDataFrame(rows, "vertices long, edges long, weighted boolean, v long, out_degree long, first_edge long, end_edge long, first_neighbor long, first_weight double")
+
+
+@query("graph_arrays", "SELECT CAST(range AS BIGINT) AS at, CAST(least(range, 128) * 3 AS BIGINT) AS row_offset FROM range(129)")
+def _(spark, d):
+    edges = spark.range(384).select((F.col("id") % 128).alias("src"), (F.col("id") * 7 % 128).alias("dst"))
+    offsets, _, _ = Graph.from_edges(edges, 128, False).to_csr()
+    return spark.createDataFrame([*enumerate(offsets)], "at long, row_offset long")
+
+
+@query("partition_checks", "SELECT * FROM (VALUES ('as it is', true, true), ('gap', false, true), ('off row', true, false), ('first left out', false, true)) AS t(name, covers, aligned)")
+def _(spark, d):
+    g, parts, _ = _setup(spark, d)
+    bad_row = parts.select("pid", "v_begin", "v_end", *(F.when((F.col(c) > 0) & (F.col(c) < g.m), F.col(c) + 1).otherwise(F.col(c)).alias(c) for c in ("e_begin", "e_end")), "target_bytes")
+    rows = []
+    for name, own in (("as it is", parts), ("gap", parts.where("pid <> 3")), ("off row", bad_row), ("first left out", parts.where("pid > 0"))):
+        found = []
+        for check in (partitioning.check_cover, partitioning.check_rows):
+            try:
+                check(g, own)
+                found.append(True)
+            except ValueError:
+                found.append(False)
+        rows.append((name, *found))
+    return spark.createDataFrame(rows, "name string, covers boolean, aligned boolean")
+
+
+@query("compaction_sizes", PARTS + "SELECT pid, CAST(ea AS BIGINT) AS active_edge_count, va AS active_vertex_count, CAST(4 * ea AS BIGINT) AS neighbor_bytes, 8 * (va + 1) AS index_bytes, CAST(4 * ea + 8 * (va + 1) AS BIGINT) AS total_bytes FROM sums")
+def _(spark, d):
+    return movement.compaction_sizes(movement.compact(*_setup(spark, d)))
+
+
+@query("compaction_expanded", PARTS + "SELECT pid, v, CAST(row_number() OVER (PARTITION BY v ORDER BY edge_id) - 1 AS BIGINT) AS at, dst FROM act JOIN edges ON src = v")
+def _(spark, d):
+    return movement.expanded_neighbors(movement.compact(*_setup(spark, d)))
+
+
+@query("filter_disabled", PARTS + "SELECT pid, v_begin, v_end, total_edges, active_edges, active_edges > 0 AS active, true AS transferred, total_edges AS transferred_edges, filter_bytes AS transferred_bytes FROM inp JOIN parts USING (pid)")
+def _(spark, d):
+    return movement.filter_plan(*_setup(spark, d), enabled=False)
+
+
+@query("task_groups_k7", PARTS.replace("PARTITION BY engine, run ORDER BY pid) - 1) // 4", "PARTITION BY engine, run ORDER BY pid) - 1) // 7") + "SELECT * FROM task")
+def _(spark, d):
+    return tasks.combine(_engines(spark, d), 7).withColumn("partition_indices", F.concat_ws(",", F.col("partition_indices").cast("array<string>")))
+
+
+@query("hub_order_third", HUBS.replace("ceil(0.08 * n)", "ceil(n / 3.0)") + "SELECT v, round(score, 6) AS score, is_hub, CAST(row_number() OVER (ORDER BY is_hub DESC, CASE WHEN is_hub THEN r ELSE v END) - 1 AS BIGINT) AS new_id FROM rk")
+def _(spark, d):
+    return hubs.order(sources.trade(spark, d), 1 / 3)
+
+
+VARIANT_VALUES = _dist_sql(8).replace(" AS (SELECT v, least", " AS MATERIALIZED (SELECT v, least") + f" SELECT m || '_' || p || '_' || s AS name, v, CASE WHEN distance < 'inf'::DOUBLE THEN distance ELSE -1.0 END AS distance FROM d8, {MODES}"
+
+
+@query("variant_paths", VARIANT_VALUES)
+def _(spark, d):
+    g, out = sources.trade(spark, d), []
+    for v in Variant.all():
+        driver = plans.create_driver(v)
+        front = plans.Frontier(spark)
+        front.push(0)
+        driver.initialize(plans.ShortestPaths(0))
+        driver.set_context(plans.Context(graph=g, frontier=front))
+        out.append(_finite(driver.run().select(F.lit(str(v)).alias("name"), "v", F.col("value").alias("distance"))))
+    return reduce(DataFrame.unionByName, out)
+
+
+@query("driver_states", "SELECT * FROM (VALUES ('SYNC_PUSH_DD', 'NOT_INITIALIZED', 'INVALID_CONTEXT', 'NO_WORK', 'CONVERGED'), ('ASYNC_PULL_DD', 'NOT_INITIALIZED', 'INVALID_CONTEXT', 'NO_WORK', 'CONVERGED')) AS t(name, fresh, without_graph, empty_frontier, after)")
+def _(spark, d):
+    g, rows = sources.trade(spark, d), []
+    for name in ("SYNC_PUSH_DD", "ASYNC_PULL_DD"):
+        driver = plans.create_driver(name)
+        seen = [driver.execute_step().status.name]
+        driver.initialize(plans.ShortestPaths(0))
+        seen.append(driver.execute_step().status.name)
+        driver.set_context(plans.Context(graph=g, frontier=plans.Frontier(spark)))
+        seen += [driver.execute_step().status.name for _ in range(2)]
+        rows.append((name, *seen))
+    return spark.createDataFrame(rows, "name string, fresh string, without_graph string, empty_frontier string, after string")
+
+
+HOT = EDGES + """, first AS (SELECT dst AS v, count(*) AS n FROM edges WHERE edge_id % 2 = 0 GROUP BY dst), second AS (SELECT dst AS v, count(*) AS n FROM edges WHERE src % 4 = 1 GROUP BY dst),
+h1 AS (SELECT v, least(n, 255) AS hotness FROM first), h2 AS (SELECT v, least(sum(x), 255) AS hotness FROM (SELECT v, hotness AS x FROM h1 UNION ALL SELECT v, n FROM second) GROUP BY v),
+p1 AS (SELECT v, hotness, deg * 4 AS bytes, sum(deg * 4) OVER (ORDER BY hotness DESC, v) AS upto FROM h1 JOIN vertices USING (v)), c1 AS (SELECT v, hotness, bytes FROM p1 WHERE upto <= 20000),
+p2 AS (SELECT v, hotness, deg * 4 AS bytes, sum(deg * 4) OVER (ORDER BY hotness DESC, v) AS upto FROM h2 JOIN vertices USING (v)), c2 AS (SELECT v, hotness, bytes FROM p2 WHERE upto <= 20000)
+"""
+
+
+def _caches(spark, d):
+    g = sources.trade(spark, d)
+    first, second = (g.edges.where(w).select(F.col("dst").alias("v")) for w in ("edge_id % 2 = 0", "src % 4 = 1"))
+    one = cache.hotness(first)
+    two = cache.hotness(second, one)
+    return g, second, one, two, cache.choose(g, one, 20_000), cache.choose(g, two, 20_000)
+
+
+@query("cache_hotness", HOT + "SELECT v, CAST(hotness AS BIGINT) AS hotness FROM h2")
+def _(spark, d):
+    return _caches(spark, d)[3]
+
+
+@query("cache_choice", HOT + "SELECT v, CAST(hotness AS BIGINT) AS hotness, CAST(bytes AS BIGINT) AS bytes FROM c1")
+def _(spark, d):
+    return _caches(spark, d)[4]
+
+
+@query("cache_hits", HOT + ", a AS (SELECT CAST(sum(n) AS BIGINT) AS accesses, CAST(coalesce(sum(n) FILTER (WHERE v IN (SELECT v FROM c1)), 0) AS BIGINT) AS hits FROM second) SELECT 'on' AS cache, accesses, hits, accesses - hits AS misses, round(hits / accesses, 6) AS hit_rate FROM a UNION ALL SELECT 'off', accesses, 0, accesses, 0.0 FROM a")
+def _(spark, d):
+    _, second, _, _, one, _ = _caches(spark, d)
+    return cache.account(second, one).select(F.lit("on").alias("cache"), "*").unionByName(cache.account(second, None).select(F.lit("off").alias("cache"), "*"))
+
+
+@query("cache_refresh", HOT + """, b AS (SELECT count(c1.v) FILTER (WHERE c2.v IS NOT NULL) AS kept, count(c2.v) FILTER (WHERE c1.v IS NULL) AS loaded, count(c1.v) FILTER (WHERE c2.v IS NULL) AS evicted, CAST(coalesce(sum(c2.bytes) FILTER (WHERE c1.v IS NULL), 0) AS BIGINT) AS moved FROM c1 FULL JOIN c2 USING (v)),
+s AS (SELECT *, CASE WHEN kept + loaded = 0 THEN 0 ELSE loaded / (kept + loaded) END AS share FROM b), t(threshold) AS (VALUES (0.01), (0.30), (0.99))
+SELECT CAST(threshold AS DOUBLE) AS threshold, kept, loaded, evicted, round(share, 6) AS share, loaded > 0 AND share >= threshold AS refreshed, CASE WHEN loaded > 0 AND share >= threshold THEN moved ELSE 0 END AS loaded_bytes FROM s, t""")
+def _(spark, d):
+    plan = cache.refresh_plan(*_caches(spark, d)[4:])
+    return reduce(DataFrame.unionByName, (cache.refresh_metrics(plan, x).select(F.lit(x).alias("threshold"), "*") for x in (0.01, 0.30, 0.99)))
+
+
+CHAIN = PARTS.replace("edges AS (SELECT CAST(row_number()", "edges AS MATERIALIZED (SELECT CAST(row_number()")
+CACHED = CHAIN.replace("WHERE v % 3 = 0", "WHERE v % 3 = 0 AND v % 6 <> 0")
+
+
+def _chain_sql() -> str:
+    own = "CASE engine WHEN 'FILTER' THEN filter_cost WHEN 'COMPACTION' THEN compaction_cost ELSE zc_cost END"
+    every = f"SELECT (SELECT sum(zc_cost) FROM eng) AS direct, (SELECT sum({own}) FROM eng) AS chosen, (SELECT count(*) FROM eng) AS n"
+    left = f""", te AS (SELECT task_id, sum(active_edges) AS c FROM (SELECT task_id, CAST(unnest(string_split(partition_indices, ',')) AS BIGINT) AS pid FROM task) JOIN eng USING (pid) GROUP BY task_id),
+o AS (SELECT task_id, row_number() OVER (ORDER BY c DESC, task_id) - 1 AS position FROM te)
+SELECT (SELECT sum({own}) FROM eng) AS cost, (SELECT count(*) FROM task) AS tasks, (SELECT count(*) FROM o WHERE position <> task_id) AS moved"""
+    return f"""SELECT CAST(step AS BIGINT) AS step, name, round(CASE step WHEN 0 THEN direct WHEN 1 THEN chosen ELSE cost END, 6) AS cost, CASE WHEN step < 3 THEN n ELSE tasks END AS executable_tasks, CASE WHEN step = 4 THEN moved ELSE 0 END AS reordered
+FROM ({CHAIN + every}) AS x, ({CACHED + left}) AS y, (VALUES (0, 'direct'), (1, 'selection'), (2, 'cache'), (3, 'combining'), (4, 'scheduling')) AS z(step, name)"""
+
+
+@query("ablation_chain", _chain_sql())
+def _(spark, d):
+    g, parts, front = _setup(spark, d)
+    return ablation.chain(g, parts, front, g.vertices.where("v % 6 = 0").select("v"), COSTS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, (f, _) in Q.items()}
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+import os
 import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -69,6 +70,7 @@ class Result:
 
     def write(self, path: str) -> bool:
         try:
+            os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
             with open(path, "w", encoding="utf-8") as f:
                 f.write(self.to_json() + "\n")
         except OSError:

@@ -1,12 +1,13 @@
-"""python -m graphlane.runtime.cli --output FILE --experiment-id ID --algorithm NAME [--config k=v ...] [--yaml FILE]
+"""python -m graphlane.runtime.cli --output FILE [--experiment-id ID] [--algorithm NAME] [--config k=v ...] [--yaml FILE]
 
-Runs pagerank, sssp, bfs or cc over the edge list of config `edges` (with `vertices`, `weighted`) and writes the result.
+Runs pagerank (by default), sssp, bfs or cc over the edge list of config `edges` (with `vertices`, `weighted`) and writes the result.
 Ends with 2 for bad arguments and 1 if the result can't be written.
 """
 
 from __future__ import annotations
 
 import argparse
+import platform
 import subprocess
 import sys
 import time
@@ -41,8 +42,8 @@ def measure(spark: SparkSession, algorithm: str, config: Config) -> dict[str, fl
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser()
     p.add_argument("--output", required=True)
-    p.add_argument("--experiment-id", required=True)
-    p.add_argument("--algorithm", required=True, choices=["pagerank", "sssp", "bfs", "cc"])
+    p.add_argument("--experiment-id", default="experiment")
+    p.add_argument("--algorithm", default="pagerank", choices=["pagerank", "sssp", "bfs", "cc"])
     p.add_argument("--config", action="append", default=[])
     p.add_argument("--yaml")
     a = p.parse_args(argv)
@@ -57,10 +58,10 @@ def main(argv: list[str] | None = None) -> int:
             p.error(f"not key=value: {pair}")
         config.set(k, v)
     spark = SparkSession.builder.getOrCreate()
-    result = Result(a.experiment_id, a.algorithm, config=config.values() | {"git_commit": git_commit()})
+    result = Result(a.experiment_id, a.algorithm, config=config.values() | {"git_commit": git_commit(), "runner": "graphlane", "python_version": platform.python_version(), "spark_version": spark.version})
     try:
         result.measurements = measure(spark, a.algorithm, config)
-    except (ValueError, IndexError, RuntimeError) as e:
+    except (ValueError, IndexError, RuntimeError, OSError) as e:
         result.status = "failed"
         result.config["error"] = str(e)
     return 0 if result.write(a.output) else 1

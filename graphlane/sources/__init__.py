@@ -14,23 +14,26 @@ def load_edge_list(spark: SparkSession, path: str, num_vertices: int, weighted:
     """Lines `src dst` or `src dst weight` by white space; blank lines and those that begin with # don't count.
 
     Edges stay in order of their lines within a source. Raises ValueError with the 1-based line of the first fault,
-    RuntimeError if the file can't be read. A line's number is its place in the file, so the file is read as one part.
+    RuntimeError if the file can't be read. Files are read in as many parts as they have blocks: a line's place is its
+    file, its block and its row there, and only a fault's line is counted. Several files are read in order of their names.
     """
     try:
-        raw = spark.read.text(path, wholetext=True)
+        raw = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
     except AnalysisException as e:
         raise RuntimeError(f"can't read {path}") from e
-    lines = raw.select(F.posexplode(F.split("value", "\n")).alias("at", "line")).select((F.col("at") + 1).alias("line_no"), F.regexp_replace("line", r"^[ \t\r\n]+|[ \t\r\n]+$", "").alias("line"))
-    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).select("line_no", F.split("line", r"\s+").alias("t"))
+    raw = raw.withColumn("row", F.monotonically_increasing_id())
+    place = ["file", "block", "row"]
+    lines = raw.withColumn("line", F.regexp_replace("value", r"^[ \t\r\n]+|[ \t\r\n]+$", ""))
+    lines = lines.where((F.col("line") != "") & ~F.col("line").startswith("#")).select(*place, F.split("line", r"\s+").alias("t"))
     number = lambda i: F.expr(f"CASE WHEN t[{i}] RLIKE '^[0-9]+$' THEN try_cast(t[{i}] AS BIGINT) END")
-    parsed = lines.select("line_no", F.size("t").alias("k"), F.when(F.size("t") > 0, number(0)).alias("src"), F.when(F.size("t") > 1, number(1)).alias("dst"), F.when(F.size("t") > 2, F.expr("try_cast(t[2] AS FLOAT)")).alias("weight"))
+    parsed = lines.select(*place, F.size("t").alias("k"), F.when(F.size("t") > 0, number(0)).alias("src"), F.when(F.size("t") > 1, number(1)).alias("dst"), F.when(F.size("t") > 2, F.expr("try_cast(t[2] AS FLOAT)")).alias("weight"))
     bad = F.col("src").isNull() | F.col("dst").isNull() | (F.col("k") != (3 if weighted else 2)) | (F.col("weight").isNull() if weighted else F.lit(False))
     outside = (F.col("src") >= num_vertices) | (F.col("dst") >= num_vertices)
-    fault = parsed.where(bad | outside).agg(F.min(F.struct("line_no", (~bad).alias("outside")))).first()[0]
+    fault = parsed.where(bad | outside).agg(F.min(F.struct(*place, (~bad).alias("outside")))).first()[0]
     if fault is not None:
-        raise ValueError(f"{'a vertex is out of range' if fault.outside else 'malformed edge'} at line {fault.line_no}")
-    edges = parsed.select("src", "dst", "weight", "line_no") if weighted else parsed.select("src", "dst", "line_no")
-    return Graph.from_edges(edges, num_vertices, weighted, order=("line_no",))
+        before = raw.where((F.col("file") == fault.file) & ((F.col("block") < fault.block) | ((F.col("block") == fault.block) & (F.col("row") < fault.row)))).count()
+        raise ValueError(f"{'a vertex is out of range' if fault.outside else 'malformed edge'} at line {before + 1}")
+    return Graph.from_edges(parsed.select("src", "dst", *(["weight"] if weighted else []), *place), num_vertices, weighted, order=place)
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,14 +55,18 @@ def supply(spark: SparkSession, sf_dir: str) -> Graph:
     return trade(spark, sf_dir, returns=False)
 
 
+MODULUS = (1 << 31) - 1
+
+
 def rmat(spark: SparkSession, scale: int, edges: int, a: float = 0.5, b: float = 0.2, c: float = 0.2, seed: int = 1) -> Graph:
-    """2**scale vertices; each edge descends into one quarter of the matrix per bit, by a hash of seed, edge and bit."""
-    e = spark.range(edges).withColumnRenamed("id", "e")
+    """2**scale vertices; each edge descends into one quarter of the matrix per bit, by two rounds of squares and products
+    modulo MODULUS of its number, the bit and the seed. Parallel edges and self-loops stay."""
+    e = spark.range(edges).select((F.col("id") % MODULUS).alias("e"))
     src, dst = F.lit(0).cast("long"), F.lit(0).cast("long")
     for bit in range(scale):
-        u = F.pmod(F.xxhash64("e", F.lit(seed), F.lit(bit)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        x = (F.col("e") * 48271 + F.lit(seed * 69621 + bit * 16807 + 1)) % MODULUS
+        x = (x * x + F.col("e")) % MODULUS
+        u = (x * 16807 + F.lit(bit)) % MODULUS / F.lit(float(MODULUS))
         src = src * 2 + F.when(u >= a + b, 1).otherwise(0)
         dst = dst * 2 + F.when(((u >= a) & (u < a + b)) | (u >= a + b + c), 1).otherwise(0)
     return Graph.from_edges(e.select(src.alias("src"), dst.alias("dst")), 1 << scale, False, order=("dst",), check=False)
-
-

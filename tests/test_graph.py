@@ -3,9 +3,9 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from graphlane import algorithms, plans, queries, sources
+from graphlane import algorithms, functions, plans, queries, sources
 from graphlane.graph import Graph
-from graphlane.operators import activity, costing, hubs, movement, partitioning, scheduling, tasks
+from graphlane.operators import activity, cache, costing, hubs, movement, partitioning, scheduling, tasks
 from graphlane.runtime import Config, Result, check_result
 
 G1 = (4, [0, 2, 3, 4, 4], [1, 2, 2, 0])
@@ -157,3 +157,126 @@ def test_pagerank_converged(spark, tmp_path):
     few = queries.queries()["pagerank_k3"](spark, str(tmp_path)).orderBy("v").collect()
     assert max(abs(r.rank - x) for r, x in zip(few, rank, strict=True)) > 1e-4
     assert "pagerank_converged" not in queries.oracle_sql()
+
+
+@pytest.mark.parametrize("name", [str(v) for v in plans.Variant.all()])
+def test_all_variants_find_the_same_paths(spark, name):
+    g = graph(spark, G4)
+    d = plans.create_driver(name)
+    assert d.initialize(plans.ShortestPaths(0))
+    f = plans.Frontier(spark)
+    f.push(0)
+    d.set_context(plans.Context(graph=g, frontier=f))
+    assert [r.value for r in d.run(8).orderBy("v").collect()] == [0, 1, 3, 4]
+
+
+def test_driver_states(spark):
+    d = plans.create_driver("SYNC_PUSH_DD")
+    assert d.execute_step().status is plans.Status.NOT_INITIALIZED
+    assert not d.initialize(plans.ShortestPaths(0), plans.ExecutionConfig.from_string("SYNC_PULL_DD")) and d.initialize(plans.ShortestPaths(0))
+    assert d.execute_step().status is plans.Status.INVALID_CONTEXT
+    d.set_context(plans.Context(graph=graph(spark, G4), frontier=plans.Frontier(spark)))
+    assert d.execute_step().status is plans.Status.NO_WORK
+    assert d.execute_step().status is plans.Status.CONVERGED
+    later = plans.DeferredDriver(plans.select("SYNC_PUSH_DD"))
+    assert later.execute_step().status is plans.Status.NOT_INITIALIZED
+    assert later.initialize(plans.ShortestPaths(0)) and later.execute_step().status is plans.Status.INVALID_CONFIGURATION
+    assert not later.initialize(plans.ShortestPaths(0), plans.ExecutionConfig.from_string("SYNC_PULL_DD"))
+    assert plans.Traits.of(plans.ShortestPaths) == plans.Traits(True, True) and not plans.Traits.of(plans.DeltaPageRank(3)).requires_edge_weights
+    assert plans.is_program(plans.ProgramAdapter(plans.ShortestPaths(0))) and not plans.is_program(3)
+
+
+def test_whole_numbers(spark):
+    values = [2**53 + 3, 2**62 - 1, 7, 0, 128, 129]
+    df = spark.createDataFrame([(x,) for x in values], "a long")
+    for b in (1, 3, 128):
+        assert [r[0] for r in df.select(functions.ceil_div(F.col("a"), b)).collect()] == [-(-x // b) for x in values]
+    assert df.agg(movement.saturating_sum("a")).first()[0] == sum(values)
+    assert spark.createDataFrame([(2**62,)] * 3, "a long").agg(movement.saturating_sum("a")).first()[0] == 2**63 - 1
+
+
+def test_ranked(spark):
+    rows = [(k % 7, k) for k in range(500)]
+    got = functions.ranked(spark.createDataFrame(rows, "a int, b int").repartition(5), [F.desc("a"), "b"], "at").orderBy("at").collect()
+    assert [(r.a, r.b) for r in got] == sorted(rows, key=lambda x: (-x[0], x[1])) and [r["at"] for r in got] == list(range(500))
+    assert functions.ranked(spark.createDataFrame([], "a int"), ["a"], "at").collect() == []
+
+
+def test_partitions_over_chunks(spark, monkeypatch):
+    import random
+
+    r = random.Random(3)
+    for _ in range(3):
+        n = r.randint(1, 60)
+        deg = [r.choice([0, 0, 1, 2, 9]) for _ in range(n)]
+        off = [sum(deg[:k]) for k in range(n + 1)]
+        g = Graph.from_csr(spark, n, off, [0] * off[-1])
+        monkeypatch.setattr(partitioning, "CHUNK", r.choice([1, 3, 7]))
+        want, begin = [], 0
+        while begin < n:
+            end = begin + 1
+            while end < n and off[end + 1] - off[begin] <= 4:
+                end += 1
+            want.append((len(want), begin, end, off[begin], off[end], 16))
+            begin = end
+        parts = partitioning.partition(g, 16)
+        assert [tuple(x) for x in parts.orderBy("pid").collect()] == want
+        partitioning.check_cover(g, parts)
+
+
+def test_loader_over_files_and_late_faults(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a").write_text("0 2 5\n\n# x\n0 1 4\n")
+    (tmp_path / "e" / "b").write_text("0 0 1.5\n1 0 2")
+    g = sources.load_edge_list(spark, str(tmp_path / "e"), 3, True)
+    assert g.to_csr() == ([0, 3, 4, 4], [2, 1, 0, 0], [5, 4, 1.5, 2])
+    (tmp_path / "f").write_text("0 1\n" * 50 + "\n# c\n0 7\n0 x\n")
+    with pytest.raises(ValueError, match="out of range at line 53"):
+        sources.load_edge_list(spark, str(tmp_path / "f"), 3)
+
+
+def test_tolerant_paths_look_at_candidates_in_order(spark):
+    import random
+
+    r = random.Random(1)
+    weights = [r.choice([9, 8.5, 7, 7.2, 3, 2.9, 12]) for _ in range(30)]
+    g = Graph.from_csr(spark, 2, [0, 30, 30], [1] * 30, weights)
+    best = math.inf
+    for w in weights:
+        best = w if w + 0.4 < best else best
+    for run in (4096, 3):
+        algorithms.RUN = run
+        assert algorithms.sssp(g, algorithms.SSSPOptions(tolerance=0.4)).distances.where("v = 1").first().distance == pytest.approx(best)
+    algorithms.RUN = 4096
+
+
+def test_cache(spark):
+    g = graph(spark, G8)
+    seen = spark.createDataFrame([(v,) for v in [3] * 300 + [5] * 3 + [0, 0, 6]], "v long")
+    hot = cache.hotness(seen)
+    assert {r.v: r.hotness for r in hot.collect()} == {3: 255, 5: 3, 0: 2, 6: 1}
+    own = cache.choose(g, hot, 20)
+    assert sorted(r.v for r in own.collect()) == [3, 5]
+    assert tuple(cache.account(seen, own).first()) == (306, 303, 3, 303 / 306) and cache.account(seen, None).first().hits == 0
+    other = cache.choose(g, cache.hotness(spark.createDataFrame([(1,)] * 300 + [(3,)], "v long"), hot.where("v <> 3")), 20)
+    kept, metrics = cache.refresh(own, other)
+    assert metrics.first().refreshed and kept is other
+    assert cache.refresh(own, other, enabled=False)[0] is own
+    assert cache.refresh(own, own)[0] is own and tuple(cache.account(seen.limit(0), own).first()) == (0, 0, 0, 0.0)
+
+
+def test_command_line(spark, tmp_path):
+    import json
+
+    from graphlane.runtime import cli
+
+    (tmp_path / "e").write_text("0 1\n1 0\n")
+    out = tmp_path / "new" / "folder" / "r.json"
+    assert cli.main(["--output", str(out), "--config", f"edges={tmp_path / 'e'}", "--config", "vertices=2"]) == 0
+    record = json.loads(out.read_text())
+    check_result(record)
+    assert record["algorithm"] == "pagerank" and record["status"] == "success" and record["measurements"]["edges"] == 2 and record["config"]["runner"]
+    assert cli.main(["--output", str(tmp_path / "e" / "no"), "--config", "edges=none", "--config", "vertices=2", "--algorithm", "bfs"]) == 1
+    with pytest.raises(SystemExit) as stop:
+        cli.main(["--output", "x", "--config", "novalue"])
+    assert stop.value.code == 2
