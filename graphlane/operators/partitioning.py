@@ -53,7 +53,8 @@ def _offset_chunks(graph: Graph) -> Iterator[tuple[int, np.ndarray]]:
         return pa.table({"chunk": rows.column("chunk").slice(0, 1), "ends": pa.array([rows.column("e1").to_numpy().astype("<i8").tobytes()], pa.binary())})
 
     each = graph.vertices.select("v", "e1", F.expr(f"v div {CHUNK}").alias("chunk")).groupBy("chunk").applyInArrow(pack, "chunk long, ends binary")
-    for r in each.orderBy("chunk").toLocalIterator(prefetchPartitions=True):
+    together = -(-graph.n // (16 * CHUNK)) or 1  # partitions of 16 chunks: the driver holds two at most
+    for r in each.repartitionByRange(together, "chunk").sortWithinPartitions("chunk").toLocalIterator(prefetchPartitions=True):
         yield r.chunk * CHUNK, np.frombuffer(r.ends, "<i8")
 
 

@@ -30,10 +30,11 @@ def priorities(spark: SparkSession, items: Sequence[int], values: Sequence[float
 
 def schedule(prios: DataFrame, options: ScheduleOptions = ScheduleOptions(), check: bool = True) -> DataFrame:
     """prios with position: larger contributions first, ties by item_index and then input position, or by that alone."""
-    if check and prios.where(F.col("contribution").isNull() | ~is_finite(F.col("contribution"))).limit(1).count():
-        raise ValueError("contributions must be finite")
     ties = ["item_index", "input_pos"] if options.deterministic_ties else ["input_pos"]
-    return ranked(prios, [F.desc("contribution"), *ties], "position")
+    out = ranked(prios, [F.desc("contribution"), *ties], "position")
+    if check and out.where(F.col("contribution").isNull() | ~is_finite(F.col("contribution"))).limit(1).count():
+        raise ValueError("contributions must be finite")
+    return out
 
 
 @dataclass(frozen=True)

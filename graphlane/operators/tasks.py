@@ -18,9 +18,10 @@ def combine(engines: DataFrame, k: int = 4, check: bool = True) -> DataFrame:
     """
     if k <= 0:
         raise ValueError("k must be positive")
-    if check and engines.where(~F.col("engine").isin(FILTER, COMPACTION, ZERO_COPY) | F.col("engine").isNull()).limit(1).count():
+    own = ranked(engines.select("pid", "engine"), ["pid"], "number")
+    if check and own.where(~F.col("engine").isin(FILTER, COMPACTION, ZERO_COPY) | F.col("engine").isNull()).limit(1).count():
         raise ValueError("unknown engine")
-    own = ranked(engines.select("pid", "engine"), ["pid"], "number").withColumn("filters", (F.col("engine") == FILTER).cast("long"))
+    own = own.withColumn("filters", (F.col("engine") == FILTER).cast("long"))
     own = running_sum(own, "number", "filters", "before").withColumn("run", F.when(F.col("engine") == FILTER, F.col("number") - F.col("before")).otherwise(-1))
     first = own.groupBy("engine", "run").agg(F.min("before").alias("first"))
     own = own.join(first, ["engine", "run"]).withColumn("chunk", F.when(F.col("engine") == FILTER, F.expr(f"(before - first) div {k}")).otherwise(-1))
