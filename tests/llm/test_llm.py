@@ -131,7 +131,7 @@ def test_codes():
 def test_ppm_sums_to_one():
     texts = [b"abracadabra", b"abrac", b"zzz"]
     k, c = ppm.block_counts([*texts, *(b"abra" + bytes([x]) for x in range(254)), b"abra"], np.array([True] * 3 + [False] * 255))
-    p = ppm.log_probabilities(k, c, ppm.summed(ppm._shorter(k, 1), c))
+    p = ppm.log_probabilities(k, c, ppm.summed(ppm._shorter(k, ppm.NEAREST - 1), c))
     context = int.from_bytes(b"arba\xfe", "big")
     assert (10.0 ** p[k >> np.uint64(8) == context]).sum() == pytest.approx(1, abs=0.02)
 
