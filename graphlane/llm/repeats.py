@@ -15,9 +15,9 @@ from graphlane.llm.common import BYTE_VALUES, POWERS, block_of, id_type, parts
 SPAN = 50  # bytes of a passage
 GRAM = 24  # bytes of a hashed gram; each passage is dealt by the least hash of its grams
 CHUNK = 1 << 18  # bytes that are hashed at once
-MAX_SHARDS = 2
+MAX_SHARDS = 8  # of a share; a shard is what some blocks following one another have sent
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: not less than any
-STRIDE = 8  # bytes by which the interleave is refined at once
+STRIDE = 16  # bytes by which the interleave is refined at once
 BLOCK_BYTES = 4 << 20
 
 
@@ -104,20 +104,24 @@ def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 class Shard:
     """A text (strings, each with an end byte) as a circle, its positions sorted by 64 bytes, and what stands before each."""
 
-    def __init__(self, raw: np.ndarray, eight: np.ndarray) -> None:
-        """eight: the rank of the STRIDE bytes from each position on, among those of all shards."""
-        self.raw, self.eight = raw, eight
-        self.order, rank = _ranks(eight)
+    def __init__(self, raw: np.ndarray, letter: np.ndarray) -> None:
+        """letter: the rank of the STRIDE bytes from each position on, among those of all shards."""
+        self.raw, self.letter = raw, letter
+        self.order, rank = _ranks(letter)
         span = STRIDE
         while span < SPAN and rank.max(initial=0) + 1 < len(raw):
             self.order, rank = _ranks(rank, np.roll(rank, -span))
             span *= 2
 
 
-def shards_of(strings: list[bytes], most: int = MAX_SHARDS) -> list[Shard]:
-    """The strings in order, dealt to at most `most` shards. Letters of STRIDE bytes are ranked once for all of them."""
-    each = -(-len(strings) // most)
-    raws = [np.frombuffer(b"\xff".join(strings[k : k + each]) + b"\xff", np.uint8) for k in range(0, len(strings), each)]
+def shards_of(blocks: list[list[bytes]], most: int = MAX_SHARDS) -> list[Shard]:
+    """The strings of blocks that follow one another make a shard, `most` at most. Letters of STRIDE bytes are ranked once for all."""
+    sizes = np.cumsum([sum(map(len, b)) for b in blocks])
+    of_block = np.minimum((sizes - 1) * most // max(1, int(sizes[-1])), most - 1)
+    held: dict[int, list[bytes]] = {}
+    for k, strings in zip(of_block.tolist(), blocks, strict=True):
+        held.setdefault(k, []).extend(strings)
+    raws = [np.frombuffer(b"\xff".join(x) + b"\xff", np.uint8) for x in held.values() if x]
 
     def ahead(parts: list[np.ndarray], by: int) -> np.ndarray:
         return np.concatenate([np.roll(p, -by) for p in parts])
@@ -131,59 +135,72 @@ def shards_of(strings: list[bytes], most: int = MAX_SHARDS) -> list[Shard]:
     return [Shard(r, e) for r, e in zip(raws, np.split(rank, cuts), strict=True)]
 
 
-def intervals(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
-    """All positions of the shards in the order of their first SPAN bytes, and the number of each one's interval of equal ones.
+def common_prefixes(shards: list[Shard]) -> tuple[np.ndarray, np.ndarray]:
+    """All positions of the shards in the order of their first SPAN bytes, and for each how many of these it shares with
+    the one before it: SPAN, or a number of bytes after which the two were still together one step before they parted.
 
     The order of each shard alone is known. Their interleave begins as one shard after the other, in order of no bytes
     at all. If it is in order of t bytes, dealing its positions out by the STRIDE bytes that stand before them, which
     each shard's transform has in that shard's order, puts the positions STRIDE bytes earlier in order of t + STRIDE
-    bytes. An interval splits where those bytes or the intervals before differ. No suffix is compared again.
+    bytes. Positions that part stay in their places from then on, so the step in which they part gives their common
+    prefix; no suffix is compared again.
     """
     base = np.cumsum([0, *(len(s.raw) for s in shards)])
     n = int(base[-1])
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), np.diff(base))
     interval = np.zeros(n, np.uint32)
+    common = np.full(n, SPAN, np.uint8)
+    common[:1] = 0
     rest = SPAN % STRIDE
-    before = {STRIDE: [np.roll(s.eight, STRIDE)[s.order] for s in shards]}
-    before[rest] = [sum((np.roll(s.raw, rest - j).astype(np.uint32) << np.uint32(8 * (rest - 1 - j)) for j in range(rest)), np.uint32(0))[s.order] for s in shards]
+    before = {STRIDE: np.concatenate([np.roll(s.letter, STRIDE)[s.order] for s in shards])}
+    before[rest] = np.concatenate([sum((np.roll(s.raw, rest - j).astype(np.uint32) << np.uint32(8 * (rest - 1 - j)) for j in range(rest)), np.uint32(0))[s.order] for s in shards])
     letter = np.empty(n, np.uint64)
-    step = np.zeros(n, np.uint32)
+    step = np.zeros(n, bool)
+    depth = 0
     for stride in [STRIDE] * (SPAN // STRIDE) + [rest]:
-        for k in range(len(shards)):
-            letter[source == k] = before[stride][k]
-        order, dealt = _sorted(letter, max(int(x.max()) for x in before[stride]).bit_length())
+        letter[np.argsort(source, kind="stable")] = before[stride]
+        order, dealt = _sorted(letter, int(before[stride].max()).bit_length())
         source, interval = source[order], interval[order]
         step[1:] = dealt[1:] != dealt[:-1]
         step[1:] |= interval[1:] != interval[:-1]
+        common[step & (common == SPAN)] = depth
         interval = np.cumsum(step, dtype=np.uint32)
+        depth += stride
     out = np.empty(n, np.int64)
-    for k, s in enumerate(shards):
-        out[source == k] = base[k] + s.order
-    return out, interval
+    out[np.argsort(source, kind="stable")] = np.concatenate([b + s.order for b, s in zip(base, shards, strict=False)])
+    return out, common
 
 
-def least_ids(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
-    """groups: strings and the least doc_id that has each. For each group, string after string, each passage's least id of all."""
+def seen_before(groups: list[tuple[list[bytes], np.ndarray]]) -> list[np.ndarray]:
+    """groups: a block's strings and the least doc_id that has each. For each group, string after string, whether each
+    passage is in a document with an id below that one."""
     distinct: dict[bytes, int] = {}
+    blocks: list[list[bytes]] = []
     for strings, ids in groups:
+        own = []
         for x, i in zip(strings, ids.tolist(), strict=True):
-            if distinct.get(x, NO_ID) >= i:
+            known = distinct.get(x)
+            if known is None:
+                own.append(x)
+            if known is None or known > i:
                 distinct[x] = i
+        blocks.append(own)
     if not distinct:
-        return [np.zeros(0, np.int64) for _ in groups]
+        return [np.zeros(0, bool) for _ in groups]
     strings = list(distinct)
-    order, interval = intervals(shards_of(strings))
+    order, common = common_prefixes(shards_of(blocks))
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     begins = np.cumsum(sizes + 1) - sizes - 1
     counts = sizes - SPAN + 1
     passages = np.repeat(begins - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
     ids = np.full(len(order), NO_ID)
     ids[passages] = np.repeat(np.fromiter(distinct.values(), np.int64, len(strings)), counts)
-    least = np.minimum.reduceat(ids[order], np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]]))
+    first = np.flatnonzero(common < SPAN)  # a repeated interval goes as far as SPAN bytes are common
+    least = np.minimum.reduceat(ids[order], first)
     answer = np.empty(len(order), np.int64)
-    answer[order] = least[interval]
-    first = dict(zip(strings, zip(begins.tolist(), counts.tolist(), strict=True), strict=True))
-    return [np.concatenate([np.zeros(0, np.int64), *(answer[b : b + n] for b, n in map(first.__getitem__, own))]) for own, _ in groups]
+    answer[order] = np.repeat(least, np.diff(np.r_[first, len(order)]))
+    place = dict(zip(strings, zip(begins.tolist(), counts.tolist(), strict=True), strict=True))
+    return [np.concatenate([np.zeros(0, bool), *(answer[b : b + n] < i for (b, n), i in zip(map(place.__getitem__, own), own_ids.tolist(), strict=True))]) for own, own_ids in groups]
 
 
 def cut(texts: list[bytes], removed: list[list[tuple[int, int]]]) -> list[bytes]:
@@ -231,18 +248,25 @@ class Runs:
             yield s, list(number), least, which
 
     def removed(self, texts: list[bytes], ids: np.ndarray, answers: dict[int, tuple[bytes, bytes]]) -> list[list[tuple[int, int]]]:
-        """answers: per share the least doc_id of each passage of its strings, and each run's string. The bytes to remove of each text."""
+        """answers: per share a bit for each passage of its strings, and each run's string. The bytes to remove of each text.
+
+        A bit says that the passage is in a document before all of this block's that have the string; of these all but
+        the first lose it anyway.
+        """
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         first = np.cumsum(sizes) - sizes
         places = [np.zeros(0, np.int64)]
         for s, own in self.by_share:
-            least, which = (np.frombuffer(x, kind) for x, kind in zip(answers[s], ("<i8", "<u4"), strict=True))
-            count = self.count[own]
+            bits, which = (np.frombuffer(x, kind) for x, kind in zip(answers[s], (np.uint8, "<u4"), strict=True))
+            count, mine = self.count[own], ids[self.doc[own]]
+            least = np.full(int(which.max()) + 1, NO_ID)
+            np.minimum.at(least, which, mine)
             of_string = np.zeros(int(which.max()) + 1, np.int64)
             of_string[which] = count
             at = np.cumsum(of_string) - of_string
             step = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            goes = least[np.repeat(at[which], count) + step] < np.repeat(ids[self.doc[own]], count)
+            seen = np.unpackbits(bits, count=int(of_string.sum())).astype(bool)
+            goes = seen[np.repeat(at[which], count) + step] | np.repeat(mine > least[which], count)
             places.append((np.repeat(first[self.doc[own]] + self.begin[own], count) + step)[goes])
         gone = np.zeros(int(sizes.sum()) + 1, bool)
         gone[np.concatenate(places)] = True  # where a passage to remove begins; its other bytes follow by doubling
@@ -283,14 +307,14 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
 
     Blocks of documents deal the least hashes of their passages to shares, and learn which ones other documents have.
     The runs of those passages go to the shares as strings, equal ones of a block once; a share sorts them by shards,
-    merges these, and answers with the least doc_id of each passage. A passage of a document with a larger id is
-    removed. A task holds one block or one share. The blocks' exchange of texts is made once and used three times.
+    merges these, and answers with a bit for each passage: whether a document before the block's has it. A task holds
+    one block or one share. The blocks' exchange of texts is made once and used three times, a partition for each block.
     """
     if docs.schema["doc_id"].dataType.simpleString() not in ("bigint", "int", "smallint", "tinyint"):
         raise TypeError("doc_id must be an integer")
     blocks = parts(docs.select("doc_id", "text"), each=block_bytes, least=24)
     shares = 8 * blocks
-    df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartition(blocks, "block")
+    df = docs.select("doc_id", "text", block_of(blocks).alias("block")).repartitionById(blocks, F.col("block"))
 
     def in_order(rows: pa.Table) -> pa.Table:
         """A block's rows arrive in any order, and twice: runs are numbered alike only in one order."""
@@ -334,7 +358,7 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
         for joined, sizes, ids in zip(*(rows.column(c).to_pylist() for c in ("strings", "sizes", "ids")), strict=True):
             ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64)).tolist()
             groups.append(([joined[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], np.frombuffer(ids, "<i8")))
-        answers = [x.tobytes() for x in least_ids(groups)]
+        answers = [np.packbits(x).tobytes() for x in seen_before(groups)]
         return pa.table({"block": rows.column("block"), "share": rows.column("share"), "kind": pa.array([1] * len(answers), pa.int32()), "data": pa.array(answers, pa.binary()), "which": rows.column("which")})
 
     def finish(key: tuple[pa.Scalar, ...], rows: pa.Table, said: pa.Table) -> pa.Table:
@@ -350,9 +374,10 @@ def removed_spans(docs: DataFrame, make, schema: str, block_bytes: int = BLOCK_B
 
     answer = "block int, share int, kind int, data binary, which binary"
     told = df.groupBy("block").applyInArrow(hashes, "block int, share int, hashes binary, several binary").groupBy("share").applyInArrow(common, answer)
-    asked = df.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(strings, "block int, share int, strings binary, sizes binary, ids binary, which binary")
+    by_block = lambda x: x.repartitionById(blocks, F.col("block")).groupBy("block")
+    asked = df.groupBy("block").cogroup(by_block(told)).applyInArrow(strings, "block int, share int, strings binary, sizes binary, ids binary, which binary")
     merged = asked.groupBy("share").applyInArrow(merge, answer)
-    return df.groupBy("block").cogroup(told.unionByName(merged).groupBy("block")).applyInArrow(finish, schema)
+    return df.groupBy("block").cogroup(by_block(told.unionByName(merged))).applyInArrow(finish, schema)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -360,7 +385,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
     A byte goes if a passage of SPAN bytes that covers it also begins in a document with a smaller doc_id. Null and
     empty texts and those of fewer bytes lose nothing. A null doc_id is larger than all others; rows that share an id
-    don't remove one another's bytes.
+    don't remove one another's bytes. Other columns are left out.
     """
     kind = id_type(docs)
 
@@ -377,7 +402,8 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """doc_id and text of each document, less its repeated passages; a character that loses a byte goes whole."""
+    """doc_id and text of each row, less its repeated passages; a character that loses a byte goes whole. A null text is
+    empty afterwards; ids as in digests."""
     kind = id_type(docs)
 
     def make(rows: pa.Table, texts: list[bytes], spans: list[list[tuple[int, int]]]) -> pa.Table:
