@@ -269,13 +269,21 @@ def test_quality_with_odd_rows(docs):
     assert good.columns == docs.columns and {x.kept for x in good.collect()} <= {"own"}
 
 
-def test_windows_that_share_upper_bits(spark):
+@pytest.mark.parametrize("few_hashes", [False, True])
+def test_windows_that_share_upper_bits(spark, monkeypatch, few_hashes):
     """Windows of three words whose hashes agree in all bits but the position's are still told apart."""
-    words = [f"w{k % 5}" for k in range(400)] + ["a", "b", "c", "d", "a", "b", "c"]
-    out = quality.rated(spark.createDataFrame([(1, " ".join(words), "s")], "doc_id long, text string, source string")).first()
-    seen = Counter(zip(words, words[1:], words[2:], strict=False))
-    want = {i + j for i, w in enumerate(zip(words, words[1:], words[2:], strict=False)) if seen[w] > 1 for j in range(3)}
-    assert out.n_repeat_words == len(want)
+    if few_hashes:
+        real = quality.window_hash
+        monkeypatch.setattr(quality, "window_hash", lambda *w: real(*w) % 3 * (1 << 60))
+    r = random.Random(7)
+    texts = [" ".join(r.choice("abcde") for _ in range(r.randint(0, 60))) for _ in range(40)] + ["a b c", "a b c a b c", "a a a a", None, " ".join(f"w{k}" for k in range(300))]
+    docs = spark.createDataFrame([(k, t, "s") for k, t in enumerate(texts)], "doc_id long, text string, source string")
+    want = {}
+    for k, t in enumerate(texts):
+        windows = [*zip(*((t or "").split()[i:] for i in range(3)), strict=False)]
+        seen = Counter(windows)
+        want[k] = len({i + j for i, w in enumerate(windows) if seen[w] > 1 for j in range(3)})
+    assert {x.doc_id: x.n_repeat_words for x in quality.rated(docs).collect()} == want
 
 
 def test_near_duplicates_with_odd_ids(docs):
@@ -294,3 +302,20 @@ def test_near_duplicates_with_odd_ids(docs):
         want.append((k, len(sets[i]), (min(known) if known else None) if sets[i] else k))
     assert sorted((tuple(x) for x in neardup.grouped(docs).collect()), key=key) == sorted(want, key=key)
     assert neardup.one_each(docs).columns == docs.columns
+
+
+def test_common_prefixes_of_shards():
+    r = random.Random(2)
+    strings = list(dict.fromkeys("".join(r.choice("ab") for _ in range(r.choice([3, 40]))).encode() * r.choice([1, 2, 20]) for _ in range(60)))
+    strings = [x for x in strings if len(x) >= repeats.SPAN]
+    for blocks in ([strings], [strings[:5], [], strings[5:9], strings[9:]], [[x] for x in strings]):
+        shards = repeats.shards_of(blocks, 4)
+        assert 1 <= len(shards) <= 4
+        order, common = repeats.common_prefixes(shards)
+        circles = [bytes(s.raw) for s in shards]
+        rotated = [(c[i:] + c[:i]) * 60 for c in circles for i in range(len(c))]
+        got = [rotated[i][: repeats.SPAN] for i in order.tolist()]
+        assert got == sorted(got)
+        for a, b, n in zip(got, got[1:], common[1:].tolist(), strict=False):
+            shared = next((k for k in range(repeats.SPAN) if a[k] != b[k]), repeats.SPAN)
+            assert n <= shared < n + repeats.STRIDE or n == shared == repeats.SPAN
