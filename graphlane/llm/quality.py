@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -88,34 +90,47 @@ def line_hash(line: Column) -> Column:
     return F.xxhash64(F.trim(F.regexp_replace(F.regexp_replace(F.lower(line), "[0-9]", "0"), f"[{SPACES}]+", " ")))
 
 
+def window_hash(*words: Column) -> Column:
+    return F.xxhash64(*words)
+
+
 def repeated_words(words: Column) -> Column:
     """Words in windows of three that occur twice or more.
 
-    The windows' hashes, their low bits replaced by the position, are sorted as numbers; neighbours with equal upper
-    bits are compared word by word.
+    The windows' hashes, their low bits replaced by the position, are sorted as numbers. Only windows whose upper bits a
+    neighbour shares can occur twice; of these, neighbours are compared word by word. Where unequal windows share upper
+    bits, equal ones needn't be neighbours: then all windows of the text are sorted by their words instead.
     """
     n = F.size(words)
     mask = F.expr("shiftleft(1L, length(bin(size(words)))) - 1")
-
-    def keys(mask: Column) -> Column:
-        window = lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2))
-        return F.when(n >= 3, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: window(i).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long"))))).otherwise(F.array().cast("array<long>"))
-
-    def starts(keys: Column, mask: Column) -> Column:
-        def same(x: Column, y: Column) -> Column:
-            i, j = x.bitwiseAND(mask).cast("int"), y.bitwiseAND(mask).cast("int")
-            out = x.bitwiseAND(F.bitwise_not(mask)) == y.bitwiseAND(F.bitwise_not(mask))
-            for k in range(3):
-                out = out & (F.get(words, i + k) == F.get(words, j + k))
-            return F.coalesce(out, F.lit(False))
-
-        return F.sort_array(F.transform(F.filter(keys, lambda x, i: same(x, F.get(keys, i - 1)) | same(x, F.get(keys, i + 1))), lambda x: x.bitwiseAND(mask)))
+    word = lambda i, k: F.get(words, i + k)
+    every = lambda make, kind: F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), make)).otherwise(F.array().cast(f"array<{kind}>"))
+    bound = lambda x, f: F.get(F.transform(F.array(x), f), 0)  # noqa: E731  f of a value that is computed once
+
+    def hashed(mask: Column) -> Column:
+        keys = F.sort_array(every(lambda i: window_hash(*(word(i, k) for k in range(3))).bitwiseAND(F.bitwise_not(mask)).bitwiseOR(i.cast("long")), "long"))
+        upper = lambda x: x.bitwiseAND(F.bitwise_not(mask))
+        beside = lambda k: F.filter(k, lambda x, i: F.coalesce(upper(x) == upper(F.get(k, i - 1)), F.lit(False)) | F.coalesce(upper(x) == upper(F.get(k, i + 1)), F.lit(False)))
+
+        def among(keys: Column) -> Column:
+            at = lambda x: x.bitwiseAND(mask).cast("int")
+            alike = lambda x, y: F.coalesce(upper(x) == upper(y), F.lit(False))
+            same = lambda x, y: alike(x, y) & reduce(Column.__and__, (word(at(x), k) == word(at(y), k) for k in range(3)))
+            mixed = F.size(F.filter(keys, lambda x, i: alike(x, F.get(keys, i + 1)) & ~F.coalesce(same(x, F.get(keys, i + 1)), F.lit(False)))) > 0
+            own = F.filter(keys, lambda x, i: F.coalesce(same(x, F.get(keys, i - 1)), F.lit(False)) | F.coalesce(same(x, F.get(keys, i + 1)), F.lit(False)))
+            return F.when(mixed, by_words()).otherwise(F.sort_array(F.transform(own, lambda x: x.bitwiseAND(mask))))
+
+        return bound(keys, lambda k: bound(beside(k), among))
+
+    def by_words() -> Column:
+        rows = F.sort_array(every(lambda i: F.struct(*(word(i, k).alias(f"w{k}") for k in range(3)), i.cast("long").alias("at")), "struct<w0:string,w1:string,w2:string,at:bigint>"))
+        same = lambda x, y: F.coalesce(reduce(Column.__and__, (x[f"w{k}"] == y[f"w{k}"] for k in range(3))), F.lit(False))
+        repeated = lambda r: F.transform(F.filter(r, lambda x, i: same(x, F.get(r, i - 1)) | same(x, F.get(r, i + 1))), lambda x: x["at"])
+        return F.sort_array(bound(rows, repeated))
 
     zero = F.struct(F.lit(-3).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
     step = lambda a, x: F.struct(x.alias("last"), (a["n"] + F.least(F.lit(3).cast("long"), x - a["last"])).alias("n"))
-    # transform over arrays of one element binds each value once instead of repeating its expression
-    with_keys = F.transform(F.array(mask), lambda m: F.transform(F.array(keys(m)), lambda k: F.aggregate(starts(k, m), zero, step, lambda a: a["n"])))
-    return F.get(F.get(with_keys, 0), 0)
+    return F.aggregate(bound(mask, hashed), zero, step, lambda a: a["n"])
 
 
 def good(docs: DataFrame) -> DataFrame:
