@@ -280,3 +280,19 @@ def test_command_line(spark, tmp_path):
     with pytest.raises(SystemExit) as stop:
         cli.main(["--output", "x", "--config", "novalue"])
     assert stop.value.code == 2
+
+
+def test_variant_paths_have_the_edges_of_their_sql(spark, tmp_path):
+    """A way of 13 edges is shorter than the one edge, but longer than the 8 edges that the SQL goes along."""
+    duckdb = pytest.importorskip("duckdb")
+    items = [(k, k, 1.0, "N") for k in range(7)] + [(k + 1, k, 1.0, "R") for k in range(6)] + [(0, 6, 50.0, "N"), (0, 5, 30.0, "N")]
+    spark.createDataFrame([(k,) for k in range(7)], "s_suppkey long").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(k,) for k in range(7)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame(items, "l_suppkey long, l_partkey long, l_quantity double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    db = duckdb.connect()
+    for t in ("supplier", "part", "lineitem"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    got = queries.queries()["variant_paths"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(db.execute(queries.oracle_sql()["variant_paths"]).fetchall())
+    whole = algorithms.sssp(sources.trade(spark, str(tmp_path))).distances.where("v = 13").first().distance
+    assert {r.distance for r in got if r.v == 13} == {32.0} and whole == 13.0
