@@ -20,7 +20,9 @@ WORD_BYTES = np.array([b not in b" \t\n\x0b\x0c\r" for b in range(256)])
 SKETCH_BYTES = 1 << 24  # of the counters by which shingles are ordered, at most: the one array that is broadcast
 SALTS = 32
 PASSING = 128  # sets that pass by one read of the set that they are compared with
-STAR_ROUNDS = 3  # rounds in which lists are compared with one of their sets only, before all of what is left
+ROUNDS = 3  # rounds in which lists are looked through from some of their sets only, before all pairs of what is left
+HUBS = 32  # sets of a list from which a round looks
+TRIES = 8  # pairs that a round compares for each component
 BROADCAST_IDS = 1_000_000  # ids, or pairs of ids, that may be broadcast, 32 MB at most; beyond them they meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
 BRIEF = 4  # 64-bit words of the part of a signature that goes into the join of lists
@@ -393,6 +395,26 @@ def similar(n: Column, m: Column, common: Column, percent: int = PERCENT) -> Col
     return 100 * common >= percent * (n + m - common)
 
 
+def _tries(signed: DataFrame, known: DataFrame, brief: list[str], turn: int, may: Column, differ: Column, apart: Column) -> DataFrame:
+    """a, b, most: for each component those few pairs with a set of another that its lists' hubs make most likely.
+
+    A list has a hub for each residue of a hash, so at most HUBS of them; another each turn, half of them of the largest
+    components. Smaller components look at hubs of larger ones. Pairs are chosen among those that may be similar and
+    aren't known; the fewer bits of their brief signatures differ, the likelier.
+    """
+    columns = ("node", "n", "pos", "component", "size", *brief)
+    dealt = signed.withColumn("k", F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(HUBS)))
+    first = F.struct(F.when(F.col("k") % 2 == 0, -F.col("size")).otherwise(0).alias("large"), F.xxhash64(F.lit(turn), "node").alias("h"), *columns)
+    hubs = dealt.groupBy("gid", "k").agg(F.min(first).alias("hub"))
+    upward = (F.col("size_y") < F.col("size_x")) | ((F.col("size_y") == F.col("size_x")) & (F.col("component_y") < F.col("component_x")))
+    hubs = hubs.select("gid", *(F.col(f"hub.{c}").alias(f"{c}_x") for c in columns))
+    others = signed.select("gid", *(F.col(c).alias(f"{c}_y") for c in columns))
+    pairs = others.join(hubs, "gid").where(upward & may).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b"), "component_y", "node_x", differ.alias("differ"), apart.alias("most"))
+    pairs = pairs.join(known.select("a", "b"), ["a", "b"], "left_anti")
+    best = pairs.groupBy("component_y", F.pmod(F.xxhash64("node_x"), F.lit(TRIES)).alias("k")).agg(F.min(F.struct("differ", "a", "b", "most")).alias("best"))
+    return best.select("best.a", "best.b", "best.most").distinct()
+
+
 def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (the least doc_id that links of at least `percent` reach).
 
@@ -402,7 +424,9 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     Equal sets are one node. Of each node the prefix in the order of rarity is indexed. A first round compares each set
     of an index list with the list's first set of fitting size, if they share much of their prefixes; sets that those
-    links connect need no further comparison. Some more rounds do so with another set of each list. Lists that still hold several components are then paired, across components only. A pair is skipped if
+    links connect need no further comparison. In some more rounds each component is compared with the few sets of others
+    that are likeliest similar, by signature, among some sets of its lists: so a group of many sets becomes one component
+    by a few comparisons of each. Lists that still hold several components are then paired, across components only. A pair is skipped if
     its places in the lists can't reach the needed intersection, if the sets' signatures differ in more bits than
     similar sets' shingles, or if what is known of both against the first set rules a link out; it is linked unread if that proves a link, and is compared otherwise. So every link between components is found, whatever the order.
     """
@@ -418,30 +442,31 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     leading = lists.where("node = leader").select("gid", F.col("leader"), F.col("n").alias("n_x"))
     star = lists.where("node <> leader").join(leading, ["gid", "leader"]).select(F.col("leader").alias("node_x"), F.col("node").alias("node_y"), "n_x", F.col("n").alias("n_y"), "times")
     compared = Compared(ids, members, rarity, percent)
-    linked = 0
-    for turn in range(1, STAR_ROUNDS + 2):
-        sums = star.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.sum("times").alias("shared"))
-        compared.add(sums.where(hopeful).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+    sums = star.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.sum("times").alias("shared"))
+    compared.add(sums.where(hopeful).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")))
+    brief = [f"brief{k}" for k in range(BRIEF)]
+    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in brief))
+    apart = F.col("n_x") + F.col("n_y") - 2 * alpha  # shingles that only one of two similar sets has, at most
+    reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
+    may = (F.col("component_x") != F.col("component_y")) & reaches & (differ <= apart) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
+    open_lists, signatures, linked = lists, None, 0
+    for turn in range(ROUNDS + 1):
         state = components(compared.links())
-        placed = lists.join(state, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        sized = state.join(state.groupBy("component").agg(F.count("*").alias("size")), "component")
+        placed = open_lists.drop("component", "size").join(sized, "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))})
         mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
         open_lists = written(placed.join(mixed, "gid", "left_semi"))
+        if signatures is None:
+            signatures = written(_signatures(index, open_lists.select("node").distinct()))
+        signed = open_lists.join(signatures.select("node", *brief), "node")
         before, linked = linked, state.count()
-        if linked <= 1.01 * before or turn > STAR_ROUNDS:
+        if turn == ROUNDS or turn and linked <= 1.003 * before:
             break
-        of_list = open_lists.groupBy("gid").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "component")).alias("first"))
-        star = open_lists.join(of_list, "gid").where("component <> first.component").select(F.col("first.node").alias("node_x"), F.col("node").alias("node_y"), F.col("first.n").alias("n_x"), F.col("n").alias("n_y"), "times")
+        compared.add(_within(_tries(signed, compared.all(), brief, turn, may, differ, apart), signatures))
     found = compared.all()
-    signatures = written(_signatures(index, open_lists.select("node").distinct()))
-    brief = [f"brief{k}" for k in range(BRIEF)]
-    signed = open_lists.join(signatures.select("node", *brief), "node")
     x, y = (signed.select("gid", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "pos", "leader", "component", *brief))) for s in "xy")
     first_of = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("node_x") < F.col("node_y")))
-    fits = (F.col("component_x") != F.col("component_y")) & first_of & (100 * F.col("n_x") >= percent * F.col("n_y"))
-    reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
-    differ = reduce(Column.__add__, (F.bit_count(F.col(f"{c}_x").bitwiseXOR(F.col(f"{c}_y"))) for c in brief))
-    apart = F.col("n_x") + F.col("n_y") - 2 * alpha  # shingles that only one of two similar sets has, at most
-    pairs = x.join(y, (x.gid == y.gid) & fits & reaches & (differ <= apart)).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
+    pairs = x.join(y, (x.gid == y.gid) & first_of & may).select("node_x", "node_y", "n_x", "n_y", F.when(F.col("leader_x") == F.col("leader_y"), F.col("leader_x")).alias("leader"))
     pairs = pairs.groupBy("node_x", "node_y", "n_x", "n_y").agg(F.min("leader").alias("leader"))
     known = found.select(F.col("a").alias("leader"), F.col("b"), F.col("n_a").alias("n_leader"), "common")
     known = known.union(found.select(F.col("b"), F.col("a"), F.col("n_b"), "common"))

@@ -319,3 +319,39 @@ def test_common_prefixes_of_shards():
         for a, b, n in zip(got, got[1:], common[1:].tolist(), strict=False):
             shared = next((k for k in range(repeats.SPAN) if a[k] != b[k]), repeats.SPAN)
             assert n <= shared < n + repeats.STRIDE or n == shared == repeats.SPAN
+
+
+def test_near_duplicates_of_large_groups(spark, monkeypatch):
+    """Sets of a group of which only some pairs are similar become one component by a few comparisons each, not by those of all pairs."""
+    rng = random.Random(8)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for _ in range(240):
+        own = list(base)
+        for at in rng.sample(range(40), rng.choice((2, 3, 3))):
+            own[5 * at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"y{k}-{j}" for j in range(30)) for k in range(20)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
+    least, todo = {}, set(range(len(texts)))
+    while todo:
+        start = min(todo)
+        todo.remove(start)
+        reached, work = {start}, [start]
+        while work:
+            a = work.pop()
+            near = {b for b in todo if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+            todo -= near
+            reached |= near
+            work += near
+        least |= dict.fromkeys(reached, start)
+    compared, add = [], neardup.Compared.add
+
+    def counted(self, pairs):
+        add(self, pairs)
+        compared.append(self.found[-1].count())
+
+    monkeypatch.setattr(neardup.Compared, "add", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()} == least
+    assert sum(compared) <= 8 * len(texts)  # of 28,000 pairs in the group, some 6,000 are similar
