@@ -8,7 +8,7 @@ from functools import cache
 
 import numpy as np
 
-from graphlane.llm.common import member, span_hashes
+from graphlane.llm.common import Powers, member, mix, span_hashes
 
 LONG = 1 << 16  # characters from which a text is encoded in pieces
 UNSPLIT = 12  # letters up to which a part that the splitting rule leaves whole is encoded at once, not in halves
@@ -230,6 +230,8 @@ def little_endian(ids: list[int]) -> bytes:
 # White space that takes more than a byte, or that not all libraries count as such: texts with it go to the library whole.
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+POINT = np.isin(np.arange(256), [44, 46])
 STRETCH = 1 << 20  # characters that are taken to units at once
 BREAK = re.compile(r"(?<=\S) ")
 
@@ -246,9 +248,38 @@ def stretches(text: str, size: int = STRETCH) -> list[str]:
     return [*out, text[begin:]]
 
 
+SHORT = 32  # bytes up to which a unit is hashed and compared by 64-bit words
+KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a word
+
+
+def words_of(raw: np.ndarray) -> np.ndarray:
+    """The 64-bit word that begins at each byte, and at the end; after the end come zeros."""
+    padded = np.r_[raw, np.zeros(SHORT + 8, np.uint8)]
+    return np.ndarray(len(raw) + SHORT + 1, "<u8", padded.data, strides=(1,))
+
+
+def unit_hashes(raw: np.ndarray, words: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit hashes of units: of their words, of long ones as spans. They only choose candidates."""
+    h = size.astype(np.uint64) * np.uint64(Powers.BASE)
+    short = np.flatnonzero(size <= SHORT)
+    if len(short) < len(at):
+        far = np.flatnonzero(size > SHORT)
+        ends = np.cumsum(size[far])
+        bytes_of = np.repeat(at[far] - (ends - size[far]), size[far]) + np.arange(ends[-1])
+        h[far] = span_hashes(raw[bytes_of], ends - size[far], ends)
+    for k in range(0, SHORT, 8):
+        short = short[size[short] > k]
+        if not len(short):
+            break
+        h[short] = mix(h[short] ^ words[at[short] + k] & KEPT[np.minimum(size[short] - k, 8)])
+    return h
+
+
 class UnitCoder:
     """Encodes texts by their units: what lies between places where a space follows another character than white space.
 
+    Units also end between an ASCII letter and a point, comma or line feed, between a point or comma and a line feed, and
+    between a line feed that doesn't follow white space and an ASCII letter: so words of many surroundings are one unit.
     The library splits there whatever else stands in the text, and goes on as at the beginning of a text. So the ids of
     a text are those of its units. Each distinct unit is encoded once; its bytes and ids are kept for later texts. Units
     are found by a hash and compared byte by byte; a text with a unit that only shares the hash goes to the library whole.
@@ -259,13 +290,14 @@ class UnitCoder:
         """most: units that are kept; with more, all are forgotten."""
         self.most, self.halves = most, halves
         self.encoder = encoder(path)
-        self.whole = [t for t in self.encoder.special if " " in t or t in self.encoder.greedy]
+        self.whole = [t for t in self.encoder.special if any(x in t for x in " .,\n") or t in self.encoder.greedy]
         self.forget()
 
     def forget(self) -> None:
         self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where the unit of each stands below
         self.unit, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
         self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.padded: np.ndarray | None = None  # the words of bytes, once asked for
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
@@ -303,10 +335,17 @@ class UnitCoder:
         first = np.cumsum(lengths) - lengths
         starts = np.zeros(n, bool)
         starts[1:] = (raw[1:] == 32) & ~SPACE[raw[:-1]]
+        at = np.flatnonzero(POINT[raw] | (raw == 10))  # few
+        at = at[at > 0]
+        line, before = raw[at] == 10, raw[at - 1]
+        starts[at[LETTER[before] | (line & POINT[before])]] = True
+        after = at[line & ~SPACE[before]] + 1
+        after = after[after < n]
+        starts[after[LETTER[raw[after]]]] = True
         starts[first[lengths > 0]] = True
         at = np.flatnonzero(starts)
-        size = np.diff(np.r_[at, n])
-        values, where, back = np.unique(span_hashes(raw, at, at + size), return_index=True, return_inverse=True)
+        size, words = np.diff(np.r_[at, n]), words_of(raw)
+        values, where, back = np.unique(unit_hashes(raw, words, at, size), return_index=True, return_inverse=True)
         if len(self.known) > self.most:
             self.forget()
         new = ~member(values, self.known)
@@ -317,42 +356,41 @@ class UnitCoder:
         flat = self.flat[np.repeat(self.begin[place] - (total - counts), counts) + np.arange(total[-1])]
         owner = np.searchsorted(first + lengths, at, side="right")
         alike = self.length[place] == size
-        kept = np.repeat(self.unit[place] - at, size)
-        kept += np.arange(n)
-        differ = self.bytes.take(kept, mode="clip") != raw
+        known, unit = words_of(self.bytes) if self.padded is None else self.padded, self.unit[place]
+        self.padded = known
+        left = np.flatnonzero(alike & (size <= SHORT))
+        for k in range(0, SHORT, 8):
+            left = left[size[left] > k]
+            if not len(left):
+                break
+            alike[left] &= ((words[at[left] + k] ^ known[unit[left] + k]) & KEPT[np.minimum(size[left] - k, 8)]) == 0
+        for k in np.flatnonzero(alike & (size > SHORT)).tolist():
+            alike[k] = (raw[at[k] : at[k] + size[k]] == self.bytes[unit[k] : unit[k] + size[k]]).all()
         sure[owner[~alike]] = False
-        sure[np.searchsorted(first + lengths, np.flatnonzero(differ), side="right")] = False
         return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64), sure
 
     def learn(self, values: np.ndarray, units: list[bytes]) -> None:
         """Units that begin with a space and don't end with white space are encoded in one text, which splits between them."""
         if not units:
             return
-        whole = np.fromiter((len(u) <= UNSPLIT or not self.halves for u in units), bool, len(units))
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        whole = (sizes <= UNSPLIT) if self.halves else np.ones(len(units), bool)
         order = np.argsort(~whole, kind="stable")
         m = int(whole.sum())
         if 0 < m < len(units):
             self.learn(values[order[:m]], [units[k] for k in order[:m].tolist()])
             self.learn(values[order[m:]], [units[k] for k in order[m:].tolist()])
             return
-        joins = np.fromiter((u[:1] == b" " and not SPACE[u[-1]] for u in units), bool, len(units))
+        data, ends = np.frombuffer(b"".join(units), np.uint8), np.cumsum(sizes)
+        joins = (data[ends - sizes] == 32) & ~SPACE[data[ends - 1]]
         order = np.argsort(~joins, kind="stable")
-        units = [units[k] for k in order.tolist()]
-        n = int(joins.sum())
-        texts, held, size = [], [], 0
-        for u in units[:n]:
-            held.append(u)
-            size += len(u)
-            if size > 1 << 14:
-                texts.append(b"".join(held).decode())
-                held, size = [], 0
-        if held:
-            texts.append(b"".join(held).decode())
+        units, sizes = [units[k] for k in order.tolist()], sizes[order]
+        n, ends, buffer = int(joins.sum()), np.cumsum(sizes), b"".join(units)
+        cuts = ends[:n][np.diff(ends[:n] >> 14, append=-1) != 0].tolist()  # texts of some 16 KB
+        texts = [buffer[a:b].decode() for a, b in zip([0, *cuts], cuts, strict=False)]
         texts += [u.decode() for u in units[n:]]
         coded = [np.array(x, np.uint32) for x in (self.encoder.batch(texts) if m else self.encoder.split_batch(texts))]
         flat = np.concatenate(coded)
-        sizes = np.fromiter(map(len, units), np.int64, len(units))
-        ends = np.cumsum(sizes)
         upto = np.searchsorted(np.cumsum(self.encoder.width[flat]), ends, side="right")
         begin = np.r_[0, upto[:-1]]
         known = np.concatenate([self.known, values[order]])
@@ -363,7 +401,8 @@ class UnitCoder:
         self.length = np.concatenate([self.length, sizes])
         self.begin = np.concatenate([self.begin, begin + len(self.flat)])
         self.size = np.concatenate([self.size, upto - begin])
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(units), np.uint8)])
+        self.padded = None
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(buffer, np.uint8)])
         self.flat = np.concatenate([self.flat, flat])
 
 

@@ -355,3 +355,23 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert {r.doc_id: r.component_id for r in neardup.grouped(docs).collect()} == least
     assert sum(compared) <= 8 * len(texts)  # of 28,000 pairs in the group, some 6,000 are similar
+
+
+@pytest.mark.parametrize("alike", [False, True])
+def test_units_end_at_points_and_lines(monkeypatch, alike):
+    """Words are one unit whatever stands beside them, and all texts have the library's ids."""
+    path = vocabulary()
+    coder = tokens.UnitCoder(path)
+    texts = ["alpha beta, alpha beta. alpha beta\nalpha beta.\nalpha beta,\nalpha beta"]
+    assert [x.tolist() for x in coder.encode(texts)] == coder.encoder.batch(texts)
+    assert len(coder.known) == 6  # the two words, the first one without a space, and three marks
+    if alike:  # units that share hashes are told apart by their bytes
+        real = tokens.unit_hashes
+        monkeypatch.setattr(tokens, "unit_hashes", lambda *x: real(*x) % np.uint64(40))
+    rng = random.Random(5)
+    marks = ["a", "Word", ".", ",", "\n", "\n\n", " ", "  ", "\t", "\x0b", "'s", "'", "'ll", "1", "é", "中", "!", "\r", "-", "\0", "́", "<|endoftext|>", "<|endof", "ab" * 9]
+    for halves in (False, True):
+        coder = tokens.UnitCoder(path, 500, halves)
+        for _ in range(20):
+            texts = ["".join(rng.choices(marks, k=rng.randrange(40))) for _ in range(60)]
+            assert [x.tolist() for x in coder.encode(texts)] == coder.encoder.batch(texts)
