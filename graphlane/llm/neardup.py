@@ -22,6 +22,7 @@ SALTS = 32
 PASSING = 128  # sets that pass by one read of the set that they are compared with
 ROUNDS = 3  # rounds in which lists are looked through from some of their sets only, before all pairs of what is left
 HUBS = 32  # sets of a list from which a round looks
+STEPWISE = 3  # rounds of components in which nodes go two steps only
 TRIES = 8  # pairs that a round compares for each component
 BROADCAST_IDS = 1_000_000  # ids, or pairs of ids, that may be broadcast, 32 MB at most; beyond them they meet by a shuffle
 NODE_BITS = np.uint64((1 << 63) - 1)
@@ -250,21 +251,46 @@ def _lists(rows: pa.Table, percent: int) -> pa.Table:
     return pa.table({"gid": pa.array(gid, pa.int64()), "node": pa.array(nodes, pa.int64()), "n": pa.array(ns, pa.int64()), "pos": pa.array(poss, pa.int64()), "leader": pa.array(leaders, pa.int64()), "times": pa.array(times, pa.int64())})
 
 
-def components(links: DataFrame) -> DataFrame:
-    """node and component (its least node) for the nodes of links (a, b).
+def components(links: DataFrame, state: DataFrame | None = None) -> DataFrame:
+    """node and component (its least node) for the nodes of links (a, b) and of state, an earlier result that they add to.
 
-    Each round every node takes the least component of its neighbours, then that component's own. Rounds are written.
+    Links become those between components of state. Each round every node goes to its least neighbour, then to where
+    that one goes, after STEPWISE rounds on to the end. Links then join what their nodes went to, so what has become one
+    and links of equal ends are not read again. Rounds are written; the last one's places go back through those before.
     """
-    both = written(links.select("a", "b").union(links.select("b", "a")).distinct())
-    state = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("component")).withColumnRenamed("a", "node"))
-    while True:
-        near = both.join(state, both.b == state.node).groupBy("a").agg(F.min("component").alias("near"))
-        step = state.join(near, state.node == near.a, "left").select("node", "component", F.least("component", "near").alias("new"))
-        up = state.select(F.col("node").alias("up"), F.col("component").alias("up_component"))
-        after = step.join(up, step.new == up.up, "left").select("node", F.least("new", "up_component").alias("component"), (F.least("new", "up_component") != step.component).alias("moved"))
-        state = written(after)
-        if not state.where("moved").limit(1).count():
-            return state.select("node", "component")
+
+    def moved(pairs: DataFrame, to: DataFrame) -> DataFrame:
+        """Pairs whose nodes are replaced by what they have in to (node, up), each pair once, without those of one node."""
+        for c in "ab":
+            pairs = pairs.join(to.select(F.col("node").alias(c), F.col("up").alias(f"up_{c}")), c, "left")
+        a, b = F.coalesce("up_a", "a"), F.coalesce("up_b", "b")
+        return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+
+    pairs = links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = written(pairs.distinct() if state is None else moved(pairs, state.withColumnRenamed("component", "up")))
+    rounds = []
+    while pairs.limit(1).count():
+        both = pairs.union(pairs.select("b", "a"))
+        to = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("up")).withColumnRenamed("a", "node"))
+        far = True
+        while far:
+            then = to.select(F.col("node").alias("up"), F.col("up").alias("further"))
+            to = written(to.join(then, "up").select("node", F.col("further").alias("up"), (F.col("further") != F.col("up")).alias("far")))
+            far = len(rounds) >= STEPWISE and to.where("far").limit(1).count() > 0
+        rounds.append(to.select("node", "up"))
+        pairs = written(moved(pairs, rounds[-1]))
+    if not rounds:
+        return written(pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))) if state is None else state
+    last = rounds.pop()
+    while rounds:
+        then = last.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        last = written(rounds.pop().join(then, "up", "left").select("node", F.coalesce("further", "up").alias("up")))
+    if state is None:
+        return last.withColumnRenamed("up", "component")
+    then = last.select(F.col("node").alias("component"), F.col("up").alias("further"))
+    old = state.join(then, "component", "left").select("node", F.coalesce("further", "component").alias("component"))
+    new = last.join(state.select("node"), "node", "left_anti").withColumnRenamed("up", "component")
+    return written(old.unionByName(new))
 
 
 def _signatures(index: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -326,7 +352,8 @@ class Compared:
         return reduce(DataFrame.unionByName, self.found)
 
     def links(self) -> DataFrame:
-        return self.all().where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), self.percent)).select("a", "b")
+        """a, b of the similar ones of the pairs that were added last."""
+        return self.found[-1].where(similar(F.col("n_a"), F.col("n_b"), F.col("common"), self.percent)).select("a", "b")
 
     def add(self, pairs: DataFrame) -> None:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
@@ -449,9 +476,9 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     apart = F.col("n_x") + F.col("n_y") - 2 * alpha  # shingles that only one of two similar sets has, at most
     reaches = F.least(F.col("n_x") - F.col("pos_x"), F.col("n_y") - F.col("pos_y")) >= alpha
     may = (F.col("component_x") != F.col("component_y")) & reaches & (differ <= apart) & (100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y"))
-    open_lists, signatures, linked = lists, None, 0
+    open_lists, signatures, state, linked = lists, None, None, 0
     for turn in range(ROUNDS + 1):
-        state = components(compared.links())
+        state = components(compared.links(), state)
         sized = state.join(state.groupBy("component").agg(F.count("*").alias("size")), "component")
         placed = open_lists.drop("component", "size").join(sized, "node", "left").withColumns({"component": F.coalesce("component", "node"), "size": F.coalesce("size", F.lit(1))})
         mixed = placed.groupBy("gid").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("gid")
@@ -476,7 +503,7 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     least = F.col("common_x") + F.col("common_y") - F.col("n_leader")
     pairs = written(pairs.select(F.col("node_x").alias("a"), F.col("node_y").alias("b"), apart.alias("most"), F.coalesce(most < alpha, F.lit(False)).alias("never"), F.coalesce(least >= alpha, F.lit(False)).alias("proved")))
     compared.add(_within(pairs.where("not never and not proved"), signatures))
-    state = components(compared.links().union(pairs.where("proved and not never").select("a", "b")))
+    state = components(compared.links().union(pairs.where("proved and not never").select("a", "b")), state)
     own = members.where(F.col("node").isNotNull()).groupBy("node").agg(F.min("doc_id").alias("least"))
     linked_nodes = own.join(state, "node").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
     salted = linked_nodes.groupBy("component").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -357,6 +357,31 @@ def test_near_duplicates_of_large_groups(spark, monkeypatch):
     assert sum(compared) <= 8 * len(texts)  # of 28,000 pairs in the group, some 6,000 are similar
 
 
+def test_components_read_a_link_once(spark, monkeypatch):
+    """Links within a group aren't read again, neither in later rounds nor when other links come: rows stay in proportion to the links."""
+    rng = random.Random(9)
+    first = [(k, k + 1) for k in range(100, 160)]  # in order, the longest way
+    first += [(a, b) for a in range(300, 340) for b in range(a + 1, 340)] + [(500 + 2 * k, 500 + rng.randrange(80)) for k in range(40)]
+    first = [x for x in first if x[0] != x[1]]
+    later = [[(b, a) for a, b in first[-300:]], [(130, 320), (161, 160)], [(320, 510), (900, 901)]]
+    rows, written = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df: rows.append((out := written(df)).count()) or out)
+    state, links = None, []
+    for k, own in enumerate([first, *later]):
+        links += own
+        begin = len(rows)
+        state = neardup.components(spark.createDataFrame(own, "a long, b long"), *([state] if k else []))
+        least = {v: v for x in links for v in x}
+        for _ in least:
+            for a, b in links:
+                least[a] = least[b] = min(least[a], least[b])
+        assert {r.node: r.component for r in state.collect()} == least
+        if k:
+            assert max(rows[begin:-1], default=0) <= 2 * len(own)
+    empty = spark.createDataFrame([], "a long, b long")
+    assert neardup.components(empty).count() == 0 and neardup.components(empty, state).count() == len(least)
+
+
 @pytest.mark.parametrize("alike", [False, True])
 def test_units_end_at_points_and_lines(monkeypatch, alike):
     """Words are one unit whatever stands beside them, and all texts have the library's ids."""
