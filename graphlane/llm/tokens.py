@@ -8,12 +8,13 @@ from functools import cache
 
 import numpy as np
 
-from graphlane.llm.common import Powers, member, mix, span_hashes
+from graphlane.llm.common import Powers, mix, span_hashes
 
 LONG = 1 << 16  # characters from which a text is encoded in pieces
 UNSPLIT = 12  # letters up to which a part that the splitting rule leaves whole is encoded at once, not in halves
 AT_ONCE = 1 << 19  # characters given to the library at once, which bounds the memory of its results
 PAIRS = 500_000  # pairs of neighbours that are remembered
+BETWEEN = "\0"  # stands between parts that are split already; no byte letter
 
 
 class Encoder:
@@ -33,9 +34,12 @@ class Encoder:
         self.plain = Tokenizer.from_file(path)  # without splitting: for parts that are split already, in the library's byte letters
         from tokenizers import pre_tokenizers
 
-        self.plain.pre_tokenizer = pre_tokenizers.Split("\0", "isolated")  # a letter that never occurs
+        self.plain.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(BETWEEN)
         self.plain.no_truncation()
         self.plain.no_padding()
+        if hasattr(self.plain.model, "_resize_cache"):  # what it gets is distinct, so its cache only costs
+            self.plain.model._resize_cache(0)
+        self.letters_alone = self.library.normalizer is None and not any(re.fullmatch(" ?[A-Za-z]+", t) for t in self.special)  # such units are never split
         self.letters = {i: t for t, i in self.library.get_vocab(with_added_tokens=False).items()}
         self.width = np.zeros(self.library.get_vocab_size(), np.int64)  # bytes of each token
         for i, letters in self.letters.items():
@@ -231,7 +235,9 @@ def little_endian(ids: list[int]) -> bytes:
 RARE_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
-POINT = np.isin(np.arange(256), [44, 46])
+MARKS = "!#$%&*,.:;?"
+MARK = np.isin(np.arange(256), [*MARKS.encode()])
+ENDS = MARK | (np.arange(256) == 10)
 STRETCH = 1 << 20  # characters that are taken to units at once
 BREAK = re.compile(r"(?<=\S) ")
 
@@ -248,6 +254,12 @@ def stretches(text: str, size: int = STRETCH) -> list[str]:
     return [*out, text[begin:]]
 
 
+def spans(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places of all spans, one after another."""
+    total = np.cumsum(size)
+    return np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
+
+
 SHORT = 32  # bytes up to which a unit is hashed and compared by 64-bit words
 KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the first bytes of a word
 
@@ -275,10 +287,69 @@ def unit_hashes(raw: np.ndarray, words: np.ndarray, at: np.ndarray, size: np.nda
     return h
 
 
+class Column:
+    """An array that grows in place; some bytes more than it needs can be read."""
+
+    def __init__(self, dtype: type) -> None:
+        self.all, self.n = np.zeros(1 << 10, dtype), 0
+
+    def add(self, more: np.ndarray) -> None:
+        n = self.n + len(more)
+        if n + SHORT + 8 > len(self.all):
+            larger = np.zeros(max(2 * len(self.all), n + SHORT + 8), self.all.dtype)
+            larger[: self.n] = self.all[: self.n]
+            self.all = larger
+        self.all[self.n : n] = more
+        self.n = n
+
+    def now(self) -> np.ndarray:
+        return self.all[: self.n]
+
+
+class Places:
+    """The number of each of many different 64-bit hashes, in the order in which they came: open addressing."""
+
+    def __init__(self) -> None:
+        self.hashes, self.bits = Column(np.uint64), 12
+        self.table = np.full(1 << self.bits, -1, np.int32)
+
+    def _first(self, h: np.ndarray) -> np.ndarray:
+        return ((h * np.uint64(Powers.BASE)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers, -1 for what isn't there."""
+        if not self.hashes.n:
+            return np.full(len(h), -1, np.int32)
+        at = self._first(h)
+        out = self.table[at]
+        todo = np.flatnonzero((out >= 0) & (self.hashes.all[out] != h))
+        while len(todo):
+            at[todo] = (at[todo] + 1) & (len(self.table) - 1)
+            own = self.table[at[todo]]
+            out[todo] = own
+            todo = todo[(own >= 0) & (self.hashes.all[own] != h[todo])]
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """Different hashes that aren't there yet."""
+        first = self.hashes.n
+        self.hashes.add(h)
+        if 2 * self.hashes.n > len(self.table):
+            self.bits = (4 * self.hashes.n - 1).bit_length()
+            self.table, first = np.full(1 << self.bits, -1, np.int32), 0
+        h = self.hashes.now()[first:]
+        number, at = np.arange(first, first + len(h), dtype=np.int32), self._first(h)
+        while len(number):
+            free = self.table[at] < 0
+            self.table[at[free]] = number[free]
+            left = self.table[at] != number
+            number, at = number[left], (at[left] + 1) & (len(self.table) - 1)
+
+
 class UnitCoder:
     """Encodes texts by their units: what lies between places where a space follows another character than white space.
 
-    Units also end between an ASCII letter and a point, comma or line feed, between a point or comma and a line feed, and
+    Units also end between an ASCII letter and one of MARKS or a line feed, between one of MARKS and a line feed, and
     between a line feed that doesn't follow white space and an ASCII letter: so words of many surroundings are one unit.
     The library splits there whatever else stands in the text, and goes on as at the beginning of a text. So the ids of
     a text are those of its units. Each distinct unit is encoded once; its bytes and ids are kept for later texts. Units
@@ -287,17 +358,36 @@ class UnitCoder:
     """
 
     def __init__(self, path: str, most: int = 300_000, halves: bool = False) -> None:
-        """most: units that are kept; with more, all are forgotten."""
+        """most: units that are kept; with more, those that weren't met again are forgotten, or all."""
         self.most, self.halves = most, halves
         self.encoder = encoder(path)
-        self.whole = [t for t in self.encoder.special if any(x in t for x in " .,\n") or t in self.encoder.greedy]
-        self.forget()
+        self.whole = [t for t in self.encoder.special if any(x in t for x in " \n" + MARKS) or t in self.encoder.greedy]
+        self.clear()
+
+    @property
+    def known(self) -> np.ndarray:
+        return self.places.hashes.now()
+
+    def clear(self) -> None:
+        self.places, self.again = Places(), Column(bool)
+        self.unit, self.length, self.bytes = Column(np.int64), Column(np.int64), Column(np.uint8)
+        self.begin, self.size, self.flat = Column(np.int64), Column(np.int64), Column(np.uint32)
 
     def forget(self) -> None:
-        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes, and where the unit of each stands below
-        self.unit, self.length, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint8)
-        self.begin, self.size, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-        self.padded: np.ndarray | None = None  # the words of bytes, once asked for
+        """Keeps the units that were met again, if they are less than half of what may be kept."""
+        old, kept = self.__dict__.copy(), np.flatnonzero(self.again.now())
+        self.clear()
+        if not 0 < len(kept) <= self.most // 2:
+            return
+        length, size = old["length"].all[kept], old["size"].all[kept]
+        self._keep(old["places"].hashes.all[kept], old["bytes"].all[spans(old["unit"].all[kept], length)], length, old["flat"].all[spans(old["begin"].all[kept], size)], size)
+
+    def _keep(self, values: np.ndarray, data: np.ndarray, length: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        self.unit.add(np.cumsum(length) - length + self.bytes.n)
+        self.begin.add(np.cumsum(size) - size + self.flat.n)
+        for column, more in ((self.length, length), (self.size, size), (self.bytes, data), (self.flat, flat), (self.again, np.zeros(len(values), bool))):
+            column.add(more)
+        self.places.add(values)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
@@ -334,76 +424,84 @@ class UnitCoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64), sure
         first = np.cumsum(lengths) - lengths
         starts = np.zeros(n, bool)
-        starts[1:] = (raw[1:] == 32) & ~SPACE[raw[:-1]]
-        at = np.flatnonzero(POINT[raw] | (raw == 10))  # few
+        at = np.flatnonzero(raw[1:] == 32)
+        starts[at[~SPACE[raw[at]]] + 1] = True
+        at = np.flatnonzero(ENDS[raw])  # few
         at = at[at > 0]
         line, before = raw[at] == 10, raw[at - 1]
-        starts[at[LETTER[before] | (line & POINT[before])]] = True
+        starts[at[LETTER[before] | (line & MARK[before])]] = True
         after = at[line & ~SPACE[before]] + 1
         after = after[after < n]
         starts[after[LETTER[raw[after]]]] = True
         starts[first[lengths > 0]] = True
         at = np.flatnonzero(starts)
-        size, words = np.diff(np.r_[at, n]), words_of(raw)
-        values, where, back = np.unique(unit_hashes(raw, words, at, size), return_index=True, return_inverse=True)
+        size, words = np.diff(at, append=n), words_of(raw)
+        hashes = unit_hashes(raw, words, at, size)
         if len(self.known) > self.most:
             self.forget()
-        new = ~member(values, self.known)
-        self.learn(values[new], [buffer[a : a + b] for a, b in zip(at[where[new]].tolist(), size[where[new]].tolist(), strict=True)])
-        place = self.slot[np.searchsorted(self.known, values)][back]
-        counts = self.size[place]
-        total = np.cumsum(counts)
-        flat = self.flat[np.repeat(self.begin[place] - (total - counts), counts) + np.arange(total[-1])]
-        owner = np.searchsorted(first + lengths, at, side="right")
-        alike = self.length[place] == size
-        known, unit = words_of(self.bytes) if self.padded is None else self.padded, self.unit[place]
-        self.padded = known
-        left = np.flatnonzero(alike & (size <= SHORT))
-        for k in range(0, SHORT, 8):
-            left = left[size[left] > k]
-            if not len(left):
+        place = self.places.find(hashes)
+        new = np.flatnonzero(place < 0)
+        self.again.all[place[place >= 0]] = True
+        if len(new):
+            values, where, back = np.unique(hashes[new], return_index=True, return_inverse=True)
+            where = new[where]
+            had = self.places.hashes.n
+            order = self.learn(values, [buffer[a : a + b] for a, b in zip(at[where].tolist(), size[where].tolist(), strict=True)])
+            number = np.empty(len(order), np.int32)
+            number[order] = np.arange(had, had + len(order))
+            place[new] = number[back]
+        counts = self.size.all[place]
+        flat = self.flat.all[spans(self.begin.all[place], counts)]
+        owner = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(at, first), append=len(at)))
+        alike = self.length.all[place] == size
+        known, unit = np.ndarray(len(self.bytes.all) - 7, "<u8", self.bytes.all.data, strides=(1,)), self.unit.all[place]
+        short = size <= SHORT
+        left = np.flatnonzero(alike & short)
+        a, b, rest = at[left], unit[left], size[left]
+        for _ in range(0, SHORT, 8):
+            unlike = ((words[a] ^ known[b]) & KEPT[np.minimum(rest, 8)]) != 0
+            alike[left[unlike]] = False
+            more = np.flatnonzero((rest > 8) & ~unlike)
+            if not len(more):
                 break
-            alike[left] &= ((words[at[left] + k] ^ known[unit[left] + k]) & KEPT[np.minimum(size[left] - k, 8)]) == 0
-        for k in np.flatnonzero(alike & (size > SHORT)).tolist():
-            alike[k] = (raw[at[k] : at[k] + size[k]] == self.bytes[unit[k] : unit[k] + size[k]]).all()
+            left, a, b, rest = left[more], a[more] + 8, b[more] + 8, rest[more] - 8
+        for k in np.flatnonzero(alike & ~short).tolist():
+            alike[k] = (raw[at[k] : at[k] + size[k]] == self.bytes.all[unit[k] : unit[k] + size[k]]).all()
         sure[owner[~alike]] = False
         return flat, np.bincount(owner, weights=counts, minlength=len(texts)).astype(np.int64), sure
 
-    def learn(self, values: np.ndarray, units: list[bytes]) -> None:
-        """Units that begin with a space and don't end with white space are encoded in one text, which splits between them."""
-        if not units:
-            return
+    def learn(self, values: np.ndarray, units: list[bytes]) -> np.ndarray:
+        """The order in which the units now stand.
+
+        Units of ASCII letters, after a space or not, are never split: they are encoded with a mark between them. Others
+        that begin with a space and don't end with white space are encoded in one text, which splits between them.
+        """
         sizes = np.fromiter(map(len, units), np.int64, len(units))
-        whole = (sizes <= UNSPLIT) if self.halves else np.ones(len(units), bool)
-        order = np.argsort(~whole, kind="stable")
-        m = int(whole.sum())
-        if 0 < m < len(units):
-            self.learn(values[order[:m]], [units[k] for k in order[:m].tolist()])
-            self.learn(values[order[m:]], [units[k] for k in order[m:].tolist()])
-            return
         data, ends = np.frombuffer(b"".join(units), np.uint8), np.cumsum(sizes)
-        joins = (data[ends - sizes] == 32) & ~SPACE[data[ends - 1]]
-        order = np.argsort(~joins, kind="stable")
-        units, sizes = [units[k] for k in order.tolist()], sizes[order]
-        n, ends, buffer = int(joins.sum()), np.cumsum(sizes), b"".join(units)
-        cuts = ends[:n][np.diff(ends[:n] >> 14, append=-1) != 0].tolist()  # texts of some 16 KB
-        texts = [buffer[a:b].decode() for a, b in zip([0, *cuts], cuts, strict=False)]
-        texts += [u.decode() for u in units[n:]]
-        coded = [np.array(x, np.uint32) for x in (self.encoder.batch(texts) if m else self.encoder.split_batch(texts))]
-        flat = np.concatenate(coded)
-        upto = np.searchsorted(np.cumsum(self.encoder.width[flat]), ends, side="right")
-        begin = np.r_[0, upto[:-1]]
-        known = np.concatenate([self.known, values[order]])
-        sort = np.argsort(known, kind="stable")
-        self.known = known[sort]
-        self.slot = np.concatenate([self.slot, np.arange(len(self.unit), len(self.unit) + len(units))])[sort]
-        self.unit = np.concatenate([self.unit, ends - sizes + len(self.bytes)])
-        self.length = np.concatenate([self.length, sizes])
-        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
-        self.size = np.concatenate([self.size, upto - begin])
-        self.padded = None
-        self.bytes = np.concatenate([self.bytes, np.frombuffer(buffer, np.uint8)])
-        self.flat = np.concatenate([self.flat, flat])
+        whole = (sizes <= UNSPLIT) if self.halves else np.ones(len(units), bool)
+        begins, other = ends - sizes, ~LETTER[data]
+        space = data[begins] == 32
+        other[begins[space & (sizes > 1)]] = False
+        kind = np.where(space & ~SPACE[data[ends - 1]], 1, 2)
+        if self.encoder.letters_alone:
+            kind[whole & ~np.logical_or.reduceat(other, begins)] = 0
+        kind[~whole] += 2
+        order = np.argsort(kind, kind="stable")
+        units, kind = [units[k] for k in order.tolist()], kind[order]
+        sizes, upto = sizes[order], np.searchsorted(kind, range(6)).tolist()
+        coded = self.encoder.plain_batch([x.replace(" ", "\u0120") for x in self._joined(units[: upto[1]], BETWEEN)])
+        coded += self.encoder.batch(self._joined(units[upto[1] : upto[2]]) + [u.decode() for u in units[upto[2] : upto[3]]])
+        if upto[3] < len(units):
+            coded += self.encoder.split_batch(self._joined(units[upto[3] : upto[4]]) + [u.decode() for u in units[upto[4] :]])
+        flat = np.concatenate([np.array(x, np.uint32) for x in coded])
+        upto = np.searchsorted(np.cumsum(self.encoder.width[flat]), np.cumsum(sizes), side="right")
+        self._keep(values[order], np.frombuffer(b"".join(units), np.uint8), sizes, flat, np.diff(upto, prepend=0))
+        return order
+
+    @staticmethod
+    def _joined(units: list[bytes], between: str = "", at_once: int = 1500) -> list[str]:
+        """Texts of so many units, some 16 KB."""
+        return [between.encode().join(units[k : k + at_once]).decode() for k in range(0, len(units), at_once)]
 
 
 @cache

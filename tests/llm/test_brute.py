@@ -400,3 +400,31 @@ def test_units_end_at_points_and_lines(monkeypatch, alike):
         for _ in range(20):
             texts = ["".join(rng.choices(marks, k=rng.randrange(40))) for _ in range(60)]
             assert [x.tolist() for x in coder.encode(texts)] == coder.encoder.batch(texts)
+
+
+@pytest.mark.parametrize("halves", [False, True])
+def test_units_met_again_are_kept(monkeypatch, halves):
+    """With too many units those that come back aren't encoded again, and words are encoded without the splitting rule."""
+    path = vocabulary()
+    coder = tokens.UnitCoder(path, 300, halves)
+    common = [f"{chr(97 + k // 26)}{chr(97 + k % 26)}e" for k in range(100)]
+    learned, learn = [], tokens.UnitCoder.learn
+    monkeypatch.setattr(tokens.UnitCoder, "learn", lambda self, values, units: learned.extend(units) or learn(self, values, units))
+    rng = random.Random(3)
+    new = lambda: "".join(rng.choices("abcdefghijklmnop", k=rng.randrange(6, 20)))
+    for turn in range(20):
+        texts = [" " + " ".join([*common, *(new() + rng.choice(["", "", "$$$", "\0", "\u00e9", "?!"]) for _ in range(60))]) for _ in range(2)]
+        assert [x.tolist() for x in coder.encode(texts)] == coder.encoder.batch(texts)
+        assert len(coder.known) <= 300 + 200
+    assert max(learned.count(f" {w}".encode()) for w in common) == 1
+    assert b"$$$" in learned
+    split, lines = [], coder.encoder.library.encode_batch_fast
+
+    class Library:
+        def encode_batch_fast(self, texts, **options):
+            split.extend(texts)
+            return lines(texts, **options)
+
+    monkeypatch.setattr(coder.encoder, "library", Library())
+    coder.encode([" ".join(["plain", "words", "go", "by", "wholly"])])
+    assert not split
